@@ -7,9 +7,10 @@
 2. A second pass orders each set rare-first by the sketch and emits its prefix: sets
    with a similarity of at least t share one of their first (1 - t) n + 1 elements.
    Prefix elements that only one class has end here.
-3. In each bucket of a shared element, all members are compared with one pivot: as many
-   pairs as rows, however large the bucket. Pairs are made unique, filtered by length
-   and histogram, and verified once on the whole sets. Their links give components.
+3. In each bucket of a shared element, all members are compared with one pivot that
+   hashing draws: as many pairs as rows, however large the bucket. Pairs are made unique,
+   filtered by length and histogram, and verified once on the whole sets. Their links
+   give components. Some rounds of this go on, with buckets of several components.
 4. Pairs of a bucket whose members are in different components by now can still be
    links; these alone are enumerated, under the length filter and the positional one
    (the smaller set must hold the element in its first n / 9 + 1), and verified.
@@ -34,6 +35,10 @@ WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact.
 SIMILARITY = (80, 100)
 _SKETCH_BITS = 20
+#: Bits of the map of documents that verification needs (4 MB).
+_MEMBER_BITS = 25
+#: Pivots that a document is compared with in one round; those left out are no loss, as step 4 is exact.
+_PIVOTS = 8
 _SLICES = 64
 _SLICE = (1 << _SKETCH_BITS) // _SLICES
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -148,15 +153,31 @@ def _prefixes(docs: DataFrame, sketch: np.ndarray, k: int, similarity: tuple[int
     return map_texts(docs, make, [("n", T.LongType()), ("prefix", T.ArrayType(T.LongType()))], keep=("id",))
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    def make():
-        def kernel(column: pa.Array):
-            values, n = shingle_sets(lex(column, SPACED), k)
-            return [lists(values.view(np.int64), n, pa.int64())]
+def _members(ids: DataFrame) -> np.ndarray:
+    """A bit map of fixed size that has a bit for each id, by hash."""
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << _MEMBER_BITS))
+    words = ids.select(F.shiftright(slot, 5).alias("word"), (slot % 32).cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    table = np.zeros(1 << (_MEMBER_BITS - 5), np.uint32)
+    for batch in words.toArrow().to_batches():
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    return table
 
-        return kernel
 
-    return map_texts(docs, make, [("set", T.ArrayType(T.LongType()))], keep=("id",))
+def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id and shingle set of the documents in `ids`; the bit map spares most others the way to the join."""
+    shared = docs.sparkSession.sparkContext.broadcast(_members(ids))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            slot = batch.column(1).to_numpy()
+            batch = batch.filter(pa.array((table[slot >> 5] >> (slot & 31).astype(np.uint32)) & 1 == 1))
+            for part in slices(batch, 2):
+                values, n = shingle_sets(lex(part.column(2), SPACED), k)
+                yield pa.RecordBatch.from_arrays([part.column(0), lists(values.view(np.int64), n, pa.int64())], names=["id", "set"])
+
+    slotted = docs.where("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(1 << _MEMBER_BITS)).alias("slot"), "text")
+    return slotted.mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi")
 
 
 def _suffix_filter(pairs: DataFrame, summaries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -180,8 +201,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: tuple[int,
     """The pairs that are links, by their whole sets."""
     num, den = similarity
     pairs = pairs.checkpoint()
-    ids = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    sets = _sets(docs.join(ids, "id", "left_semi"), k)
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct().checkpoint()
+    sets = _sets(docs, ids, k)
     both = pairs.join(sets.select(F.col("id").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("set").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
     return both.where((num + den) * common >= num * (F.size("sx") + F.size("sy"))).select("x", "y").distinct()
@@ -191,7 +212,37 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of buckets whose members are in several components."""
+    placed = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    mixed = placed.groupBy("sh").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("sh")
+    return placed.join(mixed, "sh", "left_semi")
+
+
+def _pivot_pairs(placed: DataFrame, turn: int, similarity: tuple[int, int]) -> DataFrame:
+    """Members of each bucket with its pivot, where that is in another component; the most frequent pairs of each member.
+
+    Pivots are drawn by hash at first, later by how central a member is: what share of
+    its prefix it has in large buckets. A text amid its near copies comes first there.
+    """
+    num, den = similarity
+    if turn:
+        sizes = placed.groupBy("sh").agg(F.log2(F.count("*")).alias("size"))
+        central = placed.join(sizes, "sh").groupBy("id").agg((F.sum("size") / F.first("n")).alias("level"))
+        placed = placed.join(central.withColumn("level", F.round(F.col("level") * 64 / turn)), "id")
+    else:
+        placed = placed.withColumn("level", F.lit(0))
+    drawn = Window.partitionBy("sh").orderBy(F.desc("level"), F.xxhash64("id", "sh", F.lit(turn)))
+    rows = placed.select("id", "n", "component", *[F.first(c).over(drawn).alias(f"p{c}") for c in ("id", "n", "component")])
+    rows = rows.where((F.col("component") != F.col("pcomponent")) & (den * F.least("n", "pn") >= num * F.greatest("n", "pn")))
+    best = Window.partitionBy("id").orderBy(F.desc("times"), F.xxhash64("pid", "id"))
+    pairs = rows.groupBy("id", "pid").agg(F.count("*").alias("times")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= _PIVOTS)
+    return pairs.select(*_pair(F.col("id"), F.col("pid"))).distinct()
+
+
+def near_duplicates(
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, rounds: int = 2
+) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of each row.
 
     Null, empty and wordless texts have no shingles and no links: a component of their
@@ -216,17 +267,20 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     heads = _prefixes(own.where("id is not null"), sketch, words, similarity).join(reps, "id", "left_semi")
     parts = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     elements = heads.select("id", "n", F.posexplode("prefix").alias("pos", "sh")).select("sh", "id", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np")).repartition(int(parts), "sh")
-    order = Window.partitionBy("sh").orderBy(F.xxhash64("id"), "id")
-    shared = elements.select("*", F.first("id").over(order).alias("pivot"), F.first("np").over(order).alias("pnp"), F.lead("id").over(order).alias("next")).where("next is not null or id <> pivot")
-    shared = shared.select("sh", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"), "pivot", F.shiftright("pnp", 32).alias("pn")).checkpoint()
-
-    by_pivot = shared.where((F.col("id") != F.col("pivot")) & (den * F.least("n", "pn") >= num * F.greatest("n", "pn"))).select(*_pair(F.col("id"), F.col("pivot"))).distinct()
-    links = _verified(_suffix_filter(by_pivot, summary, similarity), own, words, similarity).unionByName(same_id).checkpoint()
-    found = connected_components(links)
-
-    placed = shared.select("sh", "id", "n", "pos").join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("sh").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("sh")
-    placed = placed.join(mixed, "sh", "left_semi").checkpoint()
+    order = Window.partitionBy("sh").orderBy("id")
+    shared = elements.select("*", F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("next")).where("coalesce(before, next) is not null")
+    shared = shared.select("sh", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")).checkpoint()
+
+    links = same_id.checkpoint()
+    found = links.select(F.col("x").alias("id"), F.col("x").alias("component")) if links.isEmpty() else connected_components(links)
+    for turn in range(rounds):
+        pairs = _pivot_pairs(_mixed(shared, found), turn, similarity)
+        new = _verified(_suffix_filter(pairs, summary, similarity), own, words, similarity).checkpoint()
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        found = connected_components(links)
+    placed = _mixed(shared, found).checkpoint()
     # first common element at (pos, pos'): the rest of each set must still hold 4 / 9 of both sizes (for 0.8)
     index = placed.where((num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n")).select("sh", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component")])
     need = num * (F.col("n") + F.col("n2"))
