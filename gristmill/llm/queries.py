@@ -15,6 +15,53 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.bpe import decode, encode
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    done = decode(encode(read_table(spark, sf_dir, "documents"), path), path)
+    return done.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.toxicity import held_out, score_toxicity
+
+    scored = score_toxicity(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("offending").cast("long").alias("n_offending")
+    )
+
+
+#: A conversation that imitates the template.
+_IMITATION = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.chat import format_turns, in_order, read_back
+
+    turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-7, 0, "user", _IMITATION), (-7, 1, "assistant", _IMITATION)], "conv_id long, turn long, role string, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return read_back(format_turns(in_order(turns.unionByName(own)), path), path)
+
+
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.media import features, sniff, store_texts
+
+    done = features(sniff(store_texts(read_table(spark, sf_dir, "documents"))))
+    return done.select(
+        "doc_id",
+        "n_bytes",
+        F.length("samples").cast("long").alias("payload_bytes"),
+        F.sha2("samples", 256).alias("payload_sha256"),
+        F.crc32(F.expr("substring(samples, -64)")).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+        "corrected",
+    )
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.jaccard import near_duplicates
 
@@ -30,12 +77,22 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op7_ngram_jaccard, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_toxicity, op4_chat_format, op7_ngram_jaccard, op9_media, op10_decontamination)}
 
 _WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _WORDS10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_ESCAPED = r"replace(replace(replace(replace(coalesce({0}, ''), '\', '\\'), '<s>', '<\s>'), '[INST]', '[\INST]'), '</s>', '<\/s>')"
+
 ORACLE_SQL = {
+    "op4_chat_format": rf"""
+WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '{_IMITATION}' UNION ALL SELECT -7, 1, 'assistant', '{_IMITATION}')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn), '')) AS loss_sha256,
+  CAST(sum(13 + length({_ESCAPED.format('role')}) + length({_ESCAPED.format('text')})) AS BIGINT) AS formatted_chars
+FROM turns GROUP BY conv_id""",
     "op7_ngram_jaccard": rf"""
 WITH RECURSIVE words AS MATERIALIZED (SELECT doc_id, {_WORDS7} AS w FROM documents),
 sh AS MATERIALIZED (
