@@ -10,17 +10,22 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+from array import array
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from gristmill.llm.textkit import lists, map_texts, one_thread
 
-#: Words whose ids a task remembers; at more, it forgets all.
-_REMEMBERED = 300_000
+#: Words whose ids a task remembers; at more, it forgets the long ones, or all.
+_REMEMBERED = 500_000
+#: Up to U+024F, composed form is given and lower case is that of Python.
+_OTHER = re.compile("[^\x00-\u024f]")
 _SHIFT = 20
 
 
@@ -43,7 +48,7 @@ class WordBpe:
         model = spec["model"]
         vocab: dict[str, int] = model["vocab"]
         end = model["end_of_word_suffix"] or ""
-        self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
+        self.library_form = Tokenizer.from_file(path).normalizer.normalize_str
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"].replace(r"^\s", r"^\p{White_Space}")).findall
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -58,7 +63,12 @@ class WordBpe:
         self.tokens = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in chain(vocab.items(), self.special.items()):
             self.tokens[i] = token
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.token_array = pa.array(self.tokens)
+        self.known: dict[str, bytes] = {}
+
+    def normalize(self, text: str) -> str:
+        """The normal form but for runs of white space, which no word has."""
+        return self.library_form(text) if _OTHER.search(text) else text.lower()
 
     def split(self, text: str) -> list[str]:
         """The words of a text; special strings are words of their own."""
@@ -73,10 +83,8 @@ class WordBpe:
 
     def learn(self, words: set[str]) -> None:
         """Finds the ids of new words, all at once."""
-        if len(self.known) + len(words) > _REMEMBERED:
-            self.known.clear()
         for word in words & self.special.keys():
-            self.known[word] = (self.special[word],)
+            self.known[word] = np.int32(self.special[word]).tobytes()
         new = [w for w in words if w not in self.known]
         sym: list[int] = []
         starts = []
@@ -124,21 +132,23 @@ class WordBpe:
                     heapq.heappush(active, rank)
                     break
         for word, s, e in zip(new, starts, starts[1:], strict=False):
-            self.known[word] = tuple(x for x in sym[s : e - 1] if x >= 0)
+            self.known[word] = array("i", [x for x in sym[s : e - 1] if x >= 0]).tobytes()
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, and how many each has."""
+        if len(self.known) > _REMEMBERED:
+            short = {w: ids for w, ids in self.known.items() if len(w) <= 8}
+            self.known = short if len(short) < _REMEMBERED // 2 else {}
         words = [self.split(x or "") for x in texts]
-        self.learn({w for ws in words for w in ws if w not in self.known})
-        known = self.known
-        if any(w not in known for ws in words for w in ws):  # forgotten just now
-            self.learn({w for ws in words for w in ws})
-        ids = [np.fromiter(chain.from_iterable(map(known.__getitem__, ws)), np.int32) for ws in words]
-        return np.concatenate([np.zeros(0, np.int32), *ids]), np.array([len(x) for x in ids], np.int64)
-
-    def decode(self, ids: list[int]) -> str:
+        self.learn(set(chain.from_iterable(words)) - self.known.keys())
+        ids = [b"".join(map(self.known.__getitem__, ws)) for ws in words]
+        return np.frombuffer(b"".join(ids), np.int32), np.array([len(x) // 4 for x in ids], np.int64)
+
+    def decode(self, ids: pa.ListArray) -> pa.Array:
         """As a library without a decoder does: tokens, joined by a space."""
-        return " ".join(map(self.tokens.__getitem__, ids))
+        flat = self.token_array.take(ids.flatten())
+        bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat), " ")
 
 
 _models: dict[str, WordBpe] = {}
@@ -184,7 +194,6 @@ def decode(encoded: DataFrame, tokenizer: str, *, ids: str = "ids") -> DataFrame
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                texts = [model.decode(x or []) for x in part.column(at).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, model.decode(part.column(at))], names=[*names, "decoded"])
 
     return encoded.select(*[encoded[f"`{c}`"] for c in names]).mapInArrow(run, schema)
