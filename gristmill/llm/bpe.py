@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from gristmill.llm.textkit import lists, map_texts, one_thread
 
 #: Words whose ids a task remembers; at more, it forgets the long ones, or all.
-_REMEMBERED = 500_000
+_REMEMBERED = 200_000
 #: Up to U+024F, composed form is given and lower case is that of Python.
 _OTHER = re.compile("[^\x00-\u024f]")
 _SHIFT = 20
@@ -64,6 +64,7 @@ class WordBpe:
         for token, i in chain(vocab.items(), self.special.items()):
             self.tokens[i] = token
         self.token_array = pa.array(self.tokens)
+        del spec, model, vocab, self.tokens
         self.known: dict[str, bytes] = {}
 
     def normalize(self, text: str) -> str:

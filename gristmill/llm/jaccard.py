@@ -37,8 +37,8 @@ SIMILARITY = (80, 100)
 _SKETCH_BITS = 20
 #: Bits of the map of documents that verification needs (4 MB).
 _MEMBER_BITS = 25
-#: Pivots that a document is compared with in one round; those left out are no loss, as step 4 is exact.
-_PIVOTS = 8
+#: Pivots that a document is compared with in the first and each later round; those left out are no loss, as step 4 is exact.
+_PIVOTS = (8, 64)
 _SLICES = 64
 _SLICE = (1 << _SKETCH_BITS) // _SLICES
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -222,21 +222,21 @@ def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
 def _pivot_pairs(placed: DataFrame, turn: int, similarity: tuple[int, int]) -> DataFrame:
     """Members of each bucket with its pivot, where that is in another component; the most frequent pairs of each member.
 
-    Pivots are drawn by hash at first, later by how central a member is: what share of
+    Pivots are drawn by hash, in odd rounds after how central a member is: what share of
     its prefix it has in large buckets. A text amid its near copies comes first there.
     """
     num, den = similarity
-    if turn:
+    if turn % 2:
         sizes = placed.groupBy("sh").agg(F.log2(F.count("*")).alias("size"))
         central = placed.join(sizes, "sh").groupBy("id").agg((F.sum("size") / F.first("n")).alias("level"))
-        placed = placed.join(central.withColumn("level", F.round(F.col("level") * 64 / turn)), "id")
+        placed = placed.join(central.withColumn("level", F.round(F.col("level") * 16)), "id")
     else:
         placed = placed.withColumn("level", F.lit(0))
     drawn = Window.partitionBy("sh").orderBy(F.desc("level"), F.xxhash64("id", "sh", F.lit(turn)))
     rows = placed.select("id", "n", "component", *[F.first(c).over(drawn).alias(f"p{c}") for c in ("id", "n", "component")])
     rows = rows.where((F.col("component") != F.col("pcomponent")) & (den * F.least("n", "pn") >= num * F.greatest("n", "pn")))
     best = Window.partitionBy("id").orderBy(F.desc("times"), F.xxhash64("pid", "id"))
-    pairs = rows.groupBy("id", "pid").agg(F.count("*").alias("times")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= _PIVOTS)
+    pairs = rows.groupBy("id", "pid").agg(F.count("*").alias("times")).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= _PIVOTS[min(turn, 1)])
     return pairs.select(*_pair(F.col("id"), F.col("pid"))).distinct()
 
 
