@@ -62,6 +62,32 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.quality import score_quality
+    from gristmill.llm.toxicity import held_out
+
+    scored = score_quality(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.secrets import scan_secrets
+
+    return scan_secrets(read_table(spark, sf_dir, "documents")).drop("found")
+
+
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.pii import find_personal_data
+
+    return find_personal_data(read_table(spark, sf_dir, "documents")).drop("found")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.jaccard import near_duplicates
 
@@ -77,7 +103,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_toxicity, op4_chat_format, op7_ngram_jaccard, op9_media, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_toxicity, op4_chat_format, op5_quality, op6_secrets, op7_ngram_jaccard, op8_personal_data, op9_media, op10_decontamination, pipeline)}
 
 _WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _WORDS10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
