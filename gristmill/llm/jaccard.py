@@ -241,7 +241,7 @@ def _pivot_pairs(placed: DataFrame, turn: int, similarity: tuple[int, int]) -> D
 
 
 def near_duplicates(
-    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, rounds: int = 2
+    docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: tuple[int, int] = SIMILARITY, rounds: int = 3
 ) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest id reachable by links) of each row.
 

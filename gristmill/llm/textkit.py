@@ -25,7 +25,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Bounds Arrow batches by bytes, as ten thousand long texts in one would fill an executor."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -71,6 +77,7 @@ def map_texts(
     `make` runs once in each task and returns a function from a text column to one
     column for each field. A kept column of the same name as a new one gives way to it.
     """
+    small_batches(df.sparkSession)
     new = [name for name, _ in fields]
     kept = [c for c in keep if c not in new]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in fields])
