@@ -146,7 +146,7 @@ def ordered_tags(text: Column, rules: Sequence[tuple[str, str]], defaults: Colum
 
 def packed_paragraphs(text: Column, most: int = 1200) -> Column:
     """Paragraphs put together greedily up to `most` characters; a longer one stays whole. One ordered fold."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n"), F.trim), lambda p: p != "")
+    paragraphs = F.filter(F.transform(F.split(text, r"\n"), lambda p: F.trim(p)), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(state: Column, p: Column) -> Column:

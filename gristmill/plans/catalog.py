@@ -71,7 +71,7 @@ def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _knn(spark, sf_dir)
 
 
-_TAGS = """t AS MATERIALIZED (SELECT r.item_id AS request, d.doc_id AS item, (CASE WHEN d.lang = r.lang THEN 1.0 ELSE 0.0 END) + (CASE WHEN d.source = r.source THEN 2.0 ELSE 0.0 END) AS score
+_TAGS = """t AS MATERIALIZED (SELECT r.item_id AS request, d.doc_id AS item, (CASE WHEN d.lang = r.lang THEN 1.0 ELSE 0.0 END) + (CASE WHEN d.source = r.source THEN 2.0 ELSE 0.0 END)::DOUBLE AS score
   FROM (SELECT item_id, 'src' || CAST(item_id % 20 AS VARCHAR) AS source, CASE item_id % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'fr' ELSE 'es' END AS lang FROM benchmark) r, documents d
   WHERE d.lang = r.lang OR d.source = r.source)"""
 
@@ -427,7 +427,7 @@ def refs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.\n]+'), lambda x: trim(x)), lambda x: length(x) >= 8) AS c FROM documents)
 SELECT doc_id, md5(coalesce(array_to_string(CASE WHEN len(list_filter(c, lambda x: regexp_matches(x, 'must|shall|the'))) > 0 THEN list_filter(c, lambda x: regexp_matches(x, 'must|shall|the'))[1:2] ELSE c[1:1] END, '|'), '')) AS clauses FROM s""")
 def mandatory_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clauses = F.filter(F.transform(F.split("text", r"[.\n]+"), F.trim), lambda x: F.length(x) >= 8)
+    clauses = F.filter(F.transform(F.split("text", r"[.\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 8)
     modal = F.filter(clauses, lambda x: x.rlike("must|shall|the"))
     chosen = F.when(F.size(modal) > 0, F.slice(modal, 1, 2)).otherwise(F.slice(clauses, 1, 1))
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(chosen, "|")).alias("clauses"))
