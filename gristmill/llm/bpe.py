@@ -60,11 +60,7 @@ class WordBpe:
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]):
             self.merges[vocab[a] << _SHIFT | vocab[b]] = (rank, vocab[a + b])
         self.pair_of = {rank: (pair, new) for pair, (rank, new) in self.merges.items()}
-        self.tokens = [""] * (max([*vocab.values(), *self.special.values()]) + 1)
-        for token, i in chain(vocab.items(), self.special.items()):
-            self.tokens[i] = token
-        self.token_array = pa.array(self.tokens)
-        del spec, model, vocab, self.tokens
+        del spec, model, vocab
         self.known: dict[str, bytes] = {}
 
     def normalize(self, text: str) -> str:
@@ -145,11 +141,22 @@ class WordBpe:
         ids = [b"".join(map(self.known.__getitem__, ws)) for ws in words]
         return np.frombuffer(b"".join(ids), np.int32), np.array([len(x) // 4 for x in ids], np.int64)
 
-    def decode(self, ids: pa.ListArray) -> pa.Array:
-        """As a library without a decoder does: tokens, joined by a space."""
-        flat = self.token_array.take(ids.flatten())
-        bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
-        return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), flat), " ")
+
+def token_table(path: str) -> pa.Array:
+    """The token of each id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    ids = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
+    out = [""] * (max(ids.values()) + 1)
+    for token, i in ids.items():
+        out[i] = token
+    return pa.array(out)
+
+
+def decoded(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
+    """As a library without a decoder does: tokens, joined by a space."""
+    bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), tokens.take(ids.flatten())), " ")
 
 
 _models: dict[str, WordBpe] = {}
@@ -191,10 +198,10 @@ def decode(encoded: DataFrame, tokenizer: str, *, ids: str = "ids") -> DataFrame
     schema = T.StructType([*[encoded.schema[c] for c in names], T.StructField("decoded", T.StringType())])
 
     def run(batches):
-        model = _model(tokenizer)
+        tokens = token_table(tokenizer)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, model.decode(part.column(at))], names=[*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoded(tokens, part.column(at))], names=[*names, "decoded"])
 
     return encoded.select(*[encoded[f"`{c}`"] for c in names]).mapInArrow(run, schema)

@@ -200,14 +200,21 @@ def _suffix_filter(pairs: DataFrame, summaries: DataFrame, similarity: tuple[int
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
     """The pairs that are links, by their whole sets."""
     num, den = similarity
-    pairs = pairs.checkpoint()
-    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct().checkpoint()
+    pairs = _written(pairs)
+    ids = pairs.select(F.col("x").alias("id")).union(pairs.select("y")).distinct()
+    ids = _written(ids)
     sets = _sets(docs, ids, k)
     both = pairs.join(sets.select(F.col("id").alias("x"), F.col("set").alias("sx")), "x").join(sets.select(F.col("id").alias("y"), F.col("set").alias("sy")), "y")
     common = F.size(F.array_intersect("sx", "sy"))
     return both.where((num + den) * common >= num * (F.size("sx") + F.size("sy"))).select("x", "y").distinct()
 
 
+def _written(rows: DataFrame, each: int = 100_000) -> DataFrame:
+    """A checkpoint, read in partitions of about `each` rows: few rows are no reason for many files in later shuffles."""
+    rows = rows.checkpoint()
+    return rows.coalesce(max(4, -(-rows.count() // each)))
+
+
 def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("x"), F.greatest(a, b).alias("y")]
 
@@ -269,25 +276,26 @@ def near_duplicates(
     elements = heads.select("id", "n", F.posexplode("prefix").alias("pos", "sh")).select("sh", "id", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np")).repartition(int(parts), "sh")
     order = Window.partitionBy("sh").orderBy("id")
     shared = elements.select("*", F.lag("id").over(order).alias("before"), F.lead("id").over(order).alias("next")).where("coalesce(before, next) is not null")
-    shared = shared.select("sh", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos")).checkpoint()
+    shared = shared.select("sh", "id", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
+    shared = _written(shared)
 
     links = same_id.checkpoint()
     found = links.select(F.col("x").alias("id"), F.col("x").alias("component")) if links.isEmpty() else connected_components(links)
     for turn in range(rounds):
         pairs = _pivot_pairs(_mixed(shared, found), turn, similarity)
-        new = _verified(_suffix_filter(pairs, summary, similarity), own, words, similarity).checkpoint()
+        new = _written(_verified(_suffix_filter(_written(pairs), summary, similarity), own, words, similarity))
         if new.isEmpty():
             break
         links = links.unionByName(new)
         found = connected_components(links)
-    placed = _mixed(shared, found).checkpoint()
+    placed = _written(_mixed(shared, found))
     # first common element at (pos, pos'): the rest of each set must still hold 4 / 9 of both sizes (for 0.8)
     index = placed.where((num + den) * (F.col("n") - F.col("pos")) >= 2 * num * F.col("n")).select("sh", *[F.col(c).alias(f"{c}2") for c in ("id", "n", "pos", "component")])
     need = num * (F.col("n") + F.col("n2"))
     smaller = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("id2") < F.col("id")))
     fits = (den * F.col("n2") >= num * F.col("n")) & ((num + den) * (F.col("n2") - F.col("pos2")) >= need) & ((num + den) * (F.col("n") - F.col("pos")) >= need)
     across = placed.join(index, "sh").where((F.col("component") != F.col("component2")) & smaller & fits).select(*_pair(F.col("id"), F.col("id2"))).distinct()
-    more = _verified(_suffix_filter(across, summary, similarity), own, words, similarity)
+    more = _verified(_suffix_filter(_written(across), summary, similarity), own, words, similarity)
     labels = found.select("id", F.col("component").alias("c"))
     crossing = more.join(labels.withColumnsRenamed({"id": "x", "c": "cx"}), "x", "left").join(labels.withColumnsRenamed({"id": "y", "c": "cy"}), "y", "left")
     crossing = crossing.select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).checkpoint()
