@@ -281,9 +281,11 @@ def near_duplicates(
 
     links = same_id.checkpoint()
     found = links.select(F.col("x").alias("id"), F.col("x").alias("component")) if links.isEmpty() else connected_components(links)
+    tested = links.limit(0)
     for turn in range(rounds):
-        pairs = _pivot_pairs(_mixed(shared, found), turn, similarity)
-        new = _written(_verified(_suffix_filter(_written(pairs), summary, similarity), own, words, similarity))
+        pairs = _written(_pivot_pairs(_mixed(shared, found), turn, similarity).join(tested, ["x", "y"], "left_anti"))
+        tested = tested.unionByName(pairs)
+        new = _written(_verified(_suffix_filter(pairs, summary, similarity), own, words, similarity))
         if new.isEmpty():
             break
         links = links.unionByName(new)
@@ -295,7 +297,7 @@ def near_duplicates(
     smaller = (F.col("n2") < F.col("n")) | ((F.col("n2") == F.col("n")) & (F.col("id2") < F.col("id")))
     fits = (den * F.col("n2") >= num * F.col("n")) & ((num + den) * (F.col("n2") - F.col("pos2")) >= need) & ((num + den) * (F.col("n") - F.col("pos")) >= need)
     across = placed.join(index, "sh").where((F.col("component") != F.col("component2")) & smaller & fits).select(*_pair(F.col("id"), F.col("id2"))).distinct()
-    more = _verified(_suffix_filter(_written(across), summary, similarity), own, words, similarity)
+    more = _verified(_suffix_filter(_written(across.join(tested, ["x", "y"], "left_anti")), summary, similarity), own, words, similarity)
     labels = found.select("id", F.col("component").alias("c"))
     crossing = more.join(labels.withColumnsRenamed({"id": "x", "c": "cx"}), "x", "left").join(labels.withColumnsRenamed({"id": "y", "c": "cy"}), "y", "left")
     crossing = crossing.select(F.coalesce("cx", "x").alias("x"), F.coalesce("cy", "y").alias("y")).checkpoint()
