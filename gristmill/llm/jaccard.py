@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.llm.components import connected_components
-from gristmill.llm.textkit import SPACED, Lexed, ensure_checkpoint_dir, lex, lists, map_texts, mix, slices
+from gristmill.llm.textkit import SPACED, Lexed, ensure_checkpoint_dir, lex, lists, map_texts, mix, slices, small_batches
 
 WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact.
@@ -258,6 +258,7 @@ def near_duplicates(
     Ids are integers; further columns play no part.
     """
     ensure_checkpoint_dir(docs.sparkSession)
+    small_batches(docs.sparkSession)
     num, den = similarity
     own = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     summaries = _summaries(own, words).checkpoint()

@@ -18,13 +18,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.llm.scan import digest, in_characters, listed, ordered, personal_spans, texts_of
-from gristmill.llm.textkit import SPACED, ensure_checkpoint_dir, lex, map_texts, slices
+from gristmill.llm.textkit import SPACED, ensure_checkpoint_dir, lex, map_texts, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "found")
 #: A pattern is sure from this score on and so many distinct trusted instances.
 SURE, SUPPORT, TURNS = 0.8, 5, 3
 #: Sure patterns that are broadcast; beyond, finds come by a join.
 BROADCAST_PATTERNS = 200_000
+_KEY, _FINDS = "\u0001key", "\u0001finds"
 _DIGITS = np.isin(np.arange(256), list(b"0123456789@"))
 
 
@@ -61,6 +62,7 @@ def _contexts(column: pa.Array) -> tuple[list[bytes], list[tuple[int, str, str,
 def pattern_scores(docs: DataFrame, *, text: str = "text", turns: int = TURNS) -> DataFrame:
     """pattern, score and support, from the pattern-instance graph of all texts."""
     ensure_checkpoint_dir(docs.sparkSession)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,45 +84,70 @@ def pattern_scores(docs: DataFrame, *, text: str = "text", turns: int = TURNS) -
     return scored
 
 
-def find_personal_data(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _finds(keyed: DataFrame, sure: DataFrame, text: str) -> DataFrame:
+    """By the hash of a text: begin and end (bytes) of its tokens in the context of a sure pattern; copies count once."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                keys, (_, context) = part.column(0).to_pylist(), _contexts(part.column(1))
+                rows = [(keys[d], p, a, b) for d, kind, _, patterns, a, b in context if not kind for p in patterns]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["key", "pattern", "begin", "end"])
+
+    candidates = keyed.select(_KEY, F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "key string, pattern string, begin int, end int").distinct()
+    return candidates.join(sure, "pattern", "left_semi").groupBy(F.col("key").alias(_KEY)).agg(F.collect_set(F.struct("begin", "end")).alias(_FINDS))
+
+
+def _columns(texts: list[bytes], extra: list[list]) -> list[pa.Array]:
+    """What find_personal_data returns, from texts and their finds."""
+    found, counts, digests, names = [], [[], [], [], []], [], []
+    for raw, more in zip(texts, extra, strict=True):
+        base = ordered(personal_spans(raw), KINDS)
+        added = sorted({s for s in more if all(s[2] <= b[1] or s[1] >= b[2] for b in base)})
+        chars = in_characters(raw, ordered(base + added, KINDS))
+        for n, kind in zip(counts, KINDS, strict=False):
+            n.append(sum(s[0] == kind for s in base))
+        digests.append(digest(listed([s for s in chars if s[0] != "found"])))
+        names.append(listed(chars))
+        found.append([{"kind": k, "begin": a, "end": b} for k, a, b in chars])
+    span = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
+    return [pa.array(found, span), *[pa.array(n, pa.int64()) for n in counts], pa.array(digests, pa.string()), pa.array(names, pa.string())]
+
+
+def find_personal_data(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), broadcast_patterns: int = BROADCAST_PATTERNS) -> DataFrame:
     """`keep` columns with found (kind, begin, end; code points), n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
     Base spans are those of the fixed patterns; tokens in the context of a sure pattern
     that no base span touches are added as kind "found". Null and empty texts have none.
-    Each row gives a row; further columns play no part.
+    Each row gives a row; further columns play no part. More than `broadcast_patterns`
+    sure patterns are not broadcast but joined, with the same finds.
     """
     sure = pattern_scores(docs, text=text).where((F.col("score") >= SURE) & (F.col("support") >= SUPPORT)).select("pattern").checkpoint()
-    count = sure.count()
-    blocks = max(1, -(-count // BROADCAST_PATTERNS))
-    spark = docs.sparkSession
-    shared = [spark.sparkContext.broadcast(frozenset(r["pattern"] for r in sure.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == b).collect())) for b in range(blocks)]
+    kind = T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
+    fields = [("found", T.ArrayType(kind)), *[(f"n_{k}", T.LongType()) for k in KINDS[:4]], ("base_sha256", T.StringType()), ("spans", T.StringType())]
+    if sure.count() > broadcast_patterns:
+        keyed = docs.withColumn(_KEY, F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
+        placed = keyed.join(_finds(keyed, sure, text), _KEY, "left")
+
+        def joined():
+            return lambda column, finds: _columns(texts_of(column), [[("found", s["begin"], s["end"]) for s in f or ()] for f in finds.to_pylist()])
+
+        return map_texts(placed, joined, fields, text=text, keep=keep, beside=[F.col(_FINDS)])
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["pattern"] for r in sure.toLocalIterator()))
 
     def make():
+        known = shared.value
+
         def kernel(column: pa.Array):
             texts, context = _contexts(column)
             extra: list[list] = [[] for _ in texts]
-            for block in shared:
-                known = block.value
-                for d, kind, _, patterns, a, b in context:
-                    if not kind and any(p in known for p in patterns):
-                        extra[d].append(("found", a, b))
-            found, counts, digests, names = [], [[], [], [], []], [], []
-            for raw, more in zip(texts, extra, strict=True):
-                base = ordered(personal_spans(raw), KINDS)
-                added = sorted({s for s in more if all(s[2] <= b[1] or s[1] >= b[2] for b in base)})
-                chars = in_characters(raw, ordered(base + added, KINDS))
-                for n, kind in zip(counts, KINDS, strict=False):
-                    n.append(sum(s[0] == kind for s in base))
-                digests.append(digest(listed([s for s in chars if s[0] != "found"])))
-                names.append(listed(chars))
-                found.append([{"kind": k, "begin": a, "end": b} for k, a, b in chars])
-            span = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
-            return [pa.array(found, span), *[pa.array(n, pa.int64()) for n in counts], pa.array(digests, pa.string()), pa.array(names, pa.string())]
+            for d, kind, _, patterns, a, b in context:
+                if not kind and any(p in known for p in patterns):
+                    extra[d].append(("found", a, b))
+            return _columns(texts, extra)
 
         return kernel
 
-    kind = T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    fields = [("found", T.ArrayType(kind)), *[(f"n_{k}", T.LongType()) for k in KINDS[:4]], ("base_sha256", T.StringType()), ("spans", T.StringType())]
     return map_texts(docs, make, fields, text=text, keep=keep)
 
 

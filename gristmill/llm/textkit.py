@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -70,25 +70,27 @@ def map_texts(
     *,
     text: str = "text",
     keep: Sequence[str] = ("doc_id",),
+    beside: Sequence[Column] = (),
     limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Adds `fields`, computed from whole texts, to the columns in `keep`.
 
-    `make` runs once in each task and returns a function from a text column to one
-    column for each field. A kept column of the same name as a new one gives way to it.
+    `make` runs once in each task and returns a function from a text column, and those
+    in `beside`, to one column for each field. A kept column of the same name as a new
+    one gives way to it.
     """
     small_batches(df.sparkSession)
     new = [name for name, _ in fields]
     kept = [c for c in keep if c not in new]
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(n, t) for n, t in fields])
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("\u0001text"))
+    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("\u0001text"), *beside)
     at = len(kept)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kernel = make()
         for batch in batches:
             for part in slices(batch, at, limit):
-                out = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in kernel(part.column(at))]
+                out = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in kernel(*part.columns[at:])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *out], names=[*kept, *new])
 
     return source.mapInArrow(_typed(run, schema), schema)

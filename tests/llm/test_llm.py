@@ -144,10 +144,21 @@ def test_base_spans_like_plain_patterns(spark, documents):
     for r in found.collect():
         t = texts[r["doc_id"]]
         assert r["base_sha256"] == sha(base_personal(t)) and set(filter(None, base_personal(t).split(","))) <= set(r["spans"].split(","))
+    joined = pii.find_personal_data(rows, keep=("doc_id", "text"), broadcast_patterns=-1)
+    assert sorted(map(str, joined.collect())) == sorted(map(str, found.collect()))
     for r in pii.mask(found).collect():
         assert not re.search(r"[a-z]@[a-z]+\.[a-z]", r["text"] or "")
 
 
+def test_contexts_find_unseen_identifiers(spark):
+    texts = [f"call me under +1 555 000 {i:04d} today" for i in range(40)] + ["number K7-2210-Q ok", None, ""] + ["see 9123 today"] * 3
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for most in (-1, 10**6):
+        spans = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(rows, broadcast_patterns=most).collect()}
+        assert [spans[i] for i in range(40, 46)] == ["", "", "", *["found:4:8"] * 3]
+    assert pii.find_personal_data(rows.limit(0), broadcast_patterns=-1).count() == 0
+
+
 def test_viterbi_falls_apart_exactly():
     import numpy as np
 
