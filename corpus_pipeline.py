@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm.bpe import decode, encode
+from gristmill.llm.bpe import encode
 from gristmill.llm.decontam import decontaminate
 from gristmill.llm.jaccard import near_duplicates
 from gristmill.llm.pii import find_personal_data, mask
@@ -46,8 +46,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the text that they decode to."""
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return decode(encode(docs, path, keep=("doc_id", "lang", "source")), path)
+    return encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"), decode_too=True)
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicate), ("decontamination", decontamination), ("personal_data", personal_data), ("bpe", bpe)]

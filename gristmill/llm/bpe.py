@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gristmill.llm.textkit import lists, map_texts, one_thread
+from gristmill.llm.textkit import lists, map_texts, one_thread, releasing
 
 #: Words whose ids a task remembers; at more, it forgets the long ones, or all.
 _REMEMBERED = 200_000
@@ -60,6 +60,7 @@ class WordBpe:
         for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]):
             self.merges[vocab[a] << _SHIFT | vocab[b]] = (rank, vocab[a + b])
         self.pair_of = {rank: (pair, new) for pair, (rank, new) in self.merges.items()}
+        self.tokens = _tokens(spec)
         del spec, model, vocab
         self.known: dict[str, bytes] = {}
 
@@ -142,10 +143,8 @@ class WordBpe:
         return np.frombuffer(b"".join(ids), np.int32), np.array([len(x) // 4 for x in ids], np.int64)
 
 
-def token_table(path: str) -> pa.Array:
+def _tokens(spec: dict) -> pa.Array:
     """The token of each id."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
     ids = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec["added_tokens"]}}
     out = [""] * (max(ids.values()) + 1)
     for token, i in ids.items():
@@ -153,6 +152,11 @@ def token_table(path: str) -> pa.Array:
     return pa.array(out)
 
 
+def token_table(path: str) -> pa.Array:
+    with open(path, encoding="utf-8") as f:
+        return _tokens(json.load(f))
+
+
 def decoded(tokens: pa.Array, ids: pa.ListArray) -> pa.Array:
     """As a library without a decoder does: tokens, joined by a space."""
     bounds = np.concatenate(([0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))))
@@ -170,22 +174,26 @@ def _model(path: str) -> WordBpe:
     return _models[path]
 
 
-def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), decode_too: bool = False) -> DataFrame:
     """`keep` columns with n_tokens and ids. Null and empty texts, and those of white space, have no ids.
 
-    Each row gives one row, repeated rows too; a kept column named like a new one gives way.
+    Each row gives one row, repeated rows too; a kept column named like a new one gives
+    way. `decode_too` adds `decoded` as `decode` does, without ids going to and from
+    another Python process.
     """
 
     def make():
         model = _model(tokenizer)
 
         def kernel(column: pa.Array):
-            ids, n = model.encode(column.to_pylist())
-            return [pa.array(n), lists(ids, n, pa.int32())]
+            flat, n = model.encode(column.to_pylist())
+            ids = lists(flat, n, pa.int32())
+            return [pa.array(n), ids, *([decoded(model.tokens, ids)] if decode_too else [])]
 
         return kernel
 
-    return map_texts(docs, make, [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType()))], text=text, keep=keep)
+    fields = [("n_tokens", T.LongType()), ("ids", T.ArrayType(T.IntegerType())), *([("decoded", T.StringType())] if decode_too else [])]
+    return map_texts(docs, make, fields, text=text, keep=keep)
 
 
 def decode(encoded: DataFrame, tokenizer: str, *, ids: str = "ids") -> DataFrame:
@@ -204,4 +212,4 @@ def decode(encoded: DataFrame, tokenizer: str, *, ids: str = "ids") -> DataFrame
                 part = batch.slice(start, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded(tokens, part.column(at))], names=[*names, "decoded"])
 
-    return encoded.select(*[encoded[f"`{c}`"] for c in names]).mapInArrow(run, schema)
+    return encoded.select(*[encoded[f"`{c}`"] for c in names]).mapInArrow(releasing(run), schema)

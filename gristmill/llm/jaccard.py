@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.llm.components import connected_components
-from gristmill.llm.textkit import SPACED, Lexed, ensure_checkpoint_dir, lex, lists, map_texts, mix, slices, small_batches
+from gristmill.llm.textkit import SPACED, Lexed, ensure_checkpoint_dir, lex, lists, map_texts, mix, releasing, slices, small_batches
 
 WORDS = 5
 #: Similarity as a fraction, so that comparisons are exact.
@@ -110,7 +110,7 @@ def _summaries(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([nil, nil, nil, nil, pa.array(parts, pa.binary()), pa.array(range(_SLICES), pa.int32())], names=names)
 
     names = ["id", "n", "s1", "s2", "hist", "slice"]
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, s1 long, s2 long, hist binary, slice int")
+    return docs.select("id", "text").mapInArrow(releasing(run), "id long, n long, s1 long, s2 long, hist binary, slice int")
 
 
 def _sketch(summaries: DataFrame) -> np.ndarray:
@@ -125,7 +125,7 @@ def _sketch(summaries: DataFrame) -> np.ndarray:
         for i, counts in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([np.minimum(counts, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["slice", "part"])
 
-    parts = summaries.where("slice is not null").select("slice", F.col("hist").alias("part")).repartition(8, "slice").mapInArrow(run, "slice int, part binary")
+    parts = summaries.where("slice is not null").select("slice", F.col("hist").alias("part")).repartition(8, "slice").mapInArrow(releasing(run), "slice int, part binary")
     table = np.zeros(1 << _SKETCH_BITS, np.int32)
     for row in parts.toLocalIterator():
         table[row["slice"] * _SLICE : (row["slice"] + 1) * _SLICE] = np.frombuffer(row["part"], np.int32)
@@ -177,7 +177,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), lists(values.view(np.int64), n, pa.int64())], names=["id", "set"])
 
     slotted = docs.where("id is not null").select("id", F.pmod(F.xxhash64("id"), F.lit(1 << _MEMBER_BITS)).alias("slot"), "text")
-    return slotted.mapInArrow(run, "id long, set array<long>").join(ids, "id", "left_semi")
+    return slotted.mapInArrow(releasing(run), "id long, set array<long>").join(ids, "id", "left_semi")
 
 
 def _suffix_filter(pairs: DataFrame, summaries: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -194,7 +194,7 @@ def _suffix_filter(pairs: DataFrame, summaries: DataFrame, similarity: tuple[int
             ok = [(num + den) * overlap_bound(a, b, n, m) >= num * (n + m) for n, m, a, b in zip(*columns, strict=True)]
             yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.select("x", "y", "nx", "ny", "hx", "hy").mapInArrow(run, "x long, y long").distinct()
+    return pairs.select("x", "y", "nx", "ny", "hx", "hy").mapInArrow(releasing(run), "x long, y long").distinct()
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:

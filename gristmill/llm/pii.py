@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.llm.scan import digest, in_characters, listed, ordered, personal_spans, texts_of
-from gristmill.llm.textkit import SPACED, ensure_checkpoint_dir, lex, map_texts, slices, small_batches
+from gristmill.llm.textkit import SPACED, ensure_checkpoint_dir, lex, map_texts, releasing, slices, small_batches
 
 KINDS = ("email", "ip", "card", "phone", "found")
 #: A pattern is sure from this score on and so many distinct trusted instances.
@@ -71,7 +71,7 @@ def pattern_scores(docs: DataFrame, *, text: str = "text", turns: int = TURNS) -
                 rows = [(p, value, kind != "") for _, kind, value, patterns, _, _ in found for p in patterns]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["pattern", "value", "seed"])
 
-    edges = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "pattern string, value string, seed boolean")
+    edges = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(releasing(run), "pattern string, value string, seed boolean")
     edges = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
     often = edges.groupBy("pattern").agg(F.count("*").alias("degree")).where(F.col("degree") >= SUPPORT)
     graph = edges.join(often, "pattern").checkpoint()
@@ -94,7 +94,7 @@ def _finds(keyed: DataFrame, sure: DataFrame, text: str) -> DataFrame:
                 rows = [(keys[d], p, a, b) for d, kind, _, patterns, a, b in context if not kind for p in patterns]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.int32(), pa.int32()))], names=["key", "pattern", "begin", "end"])
 
-    candidates = keyed.select(_KEY, F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(run, "key string, pattern string, begin int, end int").distinct()
+    candidates = keyed.select(_KEY, F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(releasing(run), "key string, pattern string, begin int, end int").distinct()
     return candidates.join(sure, "pattern", "left_semi").groupBy(F.col("key").alias(_KEY)).agg(F.collect_set(F.struct("begin", "end")).alias(_FINDS))
 
 
@@ -179,4 +179,4 @@ def mask(found: DataFrame, *, text: str = "text") -> DataFrame:
 
     names = found.columns
     at, where = names.index(text), names.index("found")
-    return found.mapInArrow(run, found.schema)
+    return found.mapInArrow(releasing(run), found.schema)

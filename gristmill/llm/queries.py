@@ -16,10 +16,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gristmill.llm.bpe import decode, encode
+    from gristmill.llm.bpe import encode
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    done = decode(encode(read_table(spark, sf_dir, "documents"), path), path)
+    done = encode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decode_too=True)
     return done.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -7,6 +7,7 @@ has. All separators that the lexers use are ASCII, hence splitting bytes is exac
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text in one slice; a single longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -93,7 +94,21 @@ def map_texts(
                 out = [c if isinstance(c, (pa.Array, pa.ChunkedArray)) else pa.array(c) for c in kernel(*part.columns[at:])]
                 yield pa.RecordBatch.from_arrays([*part.columns[:at], *out], names=[*kept, *new])
 
-    return source.mapInArrow(_typed(run, schema), schema)
+    return source.mapInArrow(releasing(_typed(run, schema)), schema)
+
+
+def releasing(run):
+    """`run`, whose process then gives freed memory back: workers are kept for later tasks, and several idle ones share an executor."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return whole
 
 
 def _typed(run, schema: T.StructType):

@@ -62,7 +62,9 @@ def test_bpe_like_the_library(spark, edges, documents):
     library = Tokenizer.from_file(path)
     texts = [*documents.values(), *[t for _, t in EDGES], "ΣΑΣ İ ﬁ x́ it's", "aaaaaaaaa ababababab"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for r in bpe.decode(bpe.encode(rows, path), path).collect():
+    got = bpe.decode(bpe.encode(rows, path), path).collect()
+    assert sorted(got) == sorted(bpe.encode(rows, path, decode_too=True).collect())
+    for r in got:
         ids = library.encode(texts[r["doc_id"]] or "", add_special_tokens=False).ids
         assert (r["ids"], r["n_tokens"], r["decoded"]) == (ids, len(ids), library.decode(ids, skip_special_tokens=False))
 
