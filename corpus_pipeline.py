@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from gristmill.llm.bpe import encode
 from gristmill.llm.decontam import decontaminate
 from gristmill.llm.jaccard import near_duplicates
-from gristmill.llm.pii import find_personal_data, mask
+from gristmill.llm.pii import find_personal_data
 from gristmill.llm.textkit import ensure_checkpoint_dir, read_table
 from gristmill.llm.toxicity import score_toxicity
 
@@ -40,7 +40,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data masked and n_chars counted anew."""
-    masked = mask(find_personal_data(docs, keep=COLUMNS))
+    masked = find_personal_data(docs, keep=COLUMNS, mask_too=True).withColumn("text", F.col("masked"))
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -98,9 +99,24 @@ def _finds(keyed: DataFrame, sure: DataFrame, text: str) -> DataFrame:
     return candidates.join(sure, "pattern", "left_semi").groupBy(F.col("key").alias(_KEY)).agg(F.collect_set(F.struct("begin", "end")).alias(_FINDS))
 
 
-def _columns(texts: list[bytes], extra: list[list]) -> list[pa.Array]:
+def _replaced(value: str, spans: list[tuple[str, int, int]]) -> str:
+    """The text with each span's kind in angle brackets in its place; overlapping spans are one, named by the first."""
+    merged: list[list] = []
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if merged and a < merged[-1][2]:
+            merged[-1][2] = max(merged[-1][2], b)
+        else:
+            merged.append([kind, a, b])
+    pieces, past = [], 0
+    for kind, a, b in merged:
+        pieces += [value[past:a], f"<{kind}>"]
+        past = b
+    return "".join([*pieces, value[past:]])
+
+
+def _columns(column: pa.Array, texts: list[bytes], extra: list[list], mask_too: bool) -> list[pa.Array]:
     """What find_personal_data returns, from texts and their finds."""
-    found, counts, digests, names = [], [[], [], [], []], [], []
+    found, counts, digests, names, masked = [], [[], [], [], []], [], [], []
     for raw, more in zip(texts, extra, strict=True):
         base = ordered(personal_spans(raw), KINDS)
         added = sorted({s for s in more if all(s[2] <= b[1] or s[1] >= b[2] for b in base)})
@@ -110,27 +126,31 @@ def _columns(texts: list[bytes], extra: list[list]) -> list[pa.Array]:
         digests.append(digest(listed([s for s in chars if s[0] != "found"])))
         names.append(listed(chars))
         found.append([{"kind": k, "begin": a, "end": b} for k, a, b in chars])
+        if mask_too:
+            masked.append(_replaced(raw.decode(), chars))
+    more = [pc.if_else(pc.is_valid(column), pa.array(masked, pa.string()), None)] if mask_too else []
     span = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int32()), ("end", pa.int32())]))
-    return [pa.array(found, span), *[pa.array(n, pa.int64()) for n in counts], pa.array(digests, pa.string()), pa.array(names, pa.string())]
+    return [pa.array(found, span), *[pa.array(n, pa.int64()) for n in counts], pa.array(digests, pa.string()), pa.array(names, pa.string()), *more]
 
 
-def find_personal_data(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), broadcast_patterns: int = BROADCAST_PATTERNS) -> DataFrame:
+def find_personal_data(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), broadcast_patterns: int = BROADCAST_PATTERNS, mask_too: bool = False) -> DataFrame:
     """`keep` columns with found (kind, begin, end; code points), n_email, n_ip, n_card, n_phone, base_sha256 and spans.
 
     Base spans are those of the fixed patterns; tokens in the context of a sure pattern
     that no base span touches are added as kind "found". Null and empty texts have none.
     Each row gives a row; further columns play no part. More than `broadcast_patterns`
-    sure patterns are not broadcast but joined, with the same finds.
+    sure patterns are not broadcast but joined, with the same finds. `mask_too` adds
+    `masked`, the text as `mask` gives it, in the same pass.
     """
     sure = pattern_scores(docs, text=text).where((F.col("score") >= SURE) & (F.col("support") >= SUPPORT)).select("pattern").checkpoint()
     kind = T.StructType([T.StructField("kind", T.StringType()), T.StructField("begin", T.IntegerType()), T.StructField("end", T.IntegerType())])
-    fields = [("found", T.ArrayType(kind)), *[(f"n_{k}", T.LongType()) for k in KINDS[:4]], ("base_sha256", T.StringType()), ("spans", T.StringType())]
+    fields = [("found", T.ArrayType(kind)), *[(f"n_{k}", T.LongType()) for k in KINDS[:4]], ("base_sha256", T.StringType()), ("spans", T.StringType()), *([("masked", T.StringType())] if mask_too else [])]
     if sure.count() > broadcast_patterns:
         keyed = docs.withColumn(_KEY, F.sha2(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), 256))
         placed = keyed.join(_finds(keyed, sure, text), _KEY, "left")
 
         def joined():
-            return lambda column, finds: _columns(texts_of(column), [[("found", s["begin"], s["end"]) for s in f or ()] for f in finds.to_pylist()])
+            return lambda column, finds: _columns(column, texts_of(column), [[("found", s["begin"], s["end"]) for s in f or ()] for f in finds.to_pylist()], mask_too)
 
         return map_texts(placed, joined, fields, text=text, keep=keep, beside=[F.col(_FINDS)])
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(r["pattern"] for r in sure.toLocalIterator()))
@@ -144,7 +164,7 @@ def find_personal_data(docs: DataFrame, *, text: str = "text", keep: tuple[str,
             for d, kind, _, patterns, a, b in context:
                 if not kind and any(p in known for p in patterns):
                     extra[d].append(("found", a, b))
-            return _columns(texts, extra)
+            return _columns(column, texts, extra, mask_too)
 
         return kernel
 
@@ -157,22 +177,8 @@ def mask(found: DataFrame, *, text: str = "text") -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, at):
-                out = []
-                for value, spans in zip(part.column(at).to_pylist(), part.column(where).to_pylist(), strict=True):
-                    if not spans:
-                        out.append(value)
-                        continue
-                    merged: list[list] = []
-                    for s in sorted(spans, key=lambda s: (s["begin"], -s["end"])):
-                        if merged and s["begin"] < merged[-1][2]:
-                            merged[-1][2] = max(merged[-1][2], s["end"])
-                        else:
-                            merged.append([s["kind"], s["begin"], s["end"]])
-                    pieces, past = [], 0
-                    for kind, a, b in merged:
-                        pieces += [value[past:a], f"<{kind}>"]
-                        past = b
-                    out.append("".join([*pieces, value[past:]]))
+                values = zip(part.column(at).to_pylist(), part.column(where).to_pylist(), strict=True)
+                out = [_replaced(v, [(x["kind"], x["begin"], x["end"]) for x in spans]) if spans else v for v, spans in values]
                 columns = list(part.columns)
                 columns[at] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=names)

@@ -148,6 +148,8 @@ def test_base_spans_like_plain_patterns(spark, documents):
         assert r["base_sha256"] == sha(base_personal(t)) and set(filter(None, base_personal(t).split(","))) <= set(r["spans"].split(","))
     joined = pii.find_personal_data(rows, keep=("doc_id", "text"), broadcast_patterns=-1)
     assert sorted(map(str, joined.collect())) == sorted(map(str, found.collect()))
+    in_pass = pii.find_personal_data(rows, mask_too=True).select("doc_id", "masked")
+    assert sorted(map(str, in_pass.collect())) == sorted(map(str, pii.mask(found).select("doc_id", F.col("text").alias("masked")).collect()))
     for r in pii.mask(found).collect():
         assert not re.search(r"[a-z]@[a-z]+\.[a-z]", r["text"] or "")
 
