@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions import jsontext, layout
 from gristmill.functions import text as tx
-from gristmill.operators import curation, evaluation, evidence, retrieval
+from gristmill.operators import chunks, curation, evaluation, evidence, retrieval
+from gristmill.plans import strategies
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -444,5 +446,90 @@ def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.token_estimate(F.col("text")).alias("tokens"))
 
 
+_BAD = r"text IS NULL OR text = '' OR regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{80}-\x{9F}]') OR len(regexp_extract_all(text, '[\p{L}\p{N}]')) < 0.35 * length(text)"
+_FRONT = r"NOT regexp_matches(coalesce(text, ''), '\S') OR len(regexp_extract_all(text, '[oe.·…]{4,}')) >= 3 OR len(regexp_extract_all(text, '[A-Za-z]')) > len(regexp_extract_all(text, '[一-鿿]'))"
+
+
+@query(f"SELECT doc_id, {_BAD} AS garbled, {_FRONT} AS front_matter FROM documents")
+def garbled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", chunks.is_garbled(t).alias("garbled"), chunks.is_front_matter(t).alias("front_matter"))
+
+
+_CHUNKS = """SELECT p_partkey, 'C-' || CAST(p_partkey AS VARCHAR) AS chunk_id, CASE p_partkey % 4 WHEN 0 THEN 'JGJ-196-2010' WHEN 1 THEN 'JGJ-33-2012' ELSE 'GB-1-2000' END AS code,
+  CAST(p_size AS VARCHAR) || '.' || CAST(p_partkey % 150 AS VARCHAR) AS article, CASE WHEN p_partkey % 7 = 0 THEN '04' ELSE '09' END AS chapter_no, p_name AS title, '正文：' || p_type AS text FROM part"""
+
+
+@query(f"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN code = 'JGJ-196-2010' THEN 'standard_not_in_scope' WHEN p_partkey % 150 > 99 THEN 'pseudo_article_number'
+  WHEN code = 'JGJ-33-2012' AND replace(p_type, ' ', '') = article || replace(title, ' ', '') THEN 'jgj33_section_title'
+  WHEN code = 'JGJ-33-2012' AND chapter_no <> '04' AND NOT regexp_matches(article, '^8\\.[45]\\.') THEN 'jgj33_not_whitelisted' WHEN regexp_matches(article, '^0\\.|^[1-9]\\.0$') THEN 'malformed_article_id'
+  WHEN length(replace(p_type, ' ', '')) <= 16 THEN 'section_title_stub' END AS reason FROM (SELECT c.*, p_type FROM ({_CHUNKS}) c JOIN part USING (p_partkey))) WHERE reason IS NOT NULL GROUP BY reason""")
+def chunk_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    code = F.when(key % 4 == 0, "JGJ-196-2010").when(key % 4 == 1, "JGJ-33-2012").otherwise("GB-1-2000")
+    rows = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("C-"), key).alias("chunk_id"), code.alias("standard_code"), F.lit("article").alias("chunk_kind"), F.concat_ws(".", size, (key % 150).cast("string")).alias("article_id"),
+        F.when(key % 7 == 0, "04").otherwise("09").alias("chapter_no"), F.col("p_name").alias("title"), F.concat(F.lit("正文："), "p_type").alias("text"), *[F.lit("").alias(c) for c in ("chapter", "source_path", "asset_path", "related_article_id")]
+    )
+    return chunks.report(rows).select("reason", "n")
+
+
+_SECTIONS = "SELECT n_nationkey AS section, n_nationkey * 3 AS first, n_nationkey * 3 + 4 AS last FROM nation"
+
+
+@query(f"""SELECT l_orderkey AS doc, section, md5(string_agg(l_shipmode, chr(10) ORDER BY l_linenumber, l_shipmode)) AS digest FROM (SELECT l_orderkey, l_linenumber, l_returnflag || l_linestatus AS l_shipmode FROM lineitem)
+  JOIN ({_SECTIONS}) ON l_linenumber BETWEEN first AND last GROUP BY ALL""")
+def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").alias("page"), F.concat("l_returnflag", "l_linestatus").alias("text"))
+    spans = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("section"), (F.col("n_nationkey") * 3).alias("first"), (F.col("n_nationkey") * 3 + 4).alias("last"))
+    return layout.page_sections(pages, spans).select("doc", "section", F.md5("text").alias("digest"))
+
+
+@query("""SELECT p_partkey, CASE WHEN starts_with(p_type, 'STANDARD') THEN 'a,b' WHEN starts_with(p_type, 'S') THEN 'c' ELSE '' END AS hint FROM part""")
+def standard_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(layout.by_prefix(F.col("p_type"), {"STANDARD": ["a", "b"], "S": ["c"]}), ",").alias("hint"))
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(p_type, 'STEEL') THEN '禁止行为' ELSE '一般要求' END AS kind FROM part""")
+def requirement_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.when(F.contains("p_type", F.lit("STEEL")), F.lit("不得使用，应检查")).otherwise(F.col("p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", chunks.requirement_type(F.lit("article"), F.lit(None).cast("string"), text).alias("kind"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def reply_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    reply = F.concat(F.lit("<think>{no}</think> Here: "), "props", F.lit(" - that is all {"))
+    return table(spark, sf_dir, "events").select("event_id", F.from_json(jsontext.json_of(reply), "k long")["k"].alias("k"))
+
+
+@query()
+def ocr_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages are orders, words their lines."""
+    word = F.struct((F.col("l_partkey") % 500).cast("int").alias("x"), (F.col("l_suppkey") % 40).cast("int").alias("y"), F.lit(12).alias("h"), F.col("l_linenumber").cast("string").alias("text"))
+    pages = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(word)).alias("words"))
+    return pages.select("l_orderkey", layout.page_lines(F.col("words")).alias("body"))
+
+
+def _libraries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Requests from benchmark, norms and cases from documents with even and odd ids; a case refers to the norm before it."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text", F.array("lang", "source").alias("tags"))
+    norms = docs.where("item % 2 = 0").withColumn("ref", F.col("item"))
+    cases = docs.where("item % 2 = 1").withColumn("refs", F.array(F.col("item") - 1))
+    requests = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request"), "text", F.array(F.concat(F.lit("src"), F.col("item_id") % 20)).alias("tags"))
+    return requests, norms, cases
+
+
+@query()
+def strategy_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = strategies.benchmark(*_libraries(spark, sf_dir), strategies.EngineConfig())
+    return runs.groupBy("variant", "kind").agg(F.count("*").alias("n"), F.count("linked").alias("n_linked"))
+
+
+@query()
+def ablation_study(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = strategies.ablation_study(*_libraries(spark, sf_dir), strategies.EngineConfig(), ["full", "no_case_evidence", "no_case_norm_linker"])
+    return runs.groupBy("ablation", "kind").agg(F.count("*").alias("n"), F.count("linked").alias("n_linked"))
+
+
 QUERIES["flagship"] = rrf_fuse
 ORACLE_SQL["flagship"] = _FUSED
