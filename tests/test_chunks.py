@@ -135,3 +135,37 @@ def test_authoring_ends_after_retries(spark):
     lacking = lambda df: df.withColumns({"passed": F.lit(False), "reason": F.lit("evidence_insufficient"), "cases": F.lit(True)})
     asked = strategies.authored(states, author, lacking, gather=lambda df: df).collect()
     assert {r["passes"] for r in asked} == {2}
+
+
+def test_tags_and_themes(spark, tmp_path):
+    from gristmill.functions import tagging
+
+    (tmp_path / "t.yaml").write_text('scenario_rules:\n  - ["临边", "临边作业"]\n  - ["搭设", "脚手架搭设"]\nhazard_rules:\n  - ["荷载", "构件失稳"]\nstandard_tag_hints:\n  GB-6:\n    scenario: ["安全带"]\n  GB:\n    hazard: ["触电"]\nhazard_fallback:\n', encoding="utf-8")
+    tax = tagging.read_taxonomy(str(tmp_path / "t.yaml"))
+    assert tax.hazard_fallback == ("构件失稳",)
+    rows = [("临边脚手架搭设荷载", "GB-1", "x"), ("无", "GB-6095", "坍塌"), ("", "X", "触电"), (None, None, None)]
+    df = spark.createDataFrame(rows, "t string, c string, a string").withColumn("s", tagging.scenario_tags(F.col("t"), tax, F.col("c")))
+    df = df.withColumn("h", tagging.hazard_tags(F.col("t"), F.col("s"), tax, F.col("c")))
+    got = df.select("s", "h", tagging.theme(F.col("s"), F.col("a")).alias("theme"), tagging.or_fallback(F.col("s"), F.col("h"), tax).alias("f")).collect()
+    assert got[0]["s"] == ["高处作业", "临边作业", "脚手架搭设", "脚手架使用"]
+    assert got[0]["h"] == ["高处坠落", "构件失稳", "坍塌", "触电"]
+    assert [r["theme"] for r in got] == ["脚手架", "高处作业", "临时用电", None]
+    assert (got[1]["s"], got[1]["h"]) == (["安全带"], ["高处坠落"])
+    assert (got[2]["f"]["scenarios"], got[2]["f"]["hazards"]) == (["脚手架使用"], ["构件失稳"])
+    assert got[3]["s"] == []
+
+
+def test_evidence_lines(spark):
+    from gristmill.functions import prompts
+
+    known = ("chunk_id", "title", "process", "causes", "text")
+    df = spark.createDataFrame([([("a", "", "p", "c", None), (None, "t", "", "", "x" * 300)],), ([],), (None,)], "e array<struct<chunk_id:string,title:string,process:string,causes:string,text:string>>")
+    got = [r["o"] for r in df.select(prompts.evidence_lines(F.col("e"), known, prompts.CASE, "none").alias("o")).collect()]
+    lines = [json.loads(x) for x in got[0].split("\n")]
+    assert [(x["rank"], x["chunk_id"], x["case_title"], len(x["text"])) for x in lines] == [(1, "a", "", 3), (2, "", "t", 223)]
+    assert got[1:] == ["none", "none"]
+    assert [[w["summary"] for w in r["o"]] for r in df.limit(2).select(prompts.case_warnings(F.col("e"), known).alias("o")).collect()] == [["p\nc"], []]
+    told = df.limit(2).select(prompts.diagnostics(F.lit("bm25"), F.array(F.lit("n")), F.col("e")["chunk_id"], F.lit(True)).alias("d")).collect()
+    assert [(r["d"]["norm_count"], r["d"]["case_note"] is None) for r in told] == [(1, True), (1, False)]
+    pages = spark.createDataFrame([(1, 2), (3, None), (None, None)], "a int, b int").select(prompts.page_range(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r["p"] for r in pages] == ["1-2", "3", ""]
