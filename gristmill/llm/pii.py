@@ -73,7 +73,7 @@ def pattern_scores(docs: DataFrame, *, text: str = "text", turns: int = TURNS) -
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.string(), pa.bool_()))], names=["pattern", "value", "seed"])
 
     edges = docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(releasing(run), "pattern string, value string, seed boolean")
-    edges = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    edges = edges.groupBy("pattern", "value").agg(F.max("seed").alias("seed")).checkpoint()  # read twice
     often = edges.groupBy("pattern").agg(F.count("*").alias("degree")).where(F.col("degree") >= SUPPORT)
     graph = edges.join(often, "pattern").checkpoint()
     trust = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust"))
