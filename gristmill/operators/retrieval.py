@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 K1, B, RRF_K, DEPTH = 1.2, 0.75, 60, 20
 #: Request vectors that one pass compares with; more are taken in several passes.
@@ -57,17 +58,19 @@ def best_fields(routes: list[tuple[DataFrame, float]], k: int = DEPTH) -> DataFr
 
 
 def nearest(items: DataFrame, requests: DataFrame, k: int = DEPTH, digits: int = 6) -> DataFrame:
-    """Exact cosine top k; items: item, vector; requests: request, vector (a stated query set, taken in blocks).
+    """Exact cosine top k; items: item (a number), vector; requests: request (of any type), vector (a stated query set, taken in blocks).
 
     Each task keeps k candidates of each request, so the shuffle is k rows a task and request.
     """
+    spark = items.sparkSession
     rows = requests.select("request", "vector").orderBy("request").collect()
+    named = spark.createDataFrame([(i, r["request"]) for i, r in enumerate(rows)], StructType([StructField("at", LongType()), requests.schema["request"]]))
     out = None
     for at in range(0, max(1, len(rows)), VECTOR_BLOCK):
         block = rows[at : at + VECTOR_BLOCK]
-        names = np.array([r["request"] for r in block], np.int64)
-        wanted = np.array([r["vector"] for r in block], np.float64).reshape(len(block), -1)
-        shared = items.sparkSession.sparkContext.broadcast((names, wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-12)))
+        names = np.arange(at, at + len(block))
+        wanted = np.array([r["vector"] for r in block], np.float64).reshape(len(block), -1 if block else 0)
+        shared = spark.sparkContext.broadcast((names, wanted / np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-12)))
 
         def run(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             names, wanted = shared.value
@@ -84,11 +87,11 @@ def nearest(items: DataFrame, requests: DataFrame, k: int = DEPTH, digits: int =
                 best = np.take_along_axis(score, order, 1), np.take_along_axis(item, order, 1)
             if best is not None:
                 n = best[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best[1].ravel().astype(np.int64)), pa.array(best[0].ravel())], names=["request", "item", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, n)), pa.array(best[1].ravel().astype(np.int64)), pa.array(best[0].ravel())], names=["at", "item", "score"])
 
-        part = items.select(F.col("item").cast("long").alias("item"), "vector").mapInArrow(run, "request long, item long, score double")
+        part = items.select(F.col("item").cast("long").alias("item"), "vector").mapInArrow(run, "at long, item long, score double")
         out = part if out is None else out.unionByName(part)
-    return top_k(out, k)
+    return top_k(out.join(F.broadcast(named), "at").select("request", "item", "score"), k)  # named is the request set
 
 
 def tag_route(items: DataFrame, requests: DataFrame, families: dict[str, float], k: int = DEPTH) -> DataFrame:

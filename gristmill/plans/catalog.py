@@ -511,12 +511,17 @@ def ocr_reading_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _libraries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Requests from benchmark, norms and cases from documents with even and odd ids; a case refers to the norm before it."""
+    """Requests from benchmark, norms and cases from documents with even and odd ids; a case refers to the norm before it.
+
+    Documents have the vector of their number, where there is one; that of request r is 3 r, those after it are its rewordings'.
+    """
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text", F.array("lang", "source").alias("tags"))
+    docs = docs.join(vectors.withColumnRenamed("vec_id", "item"), "item", "left")
     norms = docs.where("item % 2 = 0").withColumn("ref", F.col("item"))
     cases = docs.where("item % 2 = 1").withColumn("refs", F.array(F.col("item") - 1))
     requests = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("request"), "text", F.array(F.concat(F.lit("src"), F.col("item_id") % 20)).alias("tags"))
-    return requests, norms, cases
+    return requests.join(vectors.select((F.col("vec_id") / 3).cast("long").alias("request"), "vector").where("vec_id % 3 = 0"), "request", "left"), norms, cases
 
 
 @query()

@@ -1,7 +1,8 @@
 """Strategies that answer requests from evidence, their ablations, and the staged program of the full one.
 
 A strategy takes requests (request, text, tags) and the libraries of norms and cases
-(item, text, tags; cases also refs, norms also ref) and returns one row for each request
+(item, text, tags; cases also refs, norms also ref), all with vector where there are
+embeddings, and returns one row for each request
 and evidence: request, kind, item, rank, linked. Model calls are functions that the
 caller gives: they take and return DataFrames, so that they run on executors.
 """
@@ -12,7 +13,7 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.text import tokens
@@ -31,7 +32,7 @@ class EngineConfig:
     query_rewrite: bool = True
     deterministic_ground: bool = True
     arbitration: bool = True
-    #: From requests to request, text: further wordings of a request; rewriting is the model's part.
+    #: From requests to request, text (and vector): further wordings of a request; rewriting is the model's part.
     rewrite: Callable[[DataFrame], DataFrame] | None = None
 
 
@@ -77,14 +78,28 @@ def _words(items: DataFrame, requests: DataFrame, k: int) -> DataFrame:
     return retrieval.bm25(items.select("item", "text"), requests.select("request", "text"), tokens, k)
 
 
+def _wordings(requests: DataFrame, more: DataFrame | None) -> DataFrame:
+    """request, wording, text and vector (null without one): the request itself is wording 0, the others are numbered by their text."""
+    shape = lambda df, n: df.select("request", n.alias("wording"), "text", (F.col("vector") if "vector" in df.columns else F.lit(None)).cast("array<double>").alias("vector"))
+    out = shape(requests, F.lit(0))
+    return out if more is None else out.unionByName(shape(more, F.row_number().over(Window.partitionBy("request").orderBy("text"))))
+
+
 def hybrid(items: DataFrame, requests: DataFrame, config: EngineConfig, more: DataFrame | None = None) -> DataFrame:
-    """Fused ranks of a word route for each wording of a request, and a tag route."""
-    routes = [_words(items, requests, retrieval.DEPTH)]
-    if more is not None:
-        routes.append(_words(items, more, retrieval.DEPTH))
-    routes.append(retrieval.tag_route(items, requests, dict(config.tag_weights or {"tags": 1.0})))
-    numbered = [r.select("request", F.lit(i).alias("route"), "item", "rank") for i, r in enumerate(routes)]
-    return retrieval.fuse(reduce(DataFrame.unionByName, numbered), config.top_k).select("request", "item", "rank")
+    """Fused ranks of a word route and a vector route for each wording of a request, and a tag route.
+
+    Each wording is ranked on its own, so that distinct wordings don't become one bag of terms.
+    The vector route takes the items and wordings that have a vector.
+    """
+    asked = _wordings(requests, more).withColumn("request", F.struct("request", "wording"))
+    lists = [_words(items, asked, retrieval.DEPTH)]
+    if "vector" in items.columns:
+        lists.append(retrieval.nearest(items.where("vector is not null"), asked.where("vector is not null"), retrieval.DEPTH))
+    route = lambda n, wording: F.struct(F.lit(n).alias("kind"), wording.alias("wording")).alias("route")
+    routes = [r.select("request.request", route(i, F.col("request.wording")), "item", "rank") for i, r in enumerate(lists)]
+    tagged = retrieval.tag_route(items, requests, dict(config.tag_weights or {"tags": 1.0}))
+    routes.append(tagged.select("request", route(len(lists), F.lit(0)), "item", "rank"))
+    return retrieval.fuse(reduce(DataFrame.unionByName, routes), config.top_k).select("request", "item", "rank")
 
 
 @strategy("llm_only")

@@ -124,6 +124,17 @@ def test_strategies_and_ablations(libraries):
         strategies.chosen("none")
 
 
+def test_hybrid_has_a_vector_route_and_a_list_for_each_wording(spark):
+    rows = [(i, f"p{i}", ["n"], [0.0, 1.0]) for i in range(1, 26)] + [(98, "apart", ["n"], [1.0, 0.0]), (99, "c " + "pad " * 30, ["n"], None)]
+    items = spark.createDataFrame(rows, "item long, text string, tags array<string>, vector array<double>")
+    requests = spark.createDataFrame([(1, "q", ["x"], [1.0, 0.1])], "request long, text string, tags array<string>, vector array<double>")
+    more = spark.createDataFrame([(1, " ".join(f"p{i}" for i in range(1, 26))), (1, "c")], "request long, text string")
+    got = lambda i, r, m=None: [x["item"] for x in strategies.hybrid(i, r, strategies.EngineConfig(), m).orderBy("rank").collect()]
+    assert got(items, requests)[0] == 98  # shares neither word nor tag
+    assert 99 in got(items.drop("vector"), requests.drop("vector"), more)  # one bag of all wordings has 25 better ones
+    assert got(items, requests.drop("vector"), more)[:2] == [99, 1]
+
+
 def test_authoring_ends_after_retries(spark):
     states = spark.createDataFrame([(1, 0), (2, 1), (3, 9)], "request long, fails int")
     author = lambda df: df.withColumn("draft", F.col("passes"))
