@@ -530,10 +530,41 @@ def strategy_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("variant", "kind").agg(F.count("*").alias("n"), F.count("linked").alias("n_linked"))
 
 
+def _rewrite(spark: SparkSession, sf_dir: str) -> Callable[[DataFrame], DataFrame]:
+    """In a model's place: the halves of a request's words are its further wordings."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    words, half = F.split("text", " +"), F.ceil(F.size(F.split("text", " +")) / 2).cast("int")
+    halves = F.array(F.array_join(F.slice(words, F.lit(1), half), " "), F.array_join(F.slice(words, half + 1, F.size(words)), " "))
+
+    def rewrite(requests: DataFrame) -> DataFrame:
+        rows = requests.select("request", F.posexplode(halves).alias("n", "text"))
+        return rows.join(vectors, F.col("vec_id") == 3 * F.col("request") + 1 + F.col("n"), "left").select("request", "text", "vector")
+
+    return rewrite
+
+
+def _draft(states: DataFrame) -> DataFrame:
+    """In a model's place: cites two norms and a case; every third request's first draft cites what is in no evidence."""
+    first = lambda kind, n: F.slice(F.filter("evidence", lambda e: e["kind"] == kind), 1, n)
+    stray = F.array(F.struct(F.lit("norm").alias("kind"), F.lit(-1).cast("long").alias("item")))
+    return states.withColumn("cited", F.concat(first("norm", 2), first("case", 1), F.slice(stray, 1, F.when((F.col("request") % 3 == 0) & (F.col("passes") == 0), 1).otherwise(0))))
+
+
+def _judge(drafts: DataFrame) -> DataFrame:
+    """In a model's place: every fifth request has a false alarm, every seventh's first draft lacks evidence."""
+    kinds = F.array(F.when(F.col("request") % 5 == 0, "hallucination"), F.when((F.col("request") % 7 == 0) & (F.col("passes") == 0), "evidence_insufficient"))
+    return drafts.withColumn("issues", F.array_compact(kinds))
+
+
 @query()
 def ablation_study(spark: SparkSession, sf_dir: str) -> DataFrame:
-    runs = strategies.ablation_study(*_libraries(spark, sf_dir), strategies.EngineConfig(), ["full", "no_case_evidence", "no_case_norm_linker"])
-    return runs.groupBy("ablation", "kind").agg(F.count("*").alias("n"), F.count("linked").alias("n_linked"))
+    """Evidence of all six ablations by kind, with their final drafts: passes, those that passed the check, citations outside the evidence."""
+    requests, norms, cases = _libraries(spark, sf_dir)
+    config = strategies.EngineConfig(rewrite=_rewrite(spark, sf_dir))
+    found = strategies.ablation_study(requests, norms, cases, config, keep=True)
+    drafts = strategies.ablated_drafts(requests, found, config, _draft, _judge)
+    told = drafts.groupBy("ablation").agg(F.sum("passes").alias("passes"), F.count_if("passed").alias("n_passed"), F.sum(F.size(F.array_except("cited", "evidence"))).alias("n_outside"))
+    return found.groupBy("ablation", "kind").agg(F.count("*").alias("n"), F.count("linked").alias("n_linked")).join(told, "ablation")
 
 
 QUERIES["flagship"] = rrf_fuse

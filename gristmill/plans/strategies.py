@@ -146,13 +146,64 @@ def benchmark(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: E
     return reduce(DataFrame.unionByName, runs)
 
 
-def ablation_study(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: EngineConfig, names: list[str] | None = None) -> DataFrame:
-    """Evidence of the full strategy under each ablation, with its name as ablation."""
-    runs = [STRATEGIES["proposed"](requests, norms, cases, ablated(config, n)).withColumn("ablation", F.lit(n)) for n in names or list(ABLATIONS)]
+def ablation_study(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: EngineConfig, names: list[str] | None = None, keep: bool = False) -> DataFrame:
+    """Evidence of the full strategy under each ablation, with its name as ablation.
+
+    Ablations that act on drafts alone (see ablated_drafts) share the evidence of the full strategy, which is retrieved once.
+    With keep, each retrieval goes to the checkpoint folder before the next one is planned.
+    """
+    alike: dict[EngineConfig, list[str]] = {}
+    for n in names or list(ABLATIONS):
+        alike.setdefault(replace(ablated(replace(config, tag_weights=None), n), deterministic_ground=True, arbitration=True), []).append(n)
+    if keep:
+        checkpoints(requests.sparkSession)
+    runs = []
+    for c, ns in alike.items():
+        found = STRATEGIES["proposed"](requests, norms, cases, replace(c, tag_weights=config.tag_weights))
+        runs.append((found.checkpoint() if keep else found).withColumn("ablation", F.explode(F.array(*map(F.lit, ns)))))
+    return reduce(DataFrame.unionByName, runs)
+
+
+def checked(judge: Callable[[DataFrame], DataFrame], config: EngineConfig) -> Callable[[DataFrame], DataFrame]:
+    """The check of drafts (evidence, cited: arrays of kind and item) by the model's `judge`, which sets issues, and by citations.
+
+    A citation outside the evidence is a hallucination, norms in the evidence of which
+    none is cited are insufficient evidence, and the model's hallucinations count only
+    where a citation bears them out. Without deterministic_ground the model's issues stand alone.
+    """
+    outside = F.size(F.array_except("cited", "evidence")) > 0
+    norm = lambda x: F.exists(x, lambda e: e["kind"] == "norm")
+    issue = lambda where, kind: F.when(where, F.array(F.lit(kind))).otherwise(F.array().cast("array<string>"))
+    found = F.concat(issue(outside, "hallucination"), issue(norm(F.col("evidence")) & ~norm(F.array_intersect("cited", "evidence")), "evidence_insufficient"))
+    issues = F.concat(F.filter("issues", lambda i: (i != "hallucination") | outside), found) if config.deterministic_ground else F.col("issues")
+
+    def check(drafts: DataFrame) -> DataFrame:
+        judged = judge(drafts).withColumn("issues", issues)
+        return judged.withColumns({"passed": F.size("issues") == 0, "reason": evidence.retry_reason(F.col("issues")), "cases": F.lit(config.case_evidence)})
+
+    return check
+
+
+def ablated_drafts(
+    requests: DataFrame, found: DataFrame, config: EngineConfig, author: Callable[[DataFrame], DataFrame], judge: Callable[[DataFrame], DataFrame], gather: Callable[[DataFrame], DataFrame] | None = None, names: list[str] | None = None
+) -> DataFrame:
+    """Final drafts of every request under each ablation, from the evidence of ablation_study (read once for each ablation: keep it).
+
+    `author` sees request, evidence (array of kind and item, in order) and passes, and sets
+    cited (array of the same type). Returned: what authored() does, with ablation and evidence.
+    """
+    place = F.struct("kind", F.coalesce("rank", F.lit(2**31 - 1)).alias("rank"), "item")
+    runs = []
+    for n in names or list(ABLATIONS):
+        c = ablated(config, n)
+        shown = found.where(F.col("ablation") == n).groupBy("request").agg(F.transform(F.array_sort(F.collect_list(place)), lambda e: F.struct(e["kind"].alias("kind"), e["item"].alias("item"))).alias("evidence"))
+        states = requests.select("request").join(shown, "request", "left")
+        states = states.withColumn("evidence", F.coalesce("evidence", F.array().cast(shown.schema["evidence"].dataType)))
+        runs.append(authored(states, author, checked(judge, c), c, gather).withColumn("ablation", F.lit(n)))
     return reduce(DataFrame.unionByName, runs)
 
 
-def _checkpoints(spark: SparkSession) -> None:
+def checkpoints(spark: SparkSession) -> None:
     """Keeps the folder that the session names; sets one only where none is set (tests)."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
@@ -168,7 +219,7 @@ def authored(states: DataFrame, author: Callable[[DataFrame], DataFrame], check:
     written to the checkpoint folder; the table ends the loop after MAX_RETRIES retries.
     """
     config = config or EngineConfig()
-    _checkpoints(states.sparkSession)
+    checkpoints(states.sparkSession)
     open_, done = states.withColumns({"passes": F.lit(0), "budget": F.lit(DIALOGUE_BUDGET)}), []
     for _ in range(MAX_RETRIES + 1):
         judged = check(author(open_)).withColumn("passes", F.col("passes") + 1)

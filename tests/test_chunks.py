@@ -135,6 +135,23 @@ def test_hybrid_has_a_vector_route_and_a_list_for_each_wording(spark):
     assert got(items, requests.drop("vector"), more)[:2] == [99, 1]
 
 
+def test_every_ablation_acts(spark):
+    requests = spark.createDataFrame([(r, "scaffold", ["x"]) for r in (1, 2)], "request long, text string, tags array<string>")
+    norms = spark.createDataFrame([(10, "scaffold rules", ["x"], 10), (11, "unrelated words", ["y"], 11), (12, "net", ["y"], 12)], "item long, text string, tags array<string>, ref long")
+    cases = spark.createDataFrame([(20, "scaffold fell", ["z"], [11])], "item long, text string, tags array<string>, refs array<long>")
+    config = strategies.EngineConfig(rewrite=lambda df: df.select("request", F.lit("net").alias("text")))
+    found = strategies.ablation_study(requests, norms, cases, config).localCheckpoint()
+    stray = F.array(F.struct(F.lit("norm").alias("kind"), F.lit(99).cast("long").alias("item")))
+    author = lambda df: df.withColumn("cited", F.when((F.col("request") == 1) & (F.col("passes") == 0), F.concat("evidence", stray)).otherwise(F.col("evidence")))
+    judge = lambda df: df.withColumn("issues", F.when(F.col("request") == 2, F.array(F.lit("hallucination"))).otherwise(F.array().cast("array<string>")))
+    drafts = strategies.ablated_drafts(requests, found, config, author, judge)
+    shown = {n: sorted(r["item"] for r in found.where(F.col("ablation") == n).where("request = 1").collect()) for n in strategies.ABLATIONS}
+    ended = {n: [(r["passes"], r["passed"], len(r["cited"]) - len(r["evidence"])) for r in drafts.where(F.col("ablation") == n).orderBy("request").collect()] for n in strategies.ABLATIONS}
+    full, good = [10, 11, 12, 20], [(2, True, 0), (1, True, 0)]
+    assert shown == {"full": full, "no_case_evidence": [10, 12], "no_case_norm_linker": [10, 12, 20], "no_query_rewrite": [10, 11, 20], "no_deterministic_ground": full, "no_arbitration": full}
+    assert ended == dict.fromkeys(strategies.ABLATIONS, good) | {"no_deterministic_ground": [(1, True, 1), (3, False, 0)], "no_arbitration": [(1, False, 1), (1, True, 0)]}
+
+
 def test_authoring_ends_after_retries(spark):
     states = spark.createDataFrame([(1, 0), (2, 1), (3, 9)], "request long, fails int")
     author = lambda df: df.withColumn("draft", F.col("passes"))
