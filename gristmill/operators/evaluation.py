@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,17 +88,36 @@ def holm(rows: DataFrame, family: list[str], p: str, key: str) -> DataFrame:
     return step.withColumn("p_holm", F.when(F.col(p).isNotNull(), F.max("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("step")
 
 
-def bootstrap(rows: DataFrame, group: str, value: str, draws: int = 200, seed: int = 7) -> DataFrame:
-    """Mean and 95 % interval by the Poisson bootstrap: each row counts a hashed Poisson(1) number of times in each draw.
+def bootstrap(rows: DataFrame, group: str, value: str, draws: int = 10_000, seed: int = 7) -> DataFrame:
+    """Mean and 95 % interval by the Poisson bootstrap: each row counts a Poisson(1) number of times in each draw.
 
-    Draws are sums, so they combine before the shuffle and no group is gathered.
+    Rows of a group with the same value count together, by a Poisson(count) number that a
+    hash of group and value seeds. Each task sums the draws of one group at a time in a
+    vector, so that neither rows times draws nor a group is gathered.
     """
-    u = F.pmod(F.xxhash64("key", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    times, total, term = F.lit(0), 0.0, 0.36787944117144233
-    for n in range(1, 9):
-        total += term
-        times = times + (u >= total).cast("int")
-        term /= n
-    drawn = rows.select(group, value, F.xxhash64(*rows.columns).alias("key"), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw")).withColumn("times", times)
-    means = drawn.groupBy(group, "draw").agg(F.try_divide(F.sum(F.col("times") * F.col(value)), F.sum("times")).alias("mean"))
+    levels = rows.groupBy(group, value).agg(F.count("*").alias("c"))
+    keyed = levels.select(group, F.col(value).cast("double").alias("v"), "c", F.xxhash64(F.lit(seed), group, value).alias("key")).sortWithinPartitions(group)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.schema([("total", pa.list_(pa.float64())), ("times", pa.list_(pa.float64()))])
+        made = lambda name, total, times: pa.RecordBatch.from_arrays([name, pa.array([total], names.types[0]), pa.array([times], names.types[1])], names=[group, *names.names])
+        now, total, times = None, np.zeros(draws), np.zeros(draws)
+        for batch in batches:
+            for i, (v, c, key) in enumerate(zip(*(batch.column(n).to_pylist() for n in (1, 2, 3)))):
+                name = batch.column(0).slice(i, 1)
+                if now is None or not now.equals(name):
+                    if now is not None:
+                        yield made(now, total, times)
+                    now, total, times = name, np.zeros(draws), np.zeros(draws)
+                if v is not None:
+                    n = np.random.Generator(np.random.Philox(key=key % (1 << 64))).poisson(c, draws)
+                    total += n * v
+                    times += n
+        if now is not None:
+            yield made(now, total, times)
+
+    kind = keyed.schema[group].dataType.simpleString()
+    sums = keyed.mapInArrow(run, f"`{group}` {kind}, total array<double>, times array<double>")
+    drawn = sums.select(group, F.posexplode(F.arrays_zip("total", "times")).alias("draw", "s"))
+    means = drawn.groupBy(group, "draw").agg(F.try_divide(F.sum("s.total"), F.sum("s.times")).alias("mean"))
     return means.groupBy(group).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.count("mean").alias("draws"))

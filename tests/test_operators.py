@@ -1,4 +1,5 @@
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -97,6 +98,21 @@ def test_holm_and_references(spark):
     assert refs == ["GB1:3.0.1", "GB1:3.0.2", "GB2"]
 
 
+def test_bootstrap_draws_as_often_as_the_reference(spark):
+    values = {"a": [float(i % 37) for i in range(400)], "b": [5.0], "c": [0.1 * i for i in range(100)]}
+    df = spark.createDataFrame([(i, g, v) for g, vs in values.items() for i, v in enumerate(vs)], "k int, g string, v double")
+    got = {r["g"]: r for r in evaluation.bootstrap(df, "g", "v").collect()}
+    again = {r["g"]: r for r in evaluation.bootstrap(df.repartition(3, "k"), "g", "v").collect()}
+    assert (got["a"]["draws"], got["b"]["low"], got["b"]["high"]) == (10_000, 5.0, 5.0)
+    for g in "ac":
+        x = np.array(values[g])
+        means = x[np.random.default_rng(1).integers(0, len(x), (10_000, len(x)))].mean(1)
+        half = (np.quantile(means, 0.975) - np.quantile(means, 0.025)) / 2
+        for name, q in (("low", 0.025), ("high", 0.975)):
+            assert abs(got[g][name] - np.quantile(means, q)) < 0.06 * half
+            assert got[g][name] == pytest.approx(again[g][name], rel=1e-12)
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert curation.drop_repeated_lines(none).count() == 0
