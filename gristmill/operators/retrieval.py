@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 K1, B, RRF_K, DEPTH = 1.2, 0.75, 60, 20
+#: Of the fused list so many are reranked at least.
+POOL = 30
 #: Request vectors that one pass compares with; more are taken in several passes.
 VECTOR_BLOCK = 4096
 
@@ -129,3 +131,12 @@ def rerank(pool: DataFrame, score: Column, k: int) -> DataFrame:
     best = pool.groupBy("request", "item").agg(F.max(score).alias("score"), F.min("rank").alias("prior"))
     order = Window.partitionBy("request").orderBy(F.desc("score"), "prior", "item")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def rerank_fused(routes: DataFrame, texts: DataFrame, queries: DataFrame, score: Column, k: int) -> DataFrame:
+    """The max(POOL, k) best of all fused routes (request, route, rank, item), reranked by their best query.
+
+    texts: item and what `score` reads of it; queries: request and what it reads of each of the request's queries.
+    """
+    pool = fuse(routes, max(POOL, k)).select("request", "item", "rank")
+    return rerank(pool.join(texts, "item").join(queries, "request"), score, k)

@@ -116,6 +116,33 @@ def rerank_max_over_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rerank(wide, score, 5).select("request", "item", "score", "rank")
 
 
+_QUERIES = f"""wq AS MATERIALIZED (SELECT item_id AS request, unnest([0, 1, 2]) AS n, unnest([t, t[1:(len(t) + 1) // 2], t[(len(t) + 1) // 2 + 1:]]) AS t FROM (SELECT item_id, {_TOK} AS t FROM benchmark)),
+qn AS (SELECT DISTINCT request, n, unnest(t) AS term FROM wq),
+dn AS (SELECT term, count(*) AS df FROM tf WHERE term IN (SELECT term FROM qn) GROUP BY term),
+bn AS MATERIALIZED (SELECT request, n, item, round(sum(ln(1 + (items - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * length / mean))), 6) AS score
+  FROM qn JOIN tf USING (term) JOIN dn USING (term), st GROUP BY request, n, item)"""
+
+
+@query(f"""WITH {_BM25}, {_TAGS}, {_QUERIES},
+r AS (SELECT request, item, row_number() OVER (PARTITION BY request, n ORDER BY score DESC, item) AS rank, n AS route FROM bn
+  UNION ALL SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY score DESC, item), 3 FROM t),
+f AS (SELECT request, item, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS score, min(rank) AS best_rank, min(route * 1000 + rank) AS seen FROM r WHERE rank <= 20 GROUP BY request, item),
+pool AS (SELECT request, item, row_number() OVER (PARTITION BY request ORDER BY score DESC, best_rank, seen, item) AS prior FROM f QUALIFY prior <= 30),
+s AS (SELECT pool.request, pool.item, prior, max(round(len(list_intersect(d.t, wq.t)) / len(list_distinct(wq.t)), 6)) AS score FROM pool JOIN d USING (item) JOIN wq USING (request) WHERE len(wq.t) > 0 GROUP BY ALL)
+SELECT request, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, prior, item) AS rank FROM s) WHERE rank <= 5""")
+def rerank_fused_over_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request asks by its text and by each half of it; word lists of all three and tags are fused, the best 30 are reranked by the share of a query's words."""
+    words = tx.tokens(F.col("text"))
+    half = F.ceil(F.size(words) / 2).cast("int")
+    parts = F.array(words, F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.size(words)))
+    queries = _requests(spark, sf_dir).select("request", F.posexplode(parts).alias("n", "asked")).where(F.size("asked") > 0)
+    by_query = retrieval.bm25(_items(spark, sf_dir), queries.select(F.struct("request", "n").alias("request"), F.array_join("asked", " ").alias("text")), tx.tokens)
+    routes = by_query.select("request.request", F.col("request.n").alias("route"), "rank", "item").unionByName(_tag_route(spark, sf_dir).select("request", F.lit(3).alias("route"), "rank", "item"))
+    score = F.round(F.size(F.array_intersect("terms", "asked")) / F.size(F.array_distinct("asked")), 6)
+    texts = _items(spark, sf_dir).select("item", words.alias("terms"))
+    return retrieval.rerank_fused(routes, texts, queries.select("request", "asked"), score, 5).select("request", "item", "score", "rank")
+
+
 @query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
   '<script.*?>.*?</script>', ' ', 'gsi'), '<style.*?>.*?</style>', ' ', 'gsi'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '&quot;', '"'), '&apos;', ''''),
   '[ \t\n\r]+', ' ', 'g')) AS body FROM pages""")

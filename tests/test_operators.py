@@ -91,6 +91,15 @@ def test_fuse_orders_ties(spark):
     assert [r["item"] for r in retrieval.fuse(routes, 5).orderBy("rank").collect()] == [10, 20]
 
 
+def test_rerank_takes_thirty_of_all_routes_and_the_best_query(spark):
+    words = [(1, 0, n, n) for n in range(1, 21)]
+    routes = spark.createDataFrame(words + [(1, 1, n, 100 + n) for n in range(1, 21)], "request int, route int, rank int, item int")
+    texts = spark.createDataFrame([(i, ["x"]) for n in range(1, 21) for i in (n, 100 + n) if i not in (15, 114)] + [(15, ["a", "b"]), (114, ["c", "d"])], "item int, terms array<string>")
+    queries = spark.createDataFrame([(1, ["a", "b", "e"]), (1, ["c", "d"])], "request int, asked array<string>")
+    got = retrieval.rerank_fused(routes, texts, queries, F.size(F.array_intersect("terms", "asked")) / F.size("asked"), 3)
+    assert [r["item"] for r in got.orderBy("rank").collect()] == [114, 15, 1]  # fused ranks 28, 29 and 1
+
+
 def test_holm_and_references(spark):
     rows = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", None)], "fam string, k string, p double")
     assert [(r["k"], r["p_holm"]) for r in evaluation.holm(rows, ["fam"], "p", "k").orderBy("k").collect()] == [("a", 0.02), ("b", 0.04), ("c", None)]
