@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,6 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions import text
+
+#: Up to so many differences Wilcoxon's p is counted, not approximated.
+EXACT = 50
+
 
 def share(part: Column, whole: Column) -> Column:
     """part / whole, 0 for an empty whole."""
@@ -80,6 +86,68 @@ def signed_rank(pairs: DataFrame, by: list[str], diff: Column) -> DataFrame:
     return sums.select(*by, "n", F.round(F.least("plus", "minus"), 6).alias("w"))
 
 
+def _two_sided(n: int, zeros: int, w: float, ties: float) -> float:
+    """p of Wilcoxon's statistic w of n differences: exact up to 50 without zeros and ties, else normal (no continuity correction)."""
+    if not n:
+        return 1.0
+    if n <= EXACT and not zeros and not ties:
+        ways = [1] + [0] * int(w)  # of reaching each rank sum
+        for rank in range(1, n + 1):
+            for at in range(len(ways) - 1, rank - 1, -1):
+                ways[at] += ways[at - rank]
+        return min(1.0, 2 * sum(ways) / 2**n)
+    spread = math.sqrt(n * (n + 1) * (2 * n + 1) / 24 - ties / 48)
+    return math.erfc(abs(w - n * (n + 1) / 4) / spread / math.sqrt(2))
+
+
+def wilcoxon(pairs: DataFrame, by: list[str], diff: Column) -> DataFrame:
+    """signed_rank with the two-sided p; a group whose differences are all 0 (within 1e-8) has w 0 and p 1."""
+    rows = pairs.select(*by, diff.cast("double").alias("d")).where("d is not null")
+    size = rows.groupBy(*by).agg(F.count_if(F.col("d") == 0).alias("zeros"), F.max(F.abs("d")).alias("most"))
+    levels = rows.where("d <> 0").groupBy(*by, F.abs("d").alias("a")).agg(F.count("*").cast("double").alias("c"))
+    ties = levels.groupBy(*by).agg(F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
+    flat = F.col("most") <= 1e-8
+    p = F.udf(_two_sided, "double")(F.col("n").cast("int"), F.col("zeros").cast("int"), "w", "ties")
+    out = size.join(signed_rank(rows, by, F.col("d")), by, "left").join(ties, by, "left")
+    out = out.withColumns({"n": F.when(flat, 0).otherwise(F.col("n")).cast("long"), "w": F.when(flat, 0.0).otherwise(F.col("w")), "ties": F.coalesce("ties", F.lit(0.0))})
+    return out.select(*by, "n", "w", p.alias("p"))
+
+
+def generation(runs: DataFrame) -> DataFrame:
+    """The deterministic metrics of each run; sets are arrays, null is an empty one.
+
+    runs: run, variant; cited_refs (CODE:article, may repeat), cited_norms and cited_cases
+    (chunk ids, may repeat), links (for each norm cited, the case it comes from or null);
+    norms and cases (chunk ids retrieved); hazards; gold_refs, gold_cases, gold_hazards.
+    """
+    names = ("cited_refs", "cited_norms", "cited_cases", "links", "norms", "cases", "hazards", "gold_refs", "gold_cases", "gold_hazards")
+    a = {n: F.coalesce(F.col(n), F.array()) for n in names}
+    among = lambda part, whole: F.size(F.filter(part, lambda x: F.array_contains(whole, x)))
+    known = lambda kind, ids: F.array_compact(F.transform(F.filter(ids, lambda x: F.startswith(x, F.lit(f"{kind}::"))), text.chunk_reference))
+    covered = lambda gold, got: share(F.size(F.array_intersect(gold, got)), F.size(F.array_distinct(gold)))
+    cited = F.size(a["cited_norms"]) + F.size(a["cited_cases"])
+    grounded = share(among(a["cited_norms"], a["norms"]) + among(a["cited_cases"], a["cases"]), cited)
+    linked = share(F.size(F.filter(a["links"], lambda x: F.coalesce(x != "", F.lit(False)))), F.size(a["links"]))
+    rates = {
+        "norm_citation_validity": share(among(a["cited_refs"], a["gold_refs"]), F.size(a["cited_refs"])),
+        "grounding_rate": grounded,
+        "hallucination_rate": F.when(cited > 0, 1 - grounded).otherwise(0.0),
+        "hazard_coverage": covered(a["gold_hazards"], a["hazards"]),
+        "case_relevance": covered(a["gold_cases"], known("case", a["cited_cases"])),
+        "norm_recall": covered(a["gold_refs"], known("norm", a["norms"])),
+        "case_recall": covered(a["gold_cases"], known("case", a["cases"])),
+        "link_resolution_rate": F.when(F.col("variant") == "proposed", linked).otherwise(0.0),
+    }
+    return runs.select("run", *[F.round(c, 6).alias(n) for n, c in rates.items()])
+
+
+def link_resolution(refs: DataFrame, articles: DataFrame) -> DataFrame:
+    """Of the references of cases (case_id, ref) those that articles (ref) hold: one row of counts and their rate."""
+    found = refs.join(articles.select("ref").distinct().withColumn("hit", F.lit(True)), "ref", "left")
+    out = found.agg(F.countDistinct("case_id").alias("cases"), F.countDistinct(F.when(F.col("hit"), F.col("case_id"))).alias("cases_with_resolved_refs"), F.count("ref").alias("total_refs"), F.count("hit").alias("resolved_refs"))
+    return out.withColumn("resolution_rate", F.round(share(F.col("resolved_refs"), F.col("total_refs")), 4))
+
+
 def holm(rows: DataFrame, family: list[str], p: str, key: str) -> DataFrame:
     """Holm's step-down adjusted p within each family; null p stays out and null."""
     order = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last(), key)

@@ -347,6 +347,40 @@ def generation_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("run", F.round(rate, 6).alias("grounding_rate"), F.round(F.when(F.col("n") > 0, 1 - rate).otherwise(0.0), 6).alias("hallucination_rate"), F.round(recall, 6).alias("recall"))
 
 
+@query("""WITH l AS (SELECT o_orderkey AS run, o_orderstatus, lineitem.*, p_type, p_size FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN part ON p_partkey = l_partkey),
+s AS (SELECT run, any_value(o_orderstatus) AS status, coalesce(list(l_partkey) FILTER (l_returnflag <> 'R'), []) AS cn, coalesce(list(l_suppkey) FILTER (l_tax > 0.03), []) AS cc,
+  coalesce(list(DISTINCT l_partkey) FILTER (l_quantity > 10), []) AS rn, coalesce(list(DISTINCT l_suppkey) FILTER (l_quantity < 40), []) AS rc, coalesce(list(DISTINCT l_partkey) FILTER (l_discount > 0.04), []) AS gn,
+  coalesce(list(DISTINCT l_suppkey) FILTER (p_size > 25), []) AS gc, coalesce(list(DISTINCT p_type) FILTER (l_linestatus = 'F'), []) AS h, coalesce(list(DISTINCT p_type) FILTER (l_discount <= 0.05), []) AS gh,
+  count(*) FILTER (l_returnflag <> 'R' AND l_linenumber % 2 = 0) AS linked FROM l GROUP BY run),
+n AS (SELECT *, len(list_filter(cn, lambda x: list_contains(rn, x))) + len(list_filter(cc, lambda x: list_contains(rc, x))) AS ok, len(cn) + len(cc) AS cited FROM s)
+SELECT run, round(CASE WHEN len(cn) > 0 THEN len(list_filter(cn, lambda x: list_contains(gn, x))) / len(cn) ELSE 0.0 END, 6)::DOUBLE AS norm_citation_validity,
+  round(CASE WHEN cited > 0 THEN ok / cited ELSE 0.0 END, 6)::DOUBLE AS grounding_rate, round(CASE WHEN cited > 0 THEN 1 - ok / cited ELSE 0.0 END, 6)::DOUBLE AS hallucination_rate,
+  round(CASE WHEN len(gh) > 0 THEN len(list_intersect(gh, h)) / len(gh) ELSE 0.0 END, 6)::DOUBLE AS hazard_coverage, round(CASE WHEN len(gc) > 0 THEN len(list_intersect(gc, cc)) / len(gc) ELSE 0.0 END, 6)::DOUBLE AS case_relevance,
+  round(CASE WHEN len(gn) > 0 THEN len(list_intersect(gn, rn)) / len(gn) ELSE 0.0 END, 6)::DOUBLE AS norm_recall, round(CASE WHEN len(gc) > 0 THEN len(list_intersect(gc, rc)) / len(gc) ELSE 0.0 END, 6)::DOUBLE AS case_recall,
+  round(CASE WHEN status = 'F' AND len(cn) > 0 THEN linked / len(cn) ELSE 0.0 END, 6)::DOUBLE AS link_resolution_rate FROM n""")
+def generation_metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight metrics of runs (orders), whose lines cite, retrieve and are gold by columns that don't depend on each other."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type", "p_size")
+    lines = table(spark, sf_dir, "lineitem").join(parts, "l_partkey", "left").withColumnRenamed("l_orderkey", "run")
+    ref, norm, case = F.concat(F.lit("P:"), "l_partkey"), F.concat(F.lit("norm::P::article::"), "l_partkey"), F.concat(F.lit("case::"), "l_suppkey", F.lit("::summary"))
+    some = lambda where, value: F.collect_list(F.when(F.expr(where), value))
+    link = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey").cast("string")).otherwise("")
+    sets = lines.groupBy("run").agg(
+        some("l_returnflag <> 'R'", ref).alias("cited_refs"), some("l_returnflag <> 'R'", norm).alias("cited_norms"), some("l_returnflag <> 'R'", link).alias("links"), some("l_tax > 0.03D", case).alias("cited_cases"),
+        some("l_quantity > 10", norm).alias("norms"), some("l_quantity < 40", case).alias("cases"), some("l_linestatus = 'F'", F.col("p_type")).alias("hazards"),
+        some("l_discount > 0.04D", ref).alias("gold_refs"), some("p_size > 25", F.col("l_suppkey").cast("string")).alias("gold_cases"), some("l_discount <= 0.05D", F.col("p_type")).alias("gold_hazards"),
+    )
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), F.when(F.col("o_orderstatus") == "F", "proposed").otherwise("optimized").alias("variant"))
+    return evaluation.generation(runs.join(sets, "run", "left"))
+
+
+@query("""SELECT count(DISTINCT l_orderkey) AS cases, count(DISTINCT CASE WHEN p_partkey IS NOT NULL THEN l_orderkey END) AS cases_with_resolved_refs, count(*) AS total_refs, count(p_partkey) AS resolved_refs,
+  round(count(p_partkey) / count(*), 4) AS resolution_rate FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 25) ON p_partkey = l_partkey""")
+def link_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("case_id"), F.col("l_partkey").alias("ref"))
+    return evaluation.link_resolution(refs, table(spark, sf_dir, "part").where("p_size > 25").select(F.col("p_partkey").alias("ref")))
+
+
 _STATS = "count(value) AS n, round(avg(value), 6) AS mean, round(coalesce(stddev_samp(value), 0), 6) AS sd, round(median(value), 6) AS median, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.75), 6) AS q3"
 
 
@@ -382,6 +416,13 @@ def wilcoxon_statistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.signed_rank(_paired(spark, sf_dir), ["x", "y"], F.col("d"))
 
 
+@query()
+def wilcoxon_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistic, p and Holm's p over all pairs of event types; SQL has no normal distribution."""
+    rows = evaluation.wilcoxon(_paired(spark, sf_dir), ["x", "y"], F.col("d")).withColumns({"family": F.lit("all"), "pair": F.concat_ws(" ", "x", "y")})
+    return evaluation.holm(rows, ["family"], "p", "pair").select("x", "y", "n", "w", "p", "p_holm")
+
+
 @query("""WITH t AS (SELECT n_nationkey, n_regionkey, CASE WHEN n_nationkey % 7 = 0 THEN NULL ELSE (n_nationkey + 1) / 300.0::DOUBLE END AS p FROM nation),
 s AS (SELECT *, least(1.0, (count(p) OVER (PARTITION BY n_regionkey) - row_number() OVER (PARTITION BY n_regionkey ORDER BY p NULLS LAST, n_nationkey) + 1) * p) AS step FROM t)
 SELECT n_nationkey, round(CASE WHEN p IS NOT NULL THEN max(step) OVER (PARTITION BY n_regionkey ORDER BY p NULLS LAST, n_nationkey ROWS UNBOUNDED PRECEDING) END, 9) AS p_holm FROM s""")

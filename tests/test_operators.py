@@ -1,3 +1,6 @@
+import itertools
+import statistics
+
 import duckdb
 import numpy as np
 import pytest
@@ -100,6 +103,30 @@ def test_rerank_takes_thirty_of_all_routes_and_the_best_query(spark):
     assert [r["item"] for r in got.orderBy("rank").collect()] == [114, 15, 1]  # fused ranks 28, 29 and 1
 
 
+def test_wilcoxon_p(spark):
+    """p by all signs of the ranks where they are few, by the normal distribution with ties."""
+    groups = {"few": [3, -1, 7, 12, -5, 9, 2, 15], "ties": [1, 1, -1, 2, 2, 2, -3, 0, 4, 5], "none": [0, 0]}
+    df = spark.createDataFrame([(g, d) for g, ds in groups.items() for d in ds], "g string, d long")
+    got = {r["g"]: r for r in evaluation.wilcoxon(df, ["g"], F.col("d")).collect()}
+    sums = [sum(r for r, up in zip(range(1, 9), signs) if up) for signs in itertools.product((0, 1), repeat=8)]
+    assert (got["few"]["n"], got["few"]["w"]) == (8, 5.0)  # ranks 1 and 4
+    assert got["few"]["p"] == pytest.approx(2 * sum(s <= 5 for s in sums) / 2**8)
+    # ranks 2 2 2, 5 5 5, 7, 8, 9; minus 2 + 7; ties 24 + 24
+    assert (got["ties"]["n"], got["ties"]["w"]) == (9, 9.0)
+    assert got["ties"]["p"] == pytest.approx(2 * statistics.NormalDist().cdf((9 - 22.5) / (9 * 10 * 19 / 24 - 48 / 48) ** 0.5))
+    assert (got["none"]["n"], got["none"]["w"], got["none"]["p"]) == (0, 0.0, 1.0)
+
+
+def test_generation_metrics_of_a_run(spark):
+    kinds = "run int, variant string, cited_refs array<string>, cited_norms array<string>, cited_cases array<string>, links array<string>, norms array<string>, cases array<string>, hazards array<string>, gold_refs array<string>, gold_cases array<string>, gold_hazards array<string>"
+    n, t, c = "norm::A::article::1", "norm::A::term::2", "case::k::cause"
+    full = (["A:1", "A:1", "A:9"], [n, t, t, "norm::B::article::1"], [c], ["k", "", None, "k"], [n, t, c], [c, "case::m::x"], ["h"], ["A:1", "A:2"], ["k", "m", "o"], ["h", "i"])
+    df = spark.createDataFrame([(1, "proposed", *full), (2, "optimized", *full), (3, "proposed", *[None] * 10)], kinds)
+    got = [tuple(r)[1:] for r in evaluation.generation(df).orderBy("run").collect()]
+    wanted = (0.666667, 0.8, 0.2, 0.5, 0.333333, 0.5, 0.666667)
+    assert got == [(*wanted, 0.5), (*wanted, 0.0), (0.0,) * 8]
+
+
 def test_holm_and_references(spark):
     rows = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", None)], "fam string, k string, p double")
     assert [(r["k"], r["p_holm"]) for r in evaluation.holm(rows, ["fam"], "p", "k").orderBy("k").collect()] == [("a", 0.02), ("b", 0.04), ("c", None)]
