@@ -32,16 +32,25 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int) -> tuple[pa.Array, np.ndarray]:
-    """Whole texts and labels of a bounded sample of labelled documents outside the held-out fold, in an order drawn by hash."""
+    """Whole texts and labels of a bounded sample of labelled documents outside the held-out fold, in an order drawn by hash.
+
+    Each label has half the bytes; a text that doesn't fit is passed over, not those after
+    it. A doc_id of several rows counts once, with the shortest of its texts.
+    """
     ids = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label")).distinct()
     drawn = [r for y in (0, 1) for r in ids.where(F.col("label") == y).orderBy(F.xxhash64(F.col("doc_id"), F.lit(y)), "doc_id").limit(per_class).collect()]
     small = docs.sparkSession.createDataFrame([(r["doc_id"], int(r["label"])) for r in drawn], "doc_id long, label int")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(small), "doc_id").orderBy(F.xxhash64("doc_id"), "text").limit(2 * per_class)
-    texts, marks, size = [], [], 0
-    for r in rows.toLocalIterator():
-        size += len(r["text"])
-        if size > most_bytes and texts:
-            break
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("size", F.octet_length("text"))
+    sizes = rows.join(F.broadcast(small), "doc_id").groupBy("doc_id", "label").agg(F.min("size").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").collect()
+    fitting, used = [], [0, 0]
+    for r in sizes:
+        if used[r["label"]] + r["size"] <= most_bytes // 2:
+            used[r["label"]] += r["size"]
+            fitting.append(tuple(r))
+    fit_in = docs.sparkSession.createDataFrame(fitting, "doc_id long, label int, size int")
+    least = rows.join(F.broadcast(fit_in), ["doc_id", "size"]).groupBy("doc_id", "label").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "label")
+    texts, marks = [], []
+    for r in least.toLocalIterator():
         texts.append(r["text"])
         marks.append(r["label"])
     return pa.array(texts, pa.string()), np.array(marks, np.int64)

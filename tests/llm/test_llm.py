@@ -219,3 +219,16 @@ def test_pipeline_stages(spark):
         assert {r[0] for r in docs.select("doc_id").collect()} <= {r[0] for r in before.select("doc_id").collect()}
         assert name == "bpe" or docs.columns == list(corpus_pipeline.COLUMNS)
     assert docs.count() > 100
+
+
+def test_sample_survives_long_and_repeated_texts(spark):
+    rows = [(i, "x" * 60 if i % 5 == 1 else "y" * 4) for i in range(100)] + [(2, "z" * 4)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    texts, marks = toxicity.labelled_sample(docs, labels, "toxic", 50, 100)
+    kept = [len(t) for t, m in zip(texts.to_pylist(), marks, strict=True) if m == 1]
+    assert sum(map(len, texts.to_pylist())) <= 100
+    assert min((marks == 0).sum(), (marks == 1).sum()) >= 10 and 4 in kept
+    all_of, _ = toxicity.labelled_sample(docs, labels, "toxic", 50, 1 << 20)
+    held = docs.select("doc_id").distinct().where(toxicity.held_out(F.col("doc_id"))).count()
+    assert len(all_of) == 100 - held
