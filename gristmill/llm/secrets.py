@@ -4,7 +4,8 @@ Tokens are tagged as outside, begin or inside of a secret. Scores of a tag come
 the token's shape, the shapes and the words beside it, and features of the whole file;
 transitions join neighbouring tags. The field is fitted to what fixed patterns find in
 a bounded sample and decoded by Viterbi in every whole text. Where "outside" leads by
-more than any transitions can make up for, it holds on every best path, so the search
+more than transitions, and a following "inside" that would turn to "begin", can make up
+for, it holds on every best path, so the search
 falls apart there and only the stretches between are walked.
 """
 
@@ -170,13 +171,21 @@ def viterbi(unary: np.ndarray, moves: np.ndarray) -> np.ndarray:
     return np.array(tags[::-1])
 
 
+def _losses(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What transitions can lose at most when a token turns from begin or inside to outside: before outside or begin, and before an inside that turns to begin."""
+    into = (m[:, 1:] - m[:, :1]).max(0)
+    return into + (m[1:, :2] - m[0, :2]).max(1), into + m[1:, 2] - m[0, 1] + (m[2] - m[1]).max()
+
+
 def tag(field: Field, lx: Lexed) -> np.ndarray:
     """Tags of all tokens."""
     scores = field.scores(indices(lx)) if len(lx.starts) else np.zeros((0, 2))
-    free = np.delete(field.moves.ravel(), 2)  # (outside, inside) is forbidden, and never gained from
-    slack = 2 * float(free.max() - free.min())
-    maybe = scores.max(1) + slack >= 0 if len(scores) else np.zeros(0, bool)
     doc, tags = lx.doc(), np.zeros(len(scores), np.int64)
+    alone, ahead = _losses(field.moves)
+    gained = np.full(len(scores), -np.inf)  # by the next token as inside rather than begin
+    if len(scores):
+        gained[:-1] = np.where(doc[1:] == doc[:-1], scores[1:, 1] - scores[1:, 0], -np.inf)
+    maybe = np.maximum((scores + alone).max(1), (scores + ahead).max(1) + gained) >= -1e-9 if len(scores) else np.zeros(0, bool)
     starts = np.flatnonzero(maybe & np.concatenate(([True], ~maybe[:-1] | (doc[1:] != doc[:-1])))) if len(maybe) else []
     ends = np.flatnonzero(maybe & np.concatenate((~maybe[1:] | (doc[1:] != doc[:-1]), [True]))) + 1 if len(maybe) else []
     for s, e in zip(starts, ends, strict=True):

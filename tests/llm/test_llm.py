@@ -175,6 +175,30 @@ def test_viterbi_falls_apart_exactly():
         assert tuple(secrets.viterbi(unary, moves)) == best
 
 
+def test_tags_like_viterbi_over_all_tokens():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from gristmill.llm.textkit import SPACED, lex
+
+    lx = lex(pa.array(["a b c d e f g", "h i", "", "j k l m n"]), SPACED)
+    moves, scores = np.zeros((3, 3)), np.full((14, 2), -40.0)
+    moves[0, 2], moves[1, 2] = -30, 5
+    scores[2], scores[3] = (-12, -40), (-15, 14)  # begin, inside
+    drawn, rng = [(moves, scores)], np.random.default_rng(2)
+    for scale in (2, 5, 10, 20):
+        for _ in range(100):
+            m = np.clip(rng.normal(size=(3, 3)) * 4, -8, 8)
+            m[0, 2] = -30
+            drawn.append((m, rng.normal(size=(14, 2)) * scale - scale))
+    for m, u in drawn:
+        got = secrets.tag(SimpleNamespace(scores=lambda _, u=u: u, moves=m), lx)
+        full = np.concatenate((np.zeros((14, 1)), u), 1)
+        assert got.tolist() == [t for a, b in ((0, 7), (7, 9), (9, 14)) for t in secrets.viterbi(full[a:b], m).tolist()]
+
+
 def test_chat_round_trip(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     texts = ["</s>[INST] ok", "a\\b<s>\\</s>", "", None, "é漢 <|endoftext|>", "[/INST][INST]"]
