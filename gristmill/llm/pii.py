@@ -9,6 +9,8 @@ best pattern that extracts it. Tokens in the context of a sure pattern are new f
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,21 +25,21 @@ from gristmill.llm.textkit import SPACED, ensure_checkpoint_dir, lex, map_texts,
 
 KINDS = ("email", "ip", "card", "phone", "found")
 #: A pattern is sure from this score on and so many distinct trusted instances.
-SURE, SUPPORT, TURNS = 0.8, 5, 3
+SURE, SUPPORT = 0.8, 5
+#: Turns of scoring at least; more follow until the sure patterns stay the same, and an error beyond the most.
+TURNS, MOST_TURNS = 3, 100
 #: Sure patterns that are broadcast; beyond, finds come by a join.
 BROADCAST_PATTERNS = 200_000
 _KEY, _FINDS = "\u0001key", "\u0001finds"
+_CLASS = bytes(57 if 48 <= c <= 57 else 97 if c >= 0x80 or chr(c).isalpha() else c for c in range(256))
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 _DIGITS = np.isin(np.arange(256), list(b"0123456789@"))
 
 
 def _shape(token: bytes) -> str:
-    """Characters by class, runs shortened: 9 for digits, a for letters, others as they are."""
-    out = []
-    for c in token.strip(b".,;:!?\"'()[]{}")[:64]:
-        k = "9" if 48 <= c <= 57 else "a" if c >= 0x80 or chr(c).isalpha() else chr(c)
-        if not out or out[-1] != k:
-            out.append(k)
-    return "".join(out)
+    """Characters by class, runs shortened: 9 for digits, a for letters, others as they are; of a long shape, the beginning and a hash."""
+    out = _RUN.sub(rb"\1", token.strip(b".,;:!?\"'()[]{}").translate(_CLASS)).decode()
+    return out if len(out) <= 64 else f"{out[:32]}\u0001{hashlib.sha256(out.encode()).hexdigest()}"
 
 
 def _contexts(column: pa.Array) -> tuple[list[bytes], list[tuple[int, str, str, list[str], int, int]]]:
@@ -61,7 +63,7 @@ def _contexts(column: pa.Array) -> tuple[list[bytes], list[tuple[int, str, str,
 
 
 def pattern_scores(docs: DataFrame, *, text: str = "text", turns: int = TURNS) -> DataFrame:
-    """pattern, score and support, from the pattern-instance graph of all texts."""
+    """pattern, score and support, from the pattern-instance graph of all texts, after `turns` turns and as many more as change which patterns are sure."""
     ensure_checkpoint_dir(docs.sparkSession)
     small_batches(docs.sparkSession)
 
@@ -77,12 +79,16 @@ def pattern_scores(docs: DataFrame, *, text: str = "text", turns: int = TURNS) -
     often = edges.groupBy("pattern").agg(F.count("*").alias("degree")).where(F.col("degree") >= SUPPORT)
     graph = edges.join(often, "pattern").checkpoint()
     trust = graph.groupBy("value").agg(F.max(F.col("seed").cast("double")).alias("trust"))
-    scored = None
-    for _ in range(turns):
-        scored = graph.join(trust, "value").groupBy("pattern").agg(F.avg("trust").alias("score"), F.sum((F.col("trust") >= SURE).cast("long")).alias("support"))
+    last = None
+    for turn in range(1, MOST_TURNS + 1):
+        scored = graph.join(trust, "value").groupBy("pattern").agg(F.avg("trust").alias("score"), F.sum((F.col("trust") >= SURE).cast("long")).alias("support")).checkpoint()
+        sure = scored.where((F.col("score") >= SURE) & (F.col("support") >= SUPPORT)).agg(F.count("*"), F.bit_xor(F.xxhash64("pattern"))).first()
+        if turn >= turns and sure == last:
+            return scored
+        last = sure
         best = graph.join(scored.where(F.col("support") >= SUPPORT), "pattern").groupBy("value").agg(F.max("seed").alias("seed"), F.max("score").alias("best"))
         trust = graph.select("value").distinct().join(best, "value", "left").select("value", F.when(F.col("seed"), 1.0).otherwise(F.when(F.col("best") >= SURE, F.col("best")).otherwise(0.0)).alias("trust")).checkpoint()
-    return scored
+    raise RuntimeError(f"sure patterns still change after {MOST_TURNS} turns")
 
 
 def _finds(keyed: DataFrame, sure: DataFrame, text: str) -> DataFrame:

@@ -256,3 +256,17 @@ def test_sample_survives_long_and_repeated_texts(spark):
     all_of, _ = toxicity.labelled_sample(docs, labels, "toxic", 50, 1 << 20)
     held = docs.select("doc_id").distinct().where(toxicity.held_out(F.col("doc_id"))).count()
     assert len(all_of) == 100 - held
+
+
+def test_patterns_become_sure_by_long_chains(spark):
+    """A link is sure once the five values are trusted that it shares with the one before it."""
+    seeds, shared = [f"10.1.2.{k}" for k in range(25)], [[f"10.1.{n}.{700 + k}" for k in range(5)] for n in range(8)]  # no addresses beyond 255
+    lines = [f"link{n} {v}" for n in range(7) for v in seeds + (shared[n] if n else []) + shared[n + 1]]
+    docs = spark.createDataFrame([(f"{x} end{i}",) for i, x in enumerate(lines)], "text string")
+    scores = {r["pattern"].split(" ")[0]: r for r in pii.pattern_scores(docs).collect() if " _ |" in r["pattern"]}
+    assert all(scores[f"link{n}"]["score"] >= pii.SURE for n in range(7))
+
+
+def test_shape_reads_the_whole_token():
+    long = b"a-9." * 40
+    assert pii._shape(b"ab12-\xc3\xa9x") == "a9-a" and pii._shape(long + b"7/") != pii._shape(long + b"x/")
