@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from gristmill.llm.textkit import SPACED_CASED, Lexed, lex, map_texts, slices
+from gristmill.llm.textkit import SPACED_CASED, Lexed, lex, map_texts, slices, trim
 from gristmill.llm.toxicity import labelled_sample
 
 #: Labelled documents of each label, bytes of their texts, dimensions, neighbours.
@@ -117,6 +117,7 @@ def score_quality(
     1. A null or empty text is compared like any other. Each row gives a row.
     """
     model = fit(*labelled_sample(docs, labels, label, sample_docs, sample_bytes))
+    trim()
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -5,22 +5,24 @@ the token's shape, the shapes and the words beside it, and features of the whole
 transitions join neighbouring tags. The field is fitted to what fixed patterns find in
 a bounded sample and decoded by Viterbi in every whole text. Where "outside" leads by
 more than transitions, and a following "inside" that would turn to "begin", can make up
-for, it holds on every best path, so the search
-falls apart there and only the stretches between are walked.
+for, it holds on every best path, so the search falls apart there; the stretches between
+are walked side by side.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gristmill.llm.scan import digest, in_characters, listed, ordered, secret_spans, texts_of
-from gristmill.llm.textkit import SPACED, Lexed, lex, map_texts, slices
+from gristmill.llm.textkit import SPACED, Lexed, lex, map_texts, releasing, slices, trim
 
 KINDS = ("assign", "access", "hex", "crf")
 #: Texts that the fit uses (half with pattern matches) and bytes of them at most.
@@ -28,6 +30,8 @@ SAMPLE_DOCS, SAMPLE_BYTES = 800, 16 << 20
 _WORDS = 1 << 12
 _SHAPES = 1 << 11
 _FILES = 8
+#: A text with none of these, in lower or upper case, is not drawn as one with a likely secret.
+_HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey", "akia")
 
 
 def _shape_table() -> np.ndarray:
@@ -105,32 +109,42 @@ def _silver(lx: Lexed, texts: list[bytes]) -> np.ndarray:
     return tags
 
 
+def _windows(lx: Lexed, size: int) -> np.ndarray:
+    """The tokens of each window of `size`, by rows; windows do not cross texts, and -1 fills up the last of each."""
+    n = -(-lx.counts // size)
+    start = np.repeat(lx.first[:-1], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * size
+    at = start[:, None] + np.arange(size)
+    return np.where(at < np.repeat(lx.first[1:], n)[:, None], at, -1)
+
+
 def fit(sample: pa.Array, steps: int = 120, window: int = 12, decay: float = 2e-3) -> Field:
     """Gradient ascent on the likelihood of windows: all around a match and one in eight of the rest, chosen by position."""
     rows, gold = [[] for _ in _SIZES], []
     for part in slices(pa.RecordBatch.from_arrays([sample], names=["text"]), 0):
         lx, texts = lex(part.column(0), SPACED), texts_of(part.column(0))
-        index, tags = indices(lx), _silver(lx, texts)
-        n = len(tags) // window
-        cut = [x[: n * window].reshape(n, window) for x in (*index, tags)]
-        use = cut[-1].any(1) | (np.arange(n) % 8 == 0)
-        for r, x in zip(rows, cut[:-1], strict=True):
-            r.append(x[use])
-        gold.append(cut[-1][use])
+        at = _windows(lx, window)
+        if not len(at):
+            continue
+        tags = np.where(at < 0, 0, _silver(lx, texts)[at])
+        use = tags.any(1) | (np.arange(len(at)) % 8 == 0)
+        for r, x in zip(rows, indices(lx), strict=True):
+            r.append(np.where(at[use] < 0, -1, x[at[use]]))
+        gold.append(tags[use])
     field = Field([np.zeros((s, 2)) for s in _SIZES], np.zeros((3, 3)))
     field.tables[0] -= 4.0  # before any evidence, a token is outside
-    if not gold or not sum(len(g) for g in gold) or not any(g.any() for g in gold):
+    if not any(g.any() for g in gold):
         return field
     index, tags = [np.concatenate(r) for r in rows], np.concatenate(gold)
+    past = index[0] < 0  # behind a text's end all is outside
+    index, known = [np.maximum(i, 0) for i in index], ~past[..., None]
+    right = np.eye(3)[tags]
+    steps_right = np.bincount((3 * tags[:, :-1] + tags[:, 1:]).ravel(), minlength=9).reshape(3, 3)
     memory = [np.zeros_like(x) for x in (*field.tables, field.moves)]
     for _ in range(steps):
-        unary = np.concatenate((np.zeros((*tags.shape, 1)), field.scores(index)), 2)
+        unary = np.concatenate((np.zeros((*tags.shape, 1)), np.where(known, field.scores(index), -30.0)), 2)
         unary[:, 0, 2] = field.moves[0, 2] = -30.0  # inside never follows outside
         single, double = _marginals(unary, field.moves)
-        right = np.eye(3)[tags]
-        error = (single - right)[..., 1:]
-        steps_right = np.zeros((3, 3))
-        np.add.at(steps_right, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), 1)
+        error = np.where(known, single - right, 0)[..., 1:]
         grads = [np.stack([np.bincount(i.ravel(), weights=error[..., k].ravel(), minlength=len(t)) for k in (0, 1)], 1) + decay * t for t, i in zip(field.tables, index, strict=True)]
         grads.append(double - steps_right)
         for x, g, m in zip((*field.tables, field.moves), grads, memory, strict=True):
@@ -158,17 +172,27 @@ def _marginals(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.nda
     return single, double
 
 
-def viterbi(unary: np.ndarray, moves: np.ndarray) -> np.ndarray:
-    """Best tags of one stretch that outside stands before and after."""
-    score, links = moves[0] + unary[0], []
-    for u in unary[1:]:
-        step = score[:, None] + moves
-        links.append(step.argmax(0))
-        score = step.max(0) + u
-    tags = [int((score + moves[:, 0]).argmax())]
-    for link in reversed(links):
-        tags.append(int(link[tags[-1]]))
-    return np.array(tags[::-1])
+def viterbi(scores: np.ndarray, moves: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Best tags of stretches of tokens that outside stands before and after; tokens in none are outside. All stretches advance together."""
+    tags = np.zeros(len(scores), np.int64)
+    order = np.argsort(starts - ends, kind="stable")  # the longest first
+    start, size = starts[order], (ends - starts)[order]
+    longest = int(size[0]) if len(size) else 0
+    going = np.searchsorted(-size, -np.arange(longest), "left")  # stretches of more than t tokens
+    unary = np.concatenate((np.zeros((len(scores), 1)), scores), 1)
+    best, links = moves[0] + unary[start], []
+    for t in range(1, longest):
+        n = going[t]
+        step = best[:n, :, None] + moves
+        links.append(step.argmax(1).astype(np.int8))
+        best[:n] = step.max(1) + unary[start[:n] + t]
+    now = (best + moves[:, 0]).argmax(1) if longest else tags[:0]
+    for t in range(longest - 1, -1, -1):
+        n = going[t]
+        tags[start[:n] + t] = now[:n]
+        if t:
+            now[:n] = links[t - 1][np.arange(n), now[:n]]
+    return tags
 
 
 def _losses(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -179,34 +203,59 @@ def _losses(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def tag(field: Field, lx: Lexed) -> np.ndarray:
     """Tags of all tokens."""
-    scores = field.scores(indices(lx)) if len(lx.starts) else np.zeros((0, 2))
-    doc, tags = lx.doc(), np.zeros(len(scores), np.int64)
-    alone, ahead = _losses(field.moves)
+    if not len(lx.starts):
+        return np.zeros(0, np.int64)
+    return tagged(field.scores(indices(lx)), field.moves, lx.doc())
+
+
+def tagged(scores: np.ndarray, moves: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Tags of the tokens of some texts, by scores of begin and inside against outside."""
+    alone, ahead = _losses(moves)
+    new = np.ones(len(doc) + 1, bool)
+    new[1:-1] = doc[1:] != doc[:-1]
     gained = np.full(len(scores), -np.inf)  # by the next token as inside rather than begin
-    if len(scores):
-        gained[:-1] = np.where(doc[1:] == doc[:-1], scores[1:, 1] - scores[1:, 0], -np.inf)
-    maybe = np.maximum((scores + alone).max(1), (scores + ahead).max(1) + gained) >= -1e-9 if len(scores) else np.zeros(0, bool)
-    starts = np.flatnonzero(maybe & np.concatenate(([True], ~maybe[:-1] | (doc[1:] != doc[:-1])))) if len(maybe) else []
-    ends = np.flatnonzero(maybe & np.concatenate((~maybe[1:] | (doc[1:] != doc[:-1]), [True]))) + 1 if len(maybe) else []
-    for s, e in zip(starts, ends, strict=True):
-        tags[s:e] = viterbi(np.concatenate((np.zeros((e - s, 1)), scores[s:e]), 1), field.moves)
-    return tags
+    gained[:-1] = np.where(new[1:-1], -np.inf, scores[1:, 1] - scores[1:, 0])
+    maybe = np.maximum((scores + alone).max(1), (scores + ahead).max(1) + gained) >= -1e-9
+    starts = np.flatnonzero(maybe & (new[:-1] | ~np.concatenate(([False], maybe[:-1]))))
+    ends = np.flatnonzero(maybe & (new[1:] | ~np.concatenate((maybe[1:], [False])))) + 1
+    return viterbi(scores, moves, starts, ends)
 
 
 def _sample(docs: DataFrame, text: str, size: int, most: int) -> pa.Array:
-    """Whole texts for the fit in an order drawn by hash of their content: those with a likely secret, and as many of any kind."""
-    own = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where(F.length("t") > 0)
-    likely = F.col("t").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{14}")
-    drawn = [own.where(likely), own]
-    texts: list[str] = []
-    for part in drawn:
-        total = 0
-        for row in part.select("t", F.xxhash64("t").alias("h")).orderBy("h", "t").limit(size // 2).select("t").toLocalIterator():
-            total += len(row["t"])
-            if total > most // 2 and texts:
-                break
-            texts.append(row["t"])
-    return pa.array(texts, pa.string())
+    """Whole texts for the fit in an order drawn by hash of their content: those with a likely secret, and as many of any kind.
+
+    Copies count once. Each kind has half the bytes; a text that does not fit is passed over, not those after it.
+    """
+    spark, each = docs.sparkSession, size // 2
+    own = docs.select(F.col(f"`{text}`").cast("string").alias("t")).where(F.octet_length("t") > 0)
+    hinted = F.lit(False)
+    for hint in _HINTS:
+        hinted = hinted | F.contains("t", F.lit(hint)) | F.contains("t", F.lit(hint.upper()))
+    likely = hinted & F.col("t").rlike(r"(?i)(password|passwd|secret|token|api_?key)[\"']? *[:=]|AKIA[A-Z0-9]{14}")
+    named = own.select(F.xxhash64("t").alias("h"), F.octet_length("t").alias("size"), likely.alias("likely"))
+
+    def least(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The first hashes of a partition, of either kind."""
+        kept = np.zeros((0, 3), np.int64)
+        for batch in batches:
+            rows = np.stack([np.asarray(c, np.int64) for c in batch.columns], 1)
+            kept = np.unique(np.concatenate((kept, rows)), axis=0)
+            kept = kept[(np.arange(len(kept)) < each) | ((kept[:, 2] > 0) & (np.cumsum(kept[:, 2]) <= each))]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in kept.T], names=["h", "size", "likely"])
+
+    first = named.withColumn("likely", F.col("likely").cast("long")).withColumn("size", F.col("size").cast("long"))
+    first = first.mapInArrow(releasing(least), "h long, size long, likely long").distinct().persist(StorageLevel.DISK_ONLY)
+    chosen: set[int] = set()
+    for kind in (first.where("likely = 1"), first):
+        used = 0
+        for row in kind.orderBy("h").limit(each).collect():
+            if used + row["size"] <= most // 2:
+                used += row["size"]
+                chosen.add(row["h"])
+    first.unpersist()
+    names = spark.createDataFrame([(h,) for h in sorted(chosen)], "h long")
+    texts = own.withColumn("h", F.xxhash64("t")).join(F.broadcast(names), "h").groupBy("h").agg(F.min("t").alias("t")).orderBy("h")
+    return pa.array([r["t"] for r in texts.collect()], pa.string())
 
 
 def scan_secrets(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
@@ -216,7 +265,9 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     it tags a stretch of tokens that no base span touches. Null and empty texts have
     none. Each row gives a row; further columns play no part.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(_sample(docs, text, sample_docs, sample_bytes)))
+    field = fit(_sample(docs, text, sample_docs, sample_bytes))
+    trim()
+    shared = docs.sparkSession.sparkContext.broadcast(field)
 
     def make():
         field = shared.value

@@ -104,13 +104,18 @@ def releasing(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            trim()
 
     return whole
 
 
+def trim() -> None:
+    """Gives memory that this process has freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
 def _typed(run, schema: T.StructType):
     """Casts what `run` yields to the declared types."""
     from pyspark.sql.pandas.types import to_arrow_schema

@@ -8,6 +8,7 @@ by itself which sentences of a toxic document offend. Scoring finds those senten
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.textkit import ALNUM, SLICE_BYTES, Lexed, char_offsets, lex, map_texts, slices
+from gristmill.llm.textkit import ALNUM, SLICE_BYTES, Lexed, char_offsets, lex, map_texts, slices, trim
 
 #: Documents of each label that the fit uses, and bytes of their texts at most.
 SAMPLE_DOCS = 1000
@@ -24,6 +25,7 @@ SAMPLE_BYTES = 24 << 20
 #: Features: least number of toxic documents, least log-odds, most in all.
 _LEAST_DOCS, _LEAST_ODDS, _MOST = 5, 1.5, 50_000
 _PREFIXES = (3, 4, 5, 6)
+_PLACE_BITS = 23
 _ENDS = np.isin(np.arange(256), [0, *b".!?\n"])
 
 
@@ -75,38 +77,74 @@ class Model:
     bias: float
 
 
+def _lexed(texts: pa.Array) -> Iterator[Lexed]:
+    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
+        yield lex(part.column(0), ALNUM, _PREFIXES)
+
+
+def _odds(toxic: np.ndarray, with_it: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    n1 = marks.sum()
+    return np.log((toxic + 0.5) / (n1 + 1)) - np.log((with_it - toxic + 0.5) / (len(marks) - n1 + 1))
+
+
+def _likely_places(texts: pa.Array, marks: np.ndarray) -> np.ndarray:
+    """Of the places that hashes have by their top bits, those whose features occur more in toxic documents.
+
+    The tables have a fixed size. A feature that shares its place with a common one can
+    be lost, one in a few thousand of a sample's.
+    """
+    with_it, toxic = np.zeros((2, 1 << _PLACE_BITS), np.int32)
+    at = 0
+    for lx in _lexed(texts):
+        f, w, _ = _features(lx)
+        pair = np.unique((lx.doc()[w] << _PLACE_BITS) | (f >> np.uint64(64 - _PLACE_BITS)).astype(np.int64))
+        place, mark = pair & ((1 << _PLACE_BITS) - 1), marks[at + (pair >> _PLACE_BITS)]
+        for table, of in ((with_it, place), (toxic, place[mark == 1])):
+            found, n = np.unique(of, return_counts=True)
+            table[found] += n.astype(np.int32)
+        at += lx.n
+    often = np.flatnonzero(toxic >= _LEAST_DOCS)
+    out = np.zeros(1 << _PLACE_BITS, bool)
+    out[often[_odds(toxic[often], with_it[often], marks) >= _LEAST_ODDS]] = True
+    return out
+
+
 def fit(texts: pa.Array, marks: np.ndarray, steps: int = 300, decay: float = 1e-3) -> Model:
-    """Weights by Adam on the noisy-or likelihood; without both labels, a constant score."""
+    """Weights by Adam on the noisy-or likelihood; without both labels, a constant score.
+
+    Texts are read twice in slices, so that memory holds what the model may use and
+    tables of fixed size, not all features of the sample.
+    """
     rate = float(marks.mean()) if len(marks) else 0.0
     if not 0 < rate < 1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -12.0)
+    likely = _likely_places(texts, marks)
     feature, doc, sentence, sentences = [], [], [], np.zeros(len(marks), np.int64)
     at = base = 0
-    for part in slices(pa.RecordBatch.from_arrays([texts], names=["text"]), 0):
-        lx = lex(part.column(0), ALNUM, _PREFIXES)
+    for lx in _lexed(texts):
         f, w, s = _features(lx)
         d = lx.doc()
         new = np.ones(len(s), bool)
         new[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])
         sentences[at : at + lx.n] = np.bincount(d[new], minlength=lx.n)
-        feature.append(f)
-        doc.append(d[w] + at)
-        sentence.append(s[w] + base)
+        kept = likely[(f >> np.uint64(64 - _PLACE_BITS)).astype(np.int64)]
+        feature.append(f[kept])
+        doc.append(d[w[kept]] + at)
+        sentence.append(s[w[kept]] + base)
         at, base = at + lx.n, base + (int(s[-1]) + 1 if len(s) else 0) + 1
     feature, doc, sentence = np.concatenate(feature), np.concatenate(doc), np.concatenate(sentence)
     names, index = np.unique(feature, return_inverse=True)
     pair = np.unique(index.astype(np.int64) * len(marks) + doc)
     with_it, toxic = np.bincount(pair // len(marks), minlength=len(names)), np.bincount(pair // len(marks), weights=marks[pair % len(marks)], minlength=len(names))
-    n1 = marks.sum()
-    odds = np.log((toxic + 0.5) / (n1 + 1)) - np.log((with_it - toxic + 0.5) / (len(marks) - n1 + 1))
+    odds = _odds(toxic, with_it, marks)
     chosen = np.flatnonzero((toxic >= _LEAST_DOCS) & (odds >= _LEAST_ODDS))
     chosen = np.sort(chosen[np.argsort(-odds[chosen] * np.sqrt(toxic[chosen]), kind="stable")[:_MOST]])
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     kept = place[index] >= 0
     pair = np.unique(sentence[kept].astype(np.int64) * len(chosen) + place[index[kept]])  # once in a sentence
-    sid, col = np.unique(pair // max(1, len(chosen)), return_inverse=True), pair % max(1, len(chosen))
-    sid, row = sid
+    col = pair % max(1, len(chosen))
+    sid, row = np.unique(pair // max(1, len(chosen)), return_inverse=True)
     of = dict(zip(sentence[kept].tolist(), doc[kept].tolist(), strict=True))
     owner = np.array([of[s] for s in sid.tolist()], np.int64)
     rest = sentences - np.bincount(owner, minlength=len(marks))
@@ -180,5 +218,6 @@ def score_toxicity(
     scores are close to 0. Null, empty and wordless texts score 0. Each row gives a row.
     """
     model = fit(*labelled_sample(docs, labels, label, sample_docs, sample_bytes))
+    trim()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return map_texts(docs, lambda: _kernel(shared.value), _FIELDS, keep=keep, limit=SLICE_BYTES)

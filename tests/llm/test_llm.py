@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -49,10 +50,33 @@ def test_token_counts_like_the_library(spark, edges, documents):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    for rows, small in ((edges, 64), (spark.createDataFrame(list(documents.items()), "doc_id long, text string"), 1000)):
-        texts = {(r["doc_id"], r["text"]) for r in rows.collect()}
-        got = sorted((r["n_bytes"], r["n_tokens"]) for r in tokencount.count_tokens(rows.distinct(), path, piece_bytes=small, batch_bytes=500).collect())
-        assert got == sorted((len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for _, t in {(i, t) for i, t in texts})
+    for rows, kept in ((edges, 0), (edges, 1 << 20), (spark.createDataFrame(list(documents.items()), "doc_id long, text string"), 1000)):
+        want = sorted((len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for t in (r["text"] for r in rows.collect()))
+        got = sorted((r["n_bytes"], r["n_tokens"]) for r in tokencount.count_tokens(rows, path, batch_bytes=500, kept_bytes=kept).collect())
+        assert got == want
+    assert tokencount.count_tokens(edges.limit(0), path).count() == 0
+
+
+def test_pieces_have_the_tokens_of_the_whole():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, counter, rnd = Tokenizer.from_file(path), tokencount.Counter(path), random.Random(5)
+    assert counter.splits and not tokencount.Counter(public_tokenizers.path("word_bpe_49k.json")).splits
+    parts = [*"ab's!?1 \n\t\r\x0b\x0c\x1c\x1f\x85\xa0\u1680\u180e\u2000\u200a\u2028\u202f\u3000\ufeff\x00\u0308é漢", "<|endoftext|>", "  ", "\n\n", " 's"]
+    texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 14))) for _ in range(20000)]
+    assert counter.counts(texts) == [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    batches = list(tokencount.batches(["é" * n for n in range(40)], 100))
+    assert sorted(x for b in batches for x in b) == sorted("é" * n for n in range(40)) and all(len(b) == 1 or sum(2 * len(x) for x in b) <= 100 for b in batches)
+
+
+def test_sentencepiece_counts_like_the_library(spark, edges):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    got = sorted((r["n_bytes"], r["n_tokens"]) for r in tokencount.count_tokens(edges, path).collect())
+    assert got == sorted((len((t or "").encode()), len(library.encode(t)) if t else 0) for _, t in EDGES)
 
 
 def test_bpe_like_the_library(spark, edges, documents):
@@ -163,40 +187,49 @@ def test_contexts_find_unseen_identifiers(spark):
     assert pii.find_personal_data(rows.limit(0), broadcast_patterns=-1).count() == 0
 
 
-def test_viterbi_falls_apart_exactly():
-    import numpy as np
+def _best_tags(scores, moves, doc):
+    """The best path over all tags of each text, by trying all."""
+    out = [0] * len(scores)
+    for d in sorted(set(doc.tolist())):
+        at = [i for i, x in enumerate(doc.tolist()) if x == d]
+        values = {}
+        for path in itertools.product(range(3), repeat=len(at)):
+            steps = zip((0, *path), (*path, 0), strict=True)
+            values[path] = sum(moves[a, b] for a, b in steps) + sum(scores[i, t - 1] for i, t in zip(at, path, strict=True) if t)
+        for i, t in zip(at, max(values, key=values.get), strict=True):
+            out[i] = t
+    return out
 
-    rng = np.random.default_rng(1)
-    moves = rng.normal(size=(3, 3))
-    moves[0, 2] = -30
-    for _ in range(20):
-        unary = np.concatenate((np.zeros((5, 1)), rng.normal(size=(5, 2))), 1)
-        best = max(((sum(unary[i, t] for i, t in enumerate(p)) + moves[0, p[0]] + sum(moves[a, b] for a, b in zip(p, p[1:], strict=False)) + moves[p[-1], 0], p) for p in np.ndindex(3, 3, 3, 3, 3)))[1]
-        assert tuple(secrets.viterbi(unary, moves)) == best
 
+def test_tags_like_trying_all_paths():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    moves, scores = np.zeros((3, 3)), np.full((7, 2), -40.0)
+    moves[0, 2], moves[1, 2] = -30, 5
+    scores[2], scores[3] = (-12, -40), (-15, 14)  # begin, inside
+    drawn = [(moves, scores, np.zeros(7, int))]
+    for scale in (2, 5, 10, 20):
+        for _ in range(80):
+            m, n = np.clip(rng.normal(size=(3, 3)) * 4, -8, 8), rng.integers(1, 8)
+            m[0, 2] = -30
+            drawn.append((m, rng.normal(size=(n, 2)) * scale - scale / 2, np.sort(rng.integers(0, 2, n))))
+    for m, u, doc in drawn:
+        assert secrets.tagged(u, m, doc).tolist() == _best_tags(u, m, doc)
 
-def test_tags_like_viterbi_over_all_tokens():
-    from types import SimpleNamespace
 
+def test_windows_stay_within_texts():
     import numpy as np
     import pyarrow as pa
 
     from gristmill.llm.textkit import SPACED, lex
 
-    lx = lex(pa.array(["a b c d e f g", "h i", "", "j k l m n"]), SPACED)
-    moves, scores = np.zeros((3, 3)), np.full((14, 2), -40.0)
-    moves[0, 2], moves[1, 2] = -30, 5
-    scores[2], scores[3] = (-12, -40), (-15, 14)  # begin, inside
-    drawn, rng = [(moves, scores)], np.random.default_rng(2)
-    for scale in (2, 5, 10, 20):
-        for _ in range(100):
-            m = np.clip(rng.normal(size=(3, 3)) * 4, -8, 8)
-            m[0, 2] = -30
-            drawn.append((m, rng.normal(size=(14, 2)) * scale - scale))
-    for m, u in drawn:
-        got = secrets.tag(SimpleNamespace(scores=lambda _, u=u: u, moves=m), lx)
-        full = np.concatenate((np.zeros((14, 1)), u), 1)
-        assert got.tolist() == [t for a, b in ((0, 7), (7, 9), (9, 14)) for t in secrets.viterbi(full[a:b], m).tolist()]
+    lx = lex(pa.array(["a b c d e", None, "x", "p q r s"]), SPACED)
+    at, doc = secrets._windows(lx, 4), lx.doc()
+    assert sorted(at[at >= 0].tolist()) == list(range(10)) and at.shape == (4, 4)
+    assert all(len(set(doc[w[w >= 0]].tolist())) == 1 for w in at)
+    assert len(secrets._windows(lex(pa.array([None, ""]), SPACED), 4)) == 0
+    assert not np.any(secrets.fit(pa.array(["no match here"] * 3)).tables[1])
 
 
 def test_chat_round_trip(spark):
