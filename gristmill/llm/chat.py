@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.textkit import lists, one_thread, slices
+from gristmill.llm.textkit import lists, one_thread, releasing, slices
 
 OPEN, MIDDLE, CLOSE = CONTROLS = ("<s>", "[INST]", "</s>")
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS) + r"|\\")
@@ -85,7 +85,7 @@ def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
                     names=["conv_id", "turn", "ids", "mask"],
                 )
 
-    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").mapInArrow(run, "conv_id long, turn long, ids array<int>, mask array<int>")
+    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").mapInArrow(releasing(run), "conv_id long, turn long, ids array<int>, mask array<int>")
 
 
 def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
@@ -121,4 +121,4 @@ def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
             yield row(now)
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(releasing(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

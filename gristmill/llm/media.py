@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gristmill.llm.textkit import map_texts, slices
+from gristmill.llm.textkit import map_texts, releasing, slices
 
 UNIT = 64
 RATE = 8000
@@ -181,7 +181,7 @@ def sniff(stored: DataFrame, *, media: str = "media", declared: str = "declared"
                     samples.append(wav_samples(b) if kind == "audio/wav" else None)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(kinds, pa.string()), pa.array(right), pa.array(inside, arrow), pa.array(samples, pa.binary())], names=[*names, *new])
 
-    return stored.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return stored.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(releasing(run), schema)
 
 
 def wav_samples(b: bytes) -> bytes:
@@ -194,7 +194,10 @@ def wav_samples(b: bytes) -> bytes:
 
 
 def features(sniffed: DataFrame) -> DataFrame:
-    """All columns and feature: kind, samples, mean, deviation, zero crossings and embedded objects, of the bytes read back."""
+    """All columns and feature: kind, samples, mean, deviation, zero crossings and embedded objects, of the bytes read back.
+
+    A null payload counts as one of no samples. Each row gives a row; a column `feature` gives way.
+    """
     names = [c for c in sniffed.columns if c != "feature"]
     schema = T.StructType([*[sniffed.schema[c] for c in names], T.StructField("feature", T.StringType())])
     kind, samples, inside = (names.index(c) for c in ("kind", "samples", "embedded"))
@@ -210,4 +213,4 @@ def features(sniffed: DataFrame) -> DataFrame:
                     out.append(f"{k}|{len(x)}|{wave.mean() if len(x) else 0:.4f}|{wave.std() if len(x) else 0:.4f}|{crossings}|{','.join(i['kind'] for i in e or [])}")
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*names, "feature"])
 
-    return sniffed.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+    return sniffed.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(releasing(run), schema)

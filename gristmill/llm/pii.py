@@ -63,7 +63,10 @@ def _contexts(column: pa.Array) -> tuple[list[bytes], list[tuple[int, str, str,
 
 
 def pattern_scores(docs: DataFrame, *, text: str = "text", turns: int = TURNS) -> DataFrame:
-    """pattern, score and support, from the pattern-instance graph of all texts, after `turns` turns and as many more as change which patterns are sure."""
+    """pattern, score and support, from the pattern-instance graph of all texts, after `turns` turns and as many more as change which patterns are sure.
+
+    Null and empty texts have no patterns, copies of a text count once, and an empty table gives an empty one.
+    """
     ensure_checkpoint_dir(docs.sparkSession)
     small_batches(docs.sparkSession)
 
@@ -178,7 +181,10 @@ def find_personal_data(docs: DataFrame, *, text: str = "text", keep: tuple[str,
 
 
 def mask(found: DataFrame, *, text: str = "text") -> DataFrame:
-    """All columns, with each span of `found` in the text replaced by its kind in angle brackets; overlapping spans are one."""
+    """All columns, with each span of `found` in the text replaced by its kind in angle brackets; overlapping spans are one.
+
+    A null text stays null; rows without spans stay as they are.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

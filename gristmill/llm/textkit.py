@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import tempfile
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -37,9 +38,11 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the session's checkpoint folder; sets one only where none is set (tests)."""
+    """Keeps the session's checkpoint folder; sets one only where none is set and all runs on this machine (tests)."""
     if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 
 def utf8_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -30,7 +30,8 @@ _ENDS = np.isin(np.arange(256), [0, *b".!?\n"])
 
 
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
+    """Whether crc32 of the id as text is divisible by 5; a null id counts as empty text, whose crc32 is 0."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, most_bytes: int) -> tuple[pa.Array, np.ndarray]:
@@ -110,7 +111,7 @@ def _likely_places(texts: pa.Array, marks: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: pa.Array, marks: np.ndarray, steps: int = 300, decay: float = 1e-3) -> Model:
-    """Weights by Adam on the noisy-or likelihood; without both labels, a constant score.
+    """Weights by Adam on the noisy-or likelihood; without both labels, or a word that tells them apart, scores close to 0.
 
     Texts are read twice in slices, so that memory holds what the model may use and
     tables of fixed size, not all features of the sample.
@@ -139,6 +140,8 @@ def fit(texts: pa.Array, marks: np.ndarray, steps: int = 300, decay: float = 1e-
     odds = _odds(toxic, with_it, marks)
     chosen = np.flatnonzero((toxic >= _LEAST_DOCS) & (odds >= _LEAST_ODDS))
     chosen = np.sort(chosen[np.argsort(-odds[chosen] * np.sqrt(toxic[chosen]), kind="stable")[:_MOST]])
+    if not len(chosen):
+        return Model(np.zeros(0, np.uint64), np.zeros(0), -12.0)
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
     kept = place[index] >= 0

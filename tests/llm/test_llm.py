@@ -254,8 +254,88 @@ def test_media_round_trip_and_carving(spark, edges):
     packed = gzip.compress(b"hello")
     kind, inside = media.sniff_bytes(b"junk" + packed + b"RIFFnope" + packed[:5], media.automaton())
     assert kind is None and inside == [("application/gzip", 4, len(packed))]
-    done = queries.op9_media(spark, SF).first()
-    assert done["tail_crc32"] >= 0 and zlib.crc32(b"") == 0
+
+
+def test_media_query_like_plain_bytes(spark, documents):
+    """All digests again from the texts, the WAV by the standard library."""
+    import io
+    import struct
+    import wave
+
+    rows = queries.op9_media(spark, SF).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    for r in rows:
+        raw = documents[r["doc_id"]].encode()
+        payload = raw + bytes(-len(raw) % 64 if raw else 64)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setparams((1, 1, media.RATE, 0, "NONE", ""))
+            w.writeframes(payload)
+        x = [b - 128 for b in payload]
+        mean = sum(x) / len(x)
+        spread = (sum((v - mean) ** 2 for v in x) / len(x)) ** 0.5
+        crossings = sum((a < 0) != (b < 0) for a, b in itertools.pairwise(x))
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(out.getvalue()), sha(out.getvalue()))
+        kind, n, m, s, c, inside = r["feature"].split("|")
+        assert (kind, int(n), int(c), inside) == ("audio/wav", len(payload), crossings, "") and abs(float(m) - mean) < 1e-3 and abs(float(s) - spread) < 1e-3
+    assert media.features(media.sniff(media.store_texts(spark.createDataFrame([], "doc_id long, text string")))).count() == 0
+
+
+def test_toxicity_is_the_noisy_or_of_sentences(spark, documents):
+    """Scores again, sentence by sentence, from the fitted weights."""
+    import math
+
+    import pyarrow as pa
+
+    from gristmill.llm.textkit import ALNUM, lex
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(*toxicity.labelled_sample(docs, labels, "toxic", 1000, 1 << 22))
+    weights = dict(zip(model.vocabulary.tolist(), model.weights.tolist(), strict=True))
+    assert weights
+
+    def features(word):
+        lx = lex(pa.array([word]), ALNUM, (3, 4, 5, 6))
+        return {int(lx.hash[0]), *(int(lx.prefix[k][0]) for k in (3, 4, 5, 6) if len(word.encode()) > k)}
+
+    known = {}
+    texts = [*list(documents.values())[:120], "", "one. two! three", "no stop at all", "!!.. ?"]
+    column = pa.array(texts)
+    got = toxicity._kernel(model)(column)
+    for text, score, n in zip(texts, got[0].to_pylist(), got[1].to_pylist(), strict=True):
+        clean, sentences = 1.0, 0
+        for sentence in re.split("[\x00.!?\n]", text):
+            words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), sentence))
+            if words:
+                found = set().union(*(known.setdefault(w, features(w)) for w in set(words)))
+                z = model.bias + sum(weights.get(f, 0.0) for f in found)
+                clean, sentences = clean * (1 - 1 / (1 + math.exp(-z))), sentences + 1
+        assert n == sentences and abs(score - (1 - clean)) < 1e-6
+
+
+def test_quality_votes_like_a_plain_ranking():
+    """Weighted votes of the nearest again, by sorting all; and the projection of one text at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    from gristmill.llm.textkit import SPACED_CASED, lex
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("alpha beta gamma Delta 12 !! x-y".split()) for _ in range(rng.randrange(0, 40))) for _ in range(60)]
+    texts += texts[:10]  # equal cosines
+    marks = np.array([rng.randrange(2) for _ in texts])
+    model = quality.fit(pa.array(texts), marks, dimensions=6)
+    asked = [*texts[:20], "", "alpha", "zzz"]
+    x = model.project(lex(pa.array(asked), SPACED_CASED))
+    alone = np.concatenate([model.project(lex(pa.array([t]), SPACED_CASED)) for t in asked])
+    assert np.allclose(x, alone, atol=1e-5)
+    for v, got in zip(x, quality.votes(model, x, 7), strict=True):
+        near = np.round(model.vectors @ v, 6)
+        best = sorted(range(len(near)), key=lambda i: (-near[i], i))[:7]
+        w = [max(float(near[i]), 1e-6) ** 4 for i in best]
+        assert abs(got - sum(a * model.marks[i] for a, i in zip(w, best, strict=True)) / sum(w)) < 1e-3
+    assert model.vectors.shape == (70, 6) and quality.votes(quality.fit(pa.array([], pa.string()), marks[:0]), np.zeros((2, 48), np.float32), 5).tolist() == [1.0, 1.0]
 
 
 @pytest.mark.parametrize(("score", "label", "cut"), [(toxicity.score_toxicity, "toxic", 0.5), (quality.score_quality, "quality", 0.3)])
@@ -270,12 +350,36 @@ def test_classifiers_on_held_out_labels(spark, edges, score, label, cut):
 
 
 def test_pipeline_stages(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    """Whole documents with nulls, copies, repeated rows, a long text and columns of other names beside them."""
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    toxic = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    item = next(r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r["text"].split()) > 13)
+    once = " ".join(f"only{i}" for i in range(60))
+    odd = [(-1, None), (-2, ""), (-3, once), (-4, once + " end"), (-5, once), (-6, f"{once} a@b.org"), (-7, item), (-8, LONG), (-8, LONG), (None, "lost row")]
+    rows = [(i, t, None, None, None, 0.1, "x") for i, t in odd]
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, score double, masked string")
+    docs = whole.unionByName(extra, allowMissingColumns=True)
+    seen = []
     for name, stage in corpus_pipeline.STAGES:
         before, docs = docs, stage(spark, docs, SF).cache()
-        assert {r[0] for r in docs.select("doc_id").collect()} <= {r[0] for r in before.select("doc_id").collect()}
+        seen.append([r["doc_id"] for r in docs.select("doc_id").collect()])
+        assert set(seen[-1]) <= {r[0] for r in before.select("doc_id").collect()}
         assert name == "bpe" or docs.columns == list(corpus_pipeline.COLUMNS)
-    assert docs.count() > 100
+    ids = [r["doc_id"] for r in whole.select("doc_id").collect()]
+    gone = set(ids) - set(seen[0])
+    assert all(toxic.get(i) != 0 for i in gone) and gone == {i for i in gone if toxic.get(i, 1)}
+    least = lambda at: [i for i in seen[at] if i is None or i < 0]
+    assert sorted(map(str, least(0))) == sorted(str(i) for i, _ in odd)
+    assert -6 in least(1) and not {-3, -4, -5} & set(least(1)) and {-1, -2, None} <= set(least(1)) and least(1).count(-8) == 2
+    assert -7 in least(1) and -7 not in least(2) and least(2) == [i for i in least(1) if i != -7] and seen[3] == seen[2] or sorted(map(str, seen[3])) == sorted(map(str, seen[2]))
+    last = {r["doc_id"]: r for r in docs.where("doc_id < 0").collect()}
+    assert last[-1]["n_tokens"] == 0 and "a@b.org" not in last[-6]["decoded"] and docs.count() > 100
+    for _, stage in corpus_pipeline.STAGES[:1] + corpus_pipeline.STAGES[2:]:
+        assert stage(spark, whole.limit(0), SF).count() == 0
+
+
+def test_near_duplicates_of_an_empty_table(spark):
+    assert jaccard.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
 def test_sample_survives_long_and_repeated_texts(spark):
