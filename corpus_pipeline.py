@@ -1,7 +1,12 @@
 """From raw documents to token ids: toxicity, near duplicates, contamination, personal data, BPE.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept. What
-a stage returns is written as Parquet in the shared checkpoint folder and read again.
+a stage returns is written as Parquet in the shared checkpoint folder and read again;
+then what the one before wrote is deleted.
+
+docs have the columns of documents; an absent one is an error, further ones are dropped.
+An empty table gives an empty one. What nulls, empty texts, copies and repeated rows
+give is said for each stage.
 """
 
 from __future__ import annotations
@@ -23,29 +28,32 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a toxicity score below 0.5."""
+    """Documents with a toxicity score below 0.5; null, empty and wordless texts score 0 and stay, repeated rows stay or go together."""
     return score_toxicity(docs, read_table(spark, sf_dir, "labels"), keep=COLUMNS).where("score < 0.5").select(*COLUMNS)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest id. Rows with that id all stay."""
-    gone = near_duplicates(docs).where("component_id <> doc_id").select("doc_id")
+    """One document of each component: that with the smallest id. Rows with that id all stay.
+
+    Null, empty and wordless texts have no links and stay, and so do rows without an id.
+    """
+    gone = near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that benchmark windows do not contaminate."""
+    """Documents that benchmark windows do not contaminate; null, empty and wordless texts stay."""
     return decontaminate(docs, read_table(spark, sf_dir, "benchmark"), keep=COLUMNS).where(~F.col("contaminated")).select(*COLUMNS)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked and n_chars counted anew."""
+    """All documents, with personal data masked and n_chars counted anew; a null text stays null, with 0 characters."""
     masked = find_personal_data(docs, keep=COLUMNS, mask_too=True).withColumn("text", F.col("masked"))
     return masked.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.lit(0).cast("long"))).select(*COLUMNS)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the text that they decode to."""
+    """Token ids of each document, and the text that they decode to; a null text has no tokens."""
     return encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=("doc_id", "lang", "source"), decode_too=True)
 
 
@@ -64,4 +72,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            _delete(spark, f"{folder}/{i - 1}")
     return docs
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
