@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.text import first_sentence, standard_code
 
+# What begins an explanation, names its item, and how codes and articles are written.
 _MARKS = r"(?=表格说明\d*[:：])|(?=图像说明\d*[:：])|(?=【(?:表|图|公式)[^】]+】)"
 _ITEM = r"表\d+(?:\.\d+)*|图[A-Za-z]?\d+(?:\.\d+)*(?:-\d+)?|公式\d+(?:\.\d+)*"
 #: Codes such as AB 12-2000, AB/T 12.3-99; and articles behind them.

@@ -26,6 +26,7 @@ THEME_OF_ACCIDENT = {"高处坠落": "高处作业", "物体打击": "高处作
 class Taxonomy:
     """Rules are (needle, tag), in the order of their tags; hints are scenario and hazard tags by the prefix of a code."""
 
+    # The defaults below.
     scenario_rules: Sequence[Sequence[str]] = ()
     hazard_rules: Sequence[Sequence[str]] = ()
     high_altitude_keywords: Sequence[str] = ("高处", "坠落", "临边", "洞口", "安全带", "安全网", "攀登", "悬空")

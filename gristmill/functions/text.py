@@ -7,6 +7,18 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# What is replaced in a standard's code, in this order.
+CODE_SPELLING = (
+    (r"\s+", ""),
+    ("—", "-"),
+    ("－", "-"),
+    ("／", "/"),
+    (r"^([A-Za-z]+)/?[Tt]", "$1-T"),
+    ("/", "-"),
+    (r"^([A-Za-z]+(?:-T)?)(\d)", "$1-$2"),
+    (r"-T-(\d)", "-T$1"),
+)
+
 #: Runs of ASCII characters that belong to no word.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -61,10 +73,8 @@ def first_sentence(text: Column, most: int = 120) -> Column:
 
 def standard_code(raw: Column) -> Column:
     """Codes of standards in one spelling: dashes for blanks and slashes, T before the number."""
-    out = F.regexp_replace(raw, r"\s+", "")
-    for wide, narrow in (("—", "-"), ("－", "-"), ("／", "/")):
-        out = F.replace(out, F.lit(wide), F.lit(narrow))
-    for pattern, to in ((r"^([A-Za-z]+)/?[Tt]", "$1-T"), ("/", "-"), (r"^([A-Za-z]+(?:-T)?)(\d)", "$1-$2"), (r"-T-(\d)", "-T$1")):
+    out = raw
+    for pattern, to in CODE_SPELLING:
         out = F.regexp_replace(out, pattern, to)
     return F.upper(out)
 
@@ -145,16 +155,19 @@ def ordered_tags(text: Column, rules: Sequence[tuple[str, str]], defaults: Colum
 
 
 def packed_paragraphs(text: Column, most: int = 1200) -> Column:
-    """Paragraphs put together greedily up to `most` characters; a longer one stays whole. One ordered fold."""
-    paragraphs = F.filter(F.transform(F.split(text, r"\n"), lambda p: F.trim(p)), lambda p: p != "")
+    """A text that fits as it is, trimmed; else its paragraphs put together greedily up to `most` characters.
+
+    A longer paragraph stays whole. An empty text is one empty part. One ordered fold.
+    """
+    trimmed = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    whole = trimmed(F.coalesce(text, F.lit("")))
+    paragraphs = F.filter(F.transform(F.split(whole, r"\n+"), trimmed), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def add(state: Column, p: Column) -> Column:
-        fits = (state["open"] == "") | (F.length(state["open"]) + F.length(p) + 1 <= most)
-        joined = F.when(state["open"] == "", p).otherwise(F.concat(state["open"], F.lit("\n"), p))
-        return F.struct(
-            F.when(fits, state["done"]).otherwise(F.concat(state["done"], F.array(state["open"]))).alias("done"), F.when(fits, joined).otherwise(p).alias("open")
-        )
-
-    end = lambda s: F.when(s["open"] == "", s["done"]).otherwise(F.concat(s["done"], F.array(s["open"])))
-    return F.aggregate(paragraphs, start, add, end)
+        full = (state["open"] != "") & (F.length(state["open"]) + F.length(p) + 1 > most)
+        longer = F.concat_ws("\n", F.nullif(state["open"], F.lit("")), p)
+        return F.struct(F.when(full, F.concat(state["done"], F.array(state["open"]))).otherwise(state["done"]).alias("done"), F.when(full, p).otherwise(longer).alias("open"))
+
+    packed = F.aggregate(paragraphs, start, add, lambda s: F.concat(s["done"], F.array(s["open"])))
+    return F.when(F.length(whole) <= most, F.array(whole)).otherwise(packed)

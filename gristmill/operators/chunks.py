@@ -60,6 +60,7 @@ class Design:
 
 @dataclass(frozen=True)
 class Rules:
+    # The defaults of this class.
     rescued: Sequence[tuple[str, str]] = (("JGJ-T46-2024", "8.1.6"), ("GB-50194-2014", "7.5.4"))
     excluded: Sequence[str] = ("JGJ-196-2010",)
     #: The machinery standard: chapters, article prefixes, and table words of one chapter that stay.
@@ -208,12 +209,21 @@ def by_standard(chunks: DataFrame, rules: Rules | None = None) -> DataFrame:
     return seen.groupBy("standard_code").agg(F.count_if("stays").alias("kept"), F.count_if(~F.col("stays")).alias("excluded"))
 
 
+# Kinds of requirement by the first words that occur.
+REQUIREMENTS = (
+    ("术语定义", ("术语",)),
+    ("禁止行为", ("严禁", "不得")),
+    ("强制性要求", ("必须", "应", "不应")),
+    ("检查验收", ("检查", "验收")),
+    ("试验检测", ("试验", "测试")),
+)
+
+
 def requirement_type(kind: Column, chapter: Column, text: Column) -> Column:
     both = F.concat_ws(" ", F.coalesce(chapter, F.lit("")), text)
     parameters = F.when(any_of(both, PARAMETER_WORDS), "计算参数").otherwise("补充说明")
-    ladder = (("术语定义", ("术语",)), ("禁止行为", ("严禁", "不得")), ("强制性要求", ("必须", "应", "不应")), ("检查验收", ("检查", "验收")), ("试验检测", ("试验", "测试")))
     out = F.lit("一般要求")
-    for label, words in reversed(ladder):
+    for label, words in reversed(REQUIREMENTS):
         out = F.when(any_of(both, words), label).otherwise(out)
     return F.when(kind.isin("table", "figure", "formula"), parameters).otherwise(out)
 

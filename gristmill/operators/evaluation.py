@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions import text
+from gristmill.operators import retrieval
 
 #: Up to so many differences Wilcoxon's p is counted, not approximated.
 EXACT = 50
@@ -189,3 +190,81 @@ def bootstrap(rows: DataFrame, group: str, value: str, draws: int = 10_000, seed
     drawn = sums.select(group, F.posexplode(F.arrays_zip("total", "times")).alias("draw", "s"))
     means = drawn.groupBy(group, "draw").agg(F.try_divide(F.sum("s.total"), F.sum("s.times")).alias("mean"))
     return means.groupBy(group).agg(F.percentile("mean", F.lit(0.025)).alias("low"), F.percentile("mean", F.lit(0.975)).alias("high"), F.count("mean").alias("draws"))
+
+
+def means(rows: DataFrame, group: str, metrics: Sequence[str], digits: int = 4) -> DataFrame:
+    """n_tasks and the mean of each metric (name_mean) of each group; nulls are left out."""
+    return rows.groupBy(group).agg(F.count("*").alias("n_tasks"), *[F.round(F.avg(m), digits).alias(f"{m}_mean") for m in metrics])
+
+
+def ir_means(per_request: DataFrame, metrics: Sequence[str] = ("recall", "hit", "mrr", "ndcg"), digits: int = 4) -> DataFrame:
+    """One row: requests, and the mean of each metric; 0 without requests."""
+    return per_request.agg(F.count("*").alias("evaluated"), *[F.round(F.coalesce(F.avg(m), F.lit(0.0)), digits).alias(m) for m in metrics])
+
+
+def case_gold(cases: DataFrame, chunks: DataFrame, most: int = 400) -> DataFrame:
+    """case_id, query, hazard_tags, expected (sorted chunk ids), total_refs and resolved_refs: one row of each case.
+
+    cases: case_id, chunk_id, chunk_kind, process, text, case_title, hazard_tags,
+    related_standards; its summary counts, else the chunk with the smallest id. chunks:
+    item, standard_code, article_id.
+    """
+    place = F.struct((F.col("chunk_kind") != "case_summary").cast("int"), "chunk_id")
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    one = F.struct(F.coalesce(filled("process"), filled("text"), filled("case_title"), F.lit("")).alias("query"), "hazard_tags", "related_standards")
+    chosen = cases.groupBy("case_id").agg(F.min_by(one, place).alias("c"))
+    refs = F.array_distinct(F.filter("c.related_standards", lambda r: F.contains(r, F.lit(":")) & ~F.startswith(r, F.lit("《"))))
+    rows = chosen.select("case_id", F.substring(F.trim("c.query"), 1, most).alias("query"), "c.hazard_tags", F.coalesce(refs, F.array().cast("array<string>")).alias("refs"))
+    found = retrieval.by_refs(rows.select(F.col("case_id").alias("request"), F.explode("refs").alias("ref")), chunks)
+    expected = found.groupBy(F.col("request").alias("case_id")).agg(F.array_sort(F.collect_set("item")).alias("expected"))
+    out = rows.join(expected, "case_id", "left").withColumn("expected", F.coalesce("expected", F.array().cast(expected.schema["expected"].dataType)))
+    return out.select("case_id", "query", "hazard_tags", "expected", F.size("refs").alias("total_refs"), F.size("expected").alias("resolved_refs"))
+
+
+def _compared(pairs: DataFrame, by: list[str], scope: str, level: float = 0.05) -> DataFrame:
+    """Means, Wilcoxon, Cliff's delta, Holm's p over all comparisons of a metric, and whether that is below `level`; pairs: by, left, right."""
+    pairs = pairs.where("left is not null and right is not null")
+    sizes = pairs.groupBy(*by).agg(F.count("*").alias("n_pairs"), *[F.round(F.avg(c), 6).alias(f"{c}_mean") for c in ("left", "right")], F.round(F.avg(F.col("left") - F.col("right")), 6).alias("mean_delta"))
+    tests = wilcoxon(pairs, by, F.col("left") - F.col("right")).drop("n")
+    sides = pairs.select(*by, F.explode(F.array(F.struct(F.col("left").alias("v"), F.lit(1).alias("l"), F.lit(0).alias("r")), F.struct(F.col("right").alias("v"), F.lit(0).alias("l"), F.lit(1).alias("r")))).alias("s"))
+    levels = sides.groupBy(*by, F.col("s.v").alias("v")).agg(F.sum("s.l").alias("l"), F.sum("s.r").alias("r"))
+    below = F.coalesce(F.sum("r").over(Window.partitionBy(*by).orderBy("v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    above = F.sum("r").over(Window.partitionBy(*by)) - below - F.col("r")
+    n = F.sum("l") * F.sum("r")
+    deltas = levels.withColumns({"below": below, "above": above}).groupBy(*by).agg(F.round(F.sum(F.col("l") * (F.col("below") - F.col("above"))) / n, 6).alias("cliffs_delta"))
+    out = sizes.join(tests, by).join(deltas, by).withColumn("scope", F.lit(scope)).withColumn("\u0001key", F.concat_ws("\u0001", *[F.col(b).cast("string") for b in by]))
+    return holm(out, ["scope", "metric"], "p", "\u0001key").drop("\u0001key").withColumn("significant", F.coalesce(F.col("p_holm") < level, F.lit(False)))
+
+
+def within_datasets(rows: DataFrame) -> DataFrame:
+    """Each group of a dataset against its reference (full of ablations, proposed of variants), paired by task.
+
+    rows: dataset, family, grp, task, metric, value, one for each of them; a dataset
+    without its reference gives none.
+    """
+    reference = F.when(F.col("family") == "ablation", "full").otherwise("proposed")
+    key = ["dataset", "family", "task", "metric"]
+    left = rows.where(F.col("grp") == reference).select(*key, F.col("grp").alias("reference"), F.col("value").alias("left"))
+    right = rows.where(F.col("grp") != reference).select(*key, F.col("grp").alias("comparison"), F.col("value").alias("right"))
+    return _compared(left.join(right, key), ["dataset", "family", "metric", "reference", "comparison"], "within_dataset")
+
+
+def between_datasets(rows: DataFrame, order: str = "dataset") -> DataFrame:
+    """The same groups of two datasets of a family, the earlier by `order` on the left, paired by task; rows as for within_datasets."""
+    key = ["family", "grp", "task", "metric"]
+    side = lambda name: rows.select(*key, F.col("dataset").alias(f"{name}_dataset"), F.col(order).alias(f"{name}_order"), F.col("value").alias(name))
+    pairs = side("left").join(side("right"), key).where("left_order < right_order")
+    return _compared(pairs, ["family", "metric", "grp", "left_dataset", "right_dataset"], "between_dataset")
+
+
+def summary_with_interval(rows: DataFrame, group: str, value: str, draws: int = 10_000) -> DataFrame:
+    """summary with the ends of the bootstrap's 95 % interval of the mean; a null group is one of its own."""
+    ends = bootstrap(rows, group, value, draws).select(F.col(group).alias("\u0001g"), F.round("low", 6).alias("ci95_low"), F.round("high", 6).alias("ci95_high"))
+    sums = summary(rows, group, value)
+    return sums.join(ends, sums[group].eqNullSafe(F.col("\u0001g")), "left").drop("\u0001g")
+
+
+def unmatched(left: DataFrame, right: DataFrame, column: str) -> DataFrame:
+    """Values of one side only: side ('missing' from the left, 'extra' on it) and the value, once each."""
+    a, b = left.select(column).distinct(), right.select(column).distinct()
+    return b.exceptAll(a).select(F.lit("missing").alias("side"), column).unionByName(a.exceptAll(b).select(F.lit("extra").alias("side"), column))

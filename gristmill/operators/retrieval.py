@@ -6,7 +6,8 @@ terms, tags or blocks of a broadcast request set, and top-k is a ranking per req
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,21 +34,57 @@ def postings(items: DataFrame, terms: Column) -> DataFrame:
     return words.select("item", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("item", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25(items: DataFrame, requests: DataFrame, terms, k: int = DEPTH, digits: int = 6) -> DataFrame:
-    """Top k items for each request by BM25 over one field; items: item, text; requests: request, text.
+def bm25_scores(items: DataFrame, requests: DataFrame, terms, digits: int = 6) -> DataFrame:
+    """request, item and BM25 score of all items that share a term with a request; items: item, text; requests: request, text.
 
-    Only postings of requested terms take part in the join with requests.
+    Terms that no request has go before postings are counted, so that only those of
+    requested terms are shuffled.
     """
-    index = postings(items, terms(F.col("text")))
-    stats = items.select(F.size(terms(F.col("text"))).alias("n")).agg(F.count("*").alias("items"), F.avg("n").alias("mean"))
+    lengths = items.select("item", terms(F.col("text")).alias("terms"))
+    stats = lengths.agg(F.count("*").alias("items"), F.avg(F.size("terms")).alias("mean"))
     asked = requests.select("request", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    spread = index.join(asked.select("term").distinct(), "term", "left_semi")
+    words = lengths.select("item", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    spread = words.groupBy("term", "item").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     found = spread.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     weighted = spread.join(found, "term").crossJoin(F.broadcast(stats)).select("term", "item", (idf * weight).alias("weight"))  # stats is one row
-    scores = asked.join(weighted, "term").groupBy("request", "item").agg(F.round(F.sum("weight"), digits).alias("score"))
-    return top_k(scores, k)
+    return asked.join(weighted, "term").groupBy("request", "item").agg(F.round(F.sum("weight"), digits).alias("score"))
+
+
+def bm25(items: DataFrame, requests: DataFrame, terms, k: int = DEPTH, digits: int = 6) -> DataFrame:
+    """The top k of bm25_scores for each request."""
+    return top_k(bm25_scores(items, requests, terms, digits), k)
+
+
+# Fields of a chunk and what their scores are worth; keywords match whole.
+WORD_FIELDS = {"text": 4.0, "title": 3.0}
+KEYWORD_FIELDS = {"article_id": 5.0, "standard_code": 3.0, "scenario_tags": 2.0, "hazard_tags": 2.0, "requirement_type": 1.0, "chunk_kind": 1.0}
+
+
+def bm25_fields(items: DataFrame, requests: DataFrame, terms, k: int = DEPTH, words: dict[str, float] | None = None, keywords: dict[str, float] | None = None, digits: int = 6) -> DataFrame:
+    """Top k of the best field's boosted score; items: item and the fields; requests: request, text.
+
+    A keyword field (a string or an array of them) matches where the whole request is one
+    of its values; it scores by BM25 over its values without regard to length, as keyword
+    fields have none.
+    """
+    words, keywords = WORD_FIELDS if words is None else words, KEYWORD_FIELDS if keywords is None else keywords
+    found = []
+    for name, boost in words.items():
+        scores = bm25_scores(items.select("item", F.col(name).alias("text")), requests, terms, digits)
+        found.append(scores.select("request", "item", (F.col("score") * boost).alias("score")))
+    total = items.agg(F.count("*").alias("items"))
+    for name, boost in keywords.items():
+        value = F.col(name) if items.schema[name].dataType.typeName() == "array" else F.array(F.col(name).cast("string"))
+        held = items.select("item", F.explode(F.array_distinct(value)).alias("text")).join(requests.select("text").distinct(), "text", "left_semi")
+        spread = held.groupBy("text").agg(F.count("*").alias("df"))
+        idf = F.log1p((F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+        score = F.round(idf / (1 + K1), digits) * boost
+        weighted = held.join(spread, "text").crossJoin(F.broadcast(total)).select("text", "item", score.alias("score"))  # total is one row
+        found.append(requests.select("request", "text").join(weighted, "text").select("request", "item", "score"))
+    out = reduce(DataFrame.unionByName, found)
+    return top_k(out.groupBy("request", "item").agg(F.round(F.max("score"), digits).alias("score")), k)
 
 
 def best_fields(routes: list[tuple[DataFrame, float]], k: int = DEPTH) -> DataFrame:
@@ -99,8 +136,12 @@ def nearest(items: DataFrame, requests: DataFrame, k: int = DEPTH, digits: int =
 def tag_route(items: DataFrame, requests: DataFrame, families: dict[str, float], k: int = DEPTH) -> DataFrame:
     """Score of each family once where item and request share a tag of it; both have one array column for each family.
 
-    Counts of shared families come from explicit tag equality, so items without a shared tag never meet a request.
+    Items with equal tags have equal scores, and ties go by item: the k smallest of each
+    set of tags are all that can come out on top, and only they meet requests.
     """
+    names = list(families)
+    sets = items.select("item", *[F.array_sort(F.array_distinct(F.coalesce(F.col(n), F.array().cast(items.schema[n].dataType)))).alias(n) for n in names])
+    items = sets.withColumn("place", F.row_number().over(Window.partitionBy(*names).orderBy("item"))).where(F.col("place") <= k)
     parts = []
     for name, weight in families.items():
         a = items.select("item", F.explode(name).alias("tag"))
@@ -112,8 +153,18 @@ def tag_route(items: DataFrame, requests: DataFrame, families: dict[str, float],
     return top_k(out.groupBy("request", "item").agg(F.sum("score").alias("score")), k)
 
 
+def overlaps(pairs: DataFrame, items: DataFrame, requests: DataFrame, families: Sequence[str]) -> DataFrame:
+    """request, item and overlap, a struct of how many distinct tags of each family both have, the first family first.
+
+    pairs: request, item, once each; items and requests: item or request, and an array for each family; null is none.
+    """
+    ours, theirs = items.select("item", *[F.col(n).alias(f"i{n}") for n in families]), requests.select("request", *[F.col(n).alias(f"r{n}") for n in families])
+    shared = F.struct(*[F.greatest(F.size(F.array_intersect(f"i{n}", f"r{n}")), F.lit(0)).alias(n) for n in families])
+    return pairs.select("request", "item").distinct().join(ours, "item").join(theirs, "request").select("request", "item", shared.alias("overlap"))
+
+
 def fuse(routes: DataFrame, k: int, overlap: DataFrame | None = None, rrf_k: int = RRF_K, digits: int = 8) -> DataFrame:
-    """Reciprocal rank fusion of request, route, rank, item. Ties: overlap (request, item, overlap), best rank, first route and rank, item."""
+    """Reciprocal rank fusion of request, route, rank, item. Ties: overlap (request, item, overlap: a number or a struct), best rank, first route and rank, item."""
     out = routes.groupBy("request", "item").agg(
         F.round(F.sum(1.0 / (rrf_k + F.col("rank"))), digits).alias("score"),
         F.min("rank").alias("best_rank"),
@@ -121,8 +172,9 @@ def fuse(routes: DataFrame, k: int, overlap: DataFrame | None = None, rrf_k: int
         F.count("*").alias("n_routes"),
     )
     out = out.join(overlap, ["request", "item"], "left") if overlap is not None else out.withColumn("overlap", F.lit(0))
-    out = out.withColumn("overlap", F.coalesce("overlap", F.lit(0)))
-    order = Window.partitionBy("request").orderBy(F.desc("score"), F.desc("overlap"), "best_rank", "first_seen", "item")
+    if out.schema["overlap"].dataType.typeName() != "struct":
+        out = out.withColumn("overlap", F.coalesce("overlap", F.lit(0)))
+    order = Window.partitionBy("request").orderBy(F.desc("score"), F.desc_nulls_last("overlap"), "best_rank", "first_seen", "item")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("first_seen")
 
 
@@ -140,3 +192,52 @@ def rerank_fused(routes: DataFrame, texts: DataFrame, queries: DataFrame, score:
     """
     pool = fuse(routes, max(POOL, k)).select("request", "item", "rank")
     return rerank(pool.join(texts, "item").join(queries, "request"), score, k)
+
+
+MODES = ("bm25", "vector", "tag", "rrf_hybrid")
+# Families of tags, the more telling one first, and what one shared tag is worth.
+FAMILIES = {"hazard_tags": 2.0, "scenario_tags": 1.0}
+
+
+def retrieve(
+    items: DataFrame, requests: DataFrame, queries: DataFrame, terms, mode: str = "rrf_hybrid", k: int = 5, score: Column | None = None, words: dict[str, float] | None = None, keywords: dict[str, float] | None = None
+) -> DataFrame:
+    """request, item, rank: the k best items of each request by one route or by all.
+
+    items: item, the fields of a chunk, the arrays of FAMILIES, vector; requests: request
+    and the arrays; queries: request, text, vector. Blank queries are dropped; each other
+    one is a ranked list of its own in the word and vector routes, and a request without any gets nothing.
+    All lists are fused; ties go by shared tags of each family. With `score` (over the
+    items' columns and asked, a query's text), the fused pool is reranked by the best query.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode!r}; there are {', '.join(MODES)}")
+    clean = queries.withColumn("text", F.trim("text")).where("text <> ''")
+    named = clean.withColumn("request", F.struct("request", F.row_number().over(Window.partitionBy("request").orderBy("text")).alias("query")))
+    asking = requests.join(clean.select("request").distinct(), "request", "left_semi")
+    lists = []
+    if mode in ("bm25", "rrf_hybrid"):
+        found = bm25_fields(items, named.select("request", "text"), terms, DEPTH, words, keywords)
+        lists.append(found.select("request.request", F.struct(F.lit(0).alias("kind"), F.col("request.query").alias("query")).alias("route"), "rank", "item"))
+    if mode in ("vector", "rrf_hybrid"):
+        found = nearest(items.where("vector is not null").select("item", "vector"), named.where("vector is not null").select("request", "vector"), DEPTH)
+        lists.append(found.select("request.request", F.struct(F.lit(1).alias("kind"), F.col("request.query").alias("query")).alias("route"), "rank", "item"))
+    if mode in ("tag", "rrf_hybrid"):
+        lists.append(tag_route(items, asking, FAMILIES, DEPTH).select("request", F.struct(F.lit(2).alias("kind"), F.lit(0).alias("query")).alias("route"), "rank", "item"))
+    routes = reduce(DataFrame.unionByName, lists)
+    shared = overlaps(routes, items, asking, list(FAMILIES))
+    if score is None:
+        return fuse(routes, k, shared).select("request", "item", "rank")
+    pool = fuse(routes, max(POOL, k), shared).select("request", "item", "rank")
+    return rerank(pool.join(items, "item").join(clean.select("request", F.col("text").alias("asked")), "request"), score, k).select("request", "item", "rank")
+
+
+def by_refs(refs: DataFrame, chunks: DataFrame) -> DataFrame:
+    """request and item of the articles that references name: CODE:article with both parts, no laws in 《》, each pair once.
+
+    refs: request, ref; chunks: item, standard_code, article_id.
+    """
+    parts = refs.where(F.contains("ref", F.lit(":")) & ~F.startswith("ref", F.lit("《")))
+    code, article = F.trim(F.substring_index("ref", ":", 1)), F.trim(F.expr("substr(ref, instr(ref, ':') + 1)"))
+    pairs = parts.select("request", code.alias("standard_code"), article.alias("article_id")).where("standard_code <> '' and article_id <> ''").distinct()
+    return pairs.join(chunks.select("item", "standard_code", "article_id"), ["standard_code", "article_id"]).select("request", "item").distinct()

@@ -1,5 +1,4 @@
 import json
-import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,24 +47,23 @@ def test_chunk_reasons(spark, row, wanted):
     assert df.select(chunks.reason(RULES).alias("r")).first()["r"] == wanted
 
 
-def lines_by_hand(words):
-    words, lines, line, y0, h0 = sorted((y, x, h, t) for x, y, h, t in words if t.strip()), [], [], None, None
-    for y, x, h, t in words:
-        if y0 is not None and abs(y0 - y) > 0.6 * max(h, h0):
-            lines.append(line)
-            line, y0 = [], None
-        line.append((x, len(line), t))
-        y0, h0 = (y if y0 is None else (y0 * len(line) + y) // (len(line) + 1)), h
-    return "\n".join("".join(w[2] for w in sorted(x)) for x in ([*lines, line] if line else lines))
-
-
-def test_page_lines_like_a_loop(spark):
-    rng = random.Random(3)
-    pages = [[]] + [[(rng.randrange(300), rng.randrange(80), rng.randrange(5, 15), rng.choice(["a", "b", " ", "cd"]) ) for _ in range(rng.randrange(1, 25))] for _ in range(40)]
-    pages = [list({(w[0], w[1]): w for w in p}.values()) for p in pages]
-    df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, w array<struct<x:int,y:int,h:int,text:string>>")
-    got = [r["o"] for r in df.select("i", layout.page_lines(F.col("w")).alias("o")).orderBy("i").collect()]
-    assert got == [lines_by_hand(p) for p in pages]
+@pytest.mark.parametrize(
+    ("words", "wanted"),
+    [
+        ([], ""),
+        ([(5, 10, 10, " ")], ""),
+        ([(50, 10, 10, "b"), (5, 12, 10, "a")], "ab"),  # one line, from left to right
+        ([(5, 16, 10, "a"), (50, 10, 10, "b")], "ab"),  # 6 is 0.6 of 10
+        ([(5, 17, 10, "a"), (50, 10, 10, "b")], "b\na"),
+        ([(5, 20, 18, "a"), (50, 10, 5, "b")], "ab"),  # the larger height counts
+        ([(9, 10, 10, "a"), (8, 16, 10, "b"), (7, 18, 10, "c")], "cba"),  # the line is at 12 by now
+        ([(9, 10, 10, "a"), (8, 16, 10, "b"), (7, 19, 10, "c")], "ba\nc"),
+        ([(1, 0, 10, "x"), (1, 40, 10, "y"), (3, 41, 10, "z"), (1, 80, 10, " w ")], "x\nyz\nw"),
+    ],
+)
+def test_page_lines(spark, words, wanted):
+    df = spark.createDataFrame([(words,)], "w array<struct<x:int,y:int,h:int,text:string>>")
+    assert df.select(layout.page_lines(F.col("w")).alias("o")).first()["o"] == wanted
 
 
 @pytest.mark.parametrize(
@@ -140,7 +138,7 @@ def test_every_ablation_acts(spark):
     norms = spark.createDataFrame([(10, "scaffold rules", ["x"], 10), (11, "unrelated words", ["y"], 11), (12, "net", ["y"], 12)], "item long, text string, tags array<string>, ref long")
     cases = spark.createDataFrame([(20, "scaffold fell", ["z"], [11])], "item long, text string, tags array<string>, refs array<long>")
     config = strategies.EngineConfig(rewrite=lambda df: df.select("request", F.lit("net").alias("text")))
-    found = strategies.ablation_study(requests, norms, cases, config).localCheckpoint()
+    found = strategies.ablation_study(requests, norms, cases, config).cache()
     stray = F.array(F.struct(F.lit("norm").alias("kind"), F.lit(99).cast("long").alias("item")))
     author = lambda df: df.withColumn("cited", F.when((F.col("request") == 1) & (F.col("passes") == 0), F.concat("evidence", stray)).otherwise(F.col("evidence")))
     judge = lambda df: df.withColumn("issues", F.when(F.col("request") == 2, F.array(F.lit("hallucination"))).otherwise(F.array().cast("array<string>")))

@@ -68,18 +68,20 @@ def test_text_functions(spark, value, column, wanted):
     assert one(spark, value, column) == wanted
 
 
-def test_packed_paragraphs_like_a_greedy_loop(spark):
-    paragraphs = ["x" * n for n in (5, 9, 30, 3, 3, 12)]
-    done, now = [], ""
-    for p in paragraphs:
-        if not now:
-            now = p
-        elif len(now) + len(p) + 1 <= 20:
-            now += "\n" + p
-        else:
-            done.append(now)
-            now = p
-    assert one(spark, "\n".join(paragraphs), lambda c: tx.packed_paragraphs(c, 20)) == [*done, now]
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("", [""]),
+        (None, [""]),
+        (" a\n\nb\t", ["a\n\nb"]),  # fits as it is
+        ("xxxxxxxxxx\n\nyyyyyyyyy\nz", ["xxxxxxxxxx\nyyyyyyyyy", "z"]),  # 20 and the next line feed
+        ("x" * 25 + "\ny\n \t\r\nz", ["x" * 25, "y\nz"]),
+        ("a\n" + "x" * 25 + "\nb", ["a", "x" * 25, "b"]),
+        ("x" * 30, ["x" * 30]),
+    ],
+)
+def test_packed_paragraphs(spark, text, wanted):
+    assert one(spark, text, lambda c: tx.packed_paragraphs(c, 20)) == wanted
 
 
 def test_arbitration_has_all_outcomes(spark):
