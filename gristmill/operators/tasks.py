@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.cleaning import clause, stripped
+from gristmill.functions.session import checkpoints
 
 # Words of demands, lengths of clauses, codes and articles in free text.
 DEMANDS = "必须|严禁|禁止|不得|不应|应当|应|宜"
@@ -37,11 +38,12 @@ def verified_refs(texts: DataFrame, library: DataFrame, key: str = "id", text: s
     """key and refs: CODE:article of all codes and all articles that a text names, as far as the library holds them; sorted.
 
     library: standard_code, article_id. A code in a text is known by its core, with its T
-    and without it. Texts without such references have an empty array; a null text too.
+    and without it; of several codes with one core the last by name counts. Texts without such references have an empty array; a null text too.
     """
     known = library.where("standard_code is not null and article_id is not null").select("standard_code", F.trim("article_id").alias("article")).distinct()
     named = library.where("standard_code is not null").select("standard_code", core_code(F.col("standard_code")).alias("core")).distinct()
-    named = named.select("standard_code", F.explode(F.array_distinct(F.array("core", F.ltrim("core", F.lit("T"))))).alias("core")).distinct()
+    named = named.select("standard_code", F.explode(F.array_distinct(F.array("core", F.ltrim("core", F.lit("T"))))).alias("core"))
+    named = named.groupBy("core").agg(F.max("standard_code").alias("standard_code"))
     whole = F.regexp_extract_all(text, F.lit(CODE), F.lit(0))
     cores = F.flatten(F.transform(whole, lambda m: F.array(F.concat(F.regexp_extract(m, CODE, 1), F.regexp_extract(m, CODE, 2)), F.regexp_extract(m, CODE, 2))))
     numbers = F.transform(F.regexp_extract_all(text, F.lit(NUMBER), F.lit(0)), lambda m: F.regexp_extract(m, r"[0-9]+(?:\.[0-9]+)+", 0))
@@ -67,9 +69,11 @@ def running_ids(rows: DataFrame, group: str, order: str, out: str = "nth", parts
     """Rows with their place in their group, from 1, by `order`, which must have no ties.
 
     Rows are dealt to ranges of `order`; counts of each group in each range give every
-    range the place to go on from, so that one task never holds a whole group.
+    range the place to go on from, so that one task never holds a whole group. The ranges
+    are written to the checkpoint folder, as two readings must see the same ones.
     """
-    dealt = rows.repartitionByRange(parts, order).withColumn("\u0001part", F.spark_partition_id())
+    checkpoints(rows.sparkSession)
+    dealt = rows.repartitionByRange(parts, order).withColumn("\u0001part", F.spark_partition_id()).checkpoint()
     sizes = dealt.groupBy(group, "\u0001part").agg(F.count("*").alias("\u0001n"))
     before = F.coalesce(F.sum("\u0001n").over(Window.partitionBy(group).orderBy("\u0001part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.select(group, "\u0001part", before.alias("\u0001before"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import jsontext, layout
 from gristmill.functions import text as tx
-from gristmill.operators import chunks, curation, evaluation, evidence, retrieval
+from gristmill.operators import chunks, curation, evaluation, evidence, retrieval, tasks
 from gristmill.plans import strategies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -302,8 +302,8 @@ def query_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH t AS (SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders)
 SELECT o_orderkey, 'task-' || left(o_orderpriority, 1) || '-' || printf('%03d', k) AS task_id FROM t""")
 def gold_task_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.format_string("task-%s-%03d", F.substring("o_orderpriority", 1, 1), nth).alias("task_id"))
+    rows = tasks.running_ids(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", "o_orderkey")
+    return rows.select("o_orderkey", F.format_string("task-%s-%03d", F.substring("o_orderpriority", 1, 1), "nth").alias("task_id"))
 
 
 @query("""SELECT a.c_custkey AS case_id, array_to_string(list_sort(list(b.c_custkey))[1:3], ',') AS similar FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_custkey) AS k FROM customer) b
@@ -494,13 +494,13 @@ def refs_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(refs).cast("long").alias("n_refs"))
 
 
-@query(r"""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[.\n]+'), lambda x: trim(x)), lambda x: length(x) >= 8) AS c FROM documents)
-SELECT doc_id, md5(coalesce(array_to_string(CASE WHEN len(list_filter(c, lambda x: regexp_matches(x, 'must|shall|the'))) > 0 THEN list_filter(c, lambda x: regexp_matches(x, 'must|shall|the'))[1:2] ELSE c[1:1] END, '|'), '')) AS clauses FROM s""")
+@query(r"""WITH s AS (SELECT doc_id, list_transform(string_split_regex(regexp_replace(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '^\d+(\.\d+)+\s*', ''), '[.;]+'),
+  lambda x: regexp_replace(regexp_replace(regexp_replace(x, '[”“’‘*]', '', 'g'), '\s+', '', 'g'), '^[,，、]+', '')) AS c FROM documents),
+d AS (SELECT doc_id, c, list_filter(c, lambda x: length(x) >= 8 AND regexp_matches(x, 'must|shall|the')) AS f FROM s)
+SELECT doc_id, md5(coalesce(array_to_string(CASE WHEN len(f) > 0 THEN f[1:2] ELSE list_filter(c, lambda x: length(x) >= 12)[1:1] END, '|'), '')) AS clauses FROM d""")
 def mandatory_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clauses = F.filter(F.transform(F.split("text", r"[.\n]+"), lambda x: F.trim(x)), lambda x: F.length(x) >= 8)
-    modal = F.filter(clauses, lambda x: x.rlike("must|shall|the"))
-    chosen = F.when(F.size(modal) > 0, F.slice(modal, 1, 2)).otherwise(F.slice(clauses, 1, 1))
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(chosen, "|")).alias("clauses"))
+    """Clauses of English texts: other words and ends than the defaults."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(tasks.demands(F.col("text"), words="must|shall|the", ends="[.;]+"), "|")).alias("clauses"))
 
 
 @query("""SELECT conv_id, CAST(sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) AS BIGINT) AS demoted, count(*) AS n FROM conversations GROUP BY conv_id""")

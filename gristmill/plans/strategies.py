@@ -9,15 +9,14 @@ caller gives: they take and return DataFrames, so that they run on executors.
 
 from __future__ import annotations
 
-import os
-import tempfile
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gristmill.functions.session import checkpoints
 from gristmill.functions.text import tokens
 from gristmill.operators import evidence, retrieval
 
@@ -205,14 +204,6 @@ def ablated_drafts(
     return reduce(DataFrame.unionByName, runs)
 
 
-def checkpoints(spark: SparkSession) -> None:
-    """Keeps the folder that the session names; sets one only where none is set and all runs on this machine (tests)."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and not spark.sparkContext.getCheckpointDir():
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
-
-
 def authored(states: DataFrame, author: Callable[[DataFrame], DataFrame], check: Callable[[DataFrame], DataFrame], config: EngineConfig | None = None, gather: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """states (request and whatever `author` needs) after authoring, checks and arbitration, with passes and route.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
 from gristmill.operators import curation, evaluation, evidence, retrieval
-from gristmill.plans import catalog
+from gristmill.plans import catalog, library  # noqa: F401
 from gristmill.sources import files
 
 SF = "/root/testdata/sf0.001"
