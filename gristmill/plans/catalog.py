@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions import jsontext, layout
+from gristmill.functions import jsontext, layout, planning
 from gristmill.functions import text as tx
 from gristmill.operators import chunks, curation, evaluation, evidence, retrieval, tasks
 from gristmill.plans import strategies
@@ -198,7 +198,12 @@ def article_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("body", F.md5("body"))
 
 
-@query()
+@query(r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS w FROM documents),
+p AS (SELECT doc_id, w, list_filter(list_transform(string_split_regex(w, '\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM d),
+f AS (SELECT doc_id, w, CASE WHEN length(w) > 1200 THEN list_reduce(list_transform(ps, lambda x: {'done': []::VARCHAR[], 'now': x}), lambda s, x: CASE WHEN length(s.now) + 1 + length(x.now) <= 1200
+  THEN {'done': s.done, 'now': s.now || chr(10) || x.now} ELSE {'done': list_append(s.done, s.now), 'now': x.now} END) END AS r FROM p),
+b AS (SELECT doc_id, CASE WHEN r IS NULL THEN [w] ELSE list_append(r.done, r.now) END AS parts FROM f)
+SELECT doc_id, CAST(part - 1 AS INTEGER) AS part, length(parts[part]) AS size, md5(parts[part]) AS digest FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS part FROM b)""")
 def paragraph_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.packed_paragraphs(F.col("text"))).alias("part", "body"))
     return packed.select("doc_id", "part", F.length("body").alias("size"), F.md5("body").alias("digest"))
@@ -286,17 +291,19 @@ def theme_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", tx.first_match(F.col("p_type"), rules, "other").alias("theme"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN contains(text, 'training') OR contains(text, 'quiz') THEN 'training' WHEN contains(text, '?') OR contains(text, 'que') THEN 'qa' ELSE 'training' END AS mode FROM conversations""")
+@query("""SELECT conv_id, turn, CASE WHEN regexp_matches(coalesce(text, ''), '培训|交底|班前|安全教育') THEN 'training' WHEN regexp_matches(coalesce(text, ''), '[?？]|为什么|为何|如何|怎么|怎样|是什么|能不能|可不可以|要不要|是否|多少|哪些|哪个|什么时候|有没有|该不该') THEN 'qa' ELSE 'training' END AS mode
+FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN text WHEN 1 THEN text || '如何' ELSE '班前' || text END AS text FROM conversations)""")
 def intent_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    mode = F.when(tx.any_of(t, ["training", "quiz"]), "training").when(tx.any_of(t, ["?", "que"]), "qa").otherwise("training")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", mode.alias("mode"))
+    """Every third turn asks, every third names training."""
+    text = F.when(F.col("turn") % 3 == 0, F.col("text")).when(F.col("turn") % 3 == 1, F.concat("text", F.lit("如何"))).otherwise(F.concat(F.lit("班前"), "text"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", planning.intent(text).alias("mode"))
 
 
-@query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS route, q FROM (SELECT conv_id, turn, unnest([0, 1]) AS k, unnest([role || ' rules', role || ' accidents']) AS q FROM conversations)""")
+@query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY k) - 1 AS route, md5(base || suffix) AS q FROM (SELECT conv_id, turn, regexp_replace(trim(coalesce(text, '')), '[？?]+$', '') AS base,
+  unnest([0, 1, 2]) AS k, unnest(['', ' 规范 要求 安全 防护', ' 施工 安全 措施']) AS suffix FROM conversations)""")
 def query_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = F.array(F.concat("role", F.lit(" rules")), F.concat("role", F.lit(" accidents")))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(asked).alias("route", "q")).withColumn("route", F.col("route").cast("long"))
+    asked = planning.qa_queries(F.col("text"))["norm_queries"]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(asked).alias("route", "q")).select("conv_id", "turn", F.col("route").cast("long").alias("route"), F.md5("q").alias("q"))
 
 
 @query("""WITH t AS (SELECT o_orderkey, o_custkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders)

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import zipfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from io import BytesIO
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,6 +49,84 @@ def read_files(spark: SparkSession, path: str, suffixes: Iterable[str]) -> DataF
     )
 
 
+# Names of folders and files that tell what a PDF holds.
+PICTURE_FOLDERS = ("_表格", "_图像")
+EXPLAINED_FOLDERS = ("表格提取与说明", "图提取与说明")
+PICTURE_FILES = ("表", "附录A-图")
+SEMANTIC_WORDS = ("说明", "公式", "图")
+EXPLANATION_WORDS = ("说明", "补充", "公式", "图、公式")
+
+
+def existing(spark: SparkSession, paths: Iterable[str]) -> list[str]:
+    """Those of some paths that exist, in whatever store they are."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    return [p for p in paths if path(p).getFileSystem(conf).exists(path(p))]
+
+
+def list_sources(spark: SparkSession, roots: Iterable[str], suffixes: Iterable[str] = (".pdf", ".docx")) -> DataFrame:
+    """read_files of all roots that exist, with seq, the place of a file among all by path; no root gives no files."""
+    found = existing(spark, roots)
+    empty = spark.createDataFrame([], "path string, content binary, folder string, name string, year string")
+    files = empty
+    for root in found:
+        files = files.unionByName(read_files(spark, root, suffixes))
+    names = files.select("path").distinct()  # a file list, without contents
+    return files.join(names.withColumn("seq", F.row_number().over(Window.orderBy("path"))), "path")
+
+
+def with_asset(files: DataFrame) -> DataFrame:
+    """Files with asset, the path of the first PDF beside a docx; a PDF is its own, other files have none."""
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    rows = files.withColumn("\u0001dir", folder)
+    first = rows.where(F.lower("path").endswith(".pdf")).groupBy("\u0001dir").agg(F.min("path").alias("\u0001pdf"))
+    asset = F.when(F.lower("path").endswith(".pdf"), F.col("path")).when(F.lower("path").endswith(".docx"), F.col("\u0001pdf"))
+    return rows.join(first, "\u0001dir", "left").withColumn("asset", asset).drop("\u0001dir", "\u0001pdf")
+
+
+def is_semantic_pdf(path: Column) -> Column:
+    """Whether a PDF is to be read for text: none in folders of pictures, explanations alone in those of extracts."""
+    parts = F.split(path, "/")
+    name, parent = F.element_at(parts, -1), F.coalesce(F.get(parts, F.size(parts) - 2), F.lit(""))
+    folder = F.regexp_replace(path, r"/?[^/]*$", "")
+    pictures = F.endswith(parent, F.lit(PICTURE_FOLDERS[0])) | F.endswith(parent, F.lit(PICTURE_FOLDERS[1]))
+    telling = tx.any_of(name, SEMANTIC_WORDS) & ~(F.startswith(name, F.lit(PICTURE_FILES[0])) | F.startswith(name, F.lit(PICTURE_FILES[1])))
+    return ~pictures & F.when(tx.any_of(folder, EXPLAINED_FOLDERS), telling).otherwise(F.lit(True))
+
+
+def is_explanation_pdf(path: Column) -> Column:
+    return tx.any_of(F.element_at(F.split(path, "/"), -1), EXPLANATION_WORDS)
+
+
+def content_kind(url: Column, content_type: Column) -> Column:
+    """pdf, docx or html, by the end of an address or the declared type."""
+    u, kind = F.lower(F.coalesce(url, F.lit(""))), F.coalesce(content_type, F.lit(""))
+    return F.when(F.endswith(u, F.lit(".pdf")) | F.contains(kind, F.lit("pdf")), "pdf").when(F.endswith(u, F.lit(".docx")) | F.contains(kind, F.lit("word")) | F.contains(kind, F.lit("officedocument")), "docx").otherwise("html")
+
+
+def harvested(pages: DataFrame, extract: Mapping[str, Callable[[bytes], str]] | None = None) -> DataFrame:
+    """url, kind and text of fetched pages (url, content_type, content): HTML by Column expressions, docx and what `extract` names by functions; others are empty."""
+    extract = {"docx": docx_text, **(extract or {})}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)
+            texts = [extract[kind](c) if kind in extract and c else "" for kind, c in rows]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["url", "kind", "text"])
+
+    rows = pages.select("url", content_kind(F.col("url"), F.col("content_type")).alias("kind"), "content")
+    web = rows.where("kind = 'html'").select("url", "kind", tx.html_text(F.decode("content", "UTF-8")).alias("text"))
+    return web.unionByName(rows.where("kind <> 'html'").mapInArrow(run, "url string, kind string, text string"))
+
+
+def read_tasks(spark: SparkSession, path: str, schema: T.StructType, theme: str | None = None, tier: str | None = None, limit: int | None = None) -> DataFrame:
+    """Tasks of a theme and a tier (field _meta.tier), the first `limit` by task_id; without a filter, all."""
+    rows = read_jsonl(spark, path, schema)
+    rows = rows if theme is None else rows.where(F.col("theme") == theme)
+    rows = rows if tier is None else rows.where(F.col("_meta.tier") == tier)
+    return rows if limit is None else rows.orderBy("task_id").limit(limit)
+
+
 def extracted(files: DataFrame, sidecars: DataFrame, cache: DataFrame, extract: Callable[[bytes], str] | None = None) -> DataFrame:
     """path and text: a sidecar text wins over the cache, that over the extractor (docx by default; others pluggable)."""
     extract = extract or docx_text
