@@ -20,6 +20,8 @@ K1, B, RRF_K, DEPTH = 1.2, 0.75, 60, 20
 POOL = 30
 #: Request vectors that one pass compares with; more are taken in several passes.
 VECTOR_BLOCK = 4096
+#: Pairs of request and term that are broadcast (some 50 bytes each); beyond, they are joined by a shuffle.
+BROADCAST_TERMS = 200_000
 
 
 def top_k(scored: DataFrame, k: int, by: Column | str = "score") -> DataFrame:
@@ -37,19 +39,22 @@ def postings(items: DataFrame, terms: Column) -> DataFrame:
 def bm25_scores(items: DataFrame, requests: DataFrame, terms, digits: int = 6) -> DataFrame:
     """request, item and BM25 score of all items that share a term with a request; items: item, text; requests: request, text.
 
-    Terms that no request has go before postings are counted, so that only those of
-    requested terms are shuffled.
+    Terms that no request has go first; the others are dealt by item, once. That order
+    serves the counts of postings and, as long as the requests' terms are few enough to be
+    broadcast, the sums of scores; beyond, postings and terms are joined by a shuffle.
     """
     lengths = items.select("item", terms(F.col("text")).alias("terms"))
     stats = lengths.agg(F.count("*").alias("items"), F.avg(F.size("terms")).alias("mean"))
     asked = requests.select("request", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
     words = lengths.select("item", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    spread = words.groupBy("term", "item").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    spread = words.repartition("item").groupBy("item", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     found = spread.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    weighted = spread.join(found, "term").crossJoin(F.broadcast(stats)).select("term", "item", (idf * weight).alias("weight"))  # stats is one row
-    return asked.join(weighted, "term").groupBy("request", "item").agg(F.round(F.sum("weight"), digits).alias("score"))
+    rarity = asked.join(found, "term").crossJoin(F.broadcast(stats)).select("request", "term", idf.alias("idf"), "mean")  # stats is one row
+    if asked.count() <= BROADCAST_TERMS:
+        rarity = F.broadcast(rarity)
+    return spread.join(rarity, "term").select("request", "item", (F.col("idf") * weight).alias("weight")).groupBy("request", "item").agg(F.round(F.sum("weight"), digits).alias("score"))
 
 
 def bm25(items: DataFrame, requests: DataFrame, terms, k: int = DEPTH, digits: int = 6) -> DataFrame:
