@@ -11,7 +11,6 @@ from __future__ import annotations
 import heapq
 import json
 import re
-from array import array
 from itertools import chain
 
 import numpy as np
@@ -54,12 +53,13 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_at = regex.compile("(" + "|".join(regex.escape(x) for x in self.special) + ")") if self.special else None
         symbols = byte_symbols()
-        self.first = [vocab[s] for s in symbols]
-        self.last = [vocab[s + end] for s in symbols]
-        self.merges = {}
-        for rank, (a, b) in enumerate(m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"]):
-            self.merges[vocab[a] << _SHIFT | vocab[b]] = (rank, vocab[a + b])
-        self.pair_of = {rank: (pair, new) for pair, (rank, new) in self.merges.items()}
+        self.first = np.array([vocab[s] for s in symbols], np.int64)
+        self.last = np.array([vocab[s + end] for s in symbols], np.int64)
+        #: Of each rank: the pair's two symbols and the one they make.
+        self.merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in (m if isinstance(m, list) else m.split(" ", 1) for m in model["merges"])]
+        self.ranks = {a << _SHIFT | b: rank for rank, (a, b, _) in enumerate(self.merges)}
+        self.pairs = np.array(sorted(self.ranks), np.int64)
+        self.pair_ranks = np.array([self.ranks[x] for x in self.pairs.tolist()], np.int64)
         self.tokens = _tokens(spec)
         del spec, model, vocab
         self.known: dict[str, bytes] = {}
@@ -84,53 +84,70 @@ class WordBpe:
         for word in words & self.special.keys():
             self.known[word] = np.int32(self.special[word]).tobytes()
         new = [w for w in words if w not in self.known]
-        sym: list[int] = []
-        starts = []
-        for word in new:
-            raw = word.encode()
-            starts.append(len(sym))
-            sym += [self.first[b] for b in raw[:-1]]
-            sym += [self.last[raw[-1]], -1]
-        starts.append(len(sym))
+        if not new:
+            return
+        raw = np.frombuffer(("\n".join(new) + "\n").encode(), np.uint8)  # no word has a line feed
+        ends = np.flatnonzero(raw == 10)
+        flat = self.first[raw]
+        flat[ends - 1] = self.last[raw[ends - 1]]
+        flat[ends] = -1
+        where = self.index(flat)
+        active = sorted(where)
+        sym = flat.tolist()
         after = list(range(1, len(sym) + 1))
-        before = list(range(-1, len(sym) - 1))
-        merges, where = self.merges, {}
-        for p in range(len(sym) - 1):
-            pair = sym[p] << _SHIFT | sym[p + 1]
-            if sym[p] >= 0 and sym[p + 1] >= 0 and pair in merges:
-                where.setdefault(pair, []).append(p)
-        active = [merges[pair][0] for pair in where]
-        heapq.heapify(active)
+        before = list(range(-1, len(sym) - 1))  # the first symbol has the last separator before it
+        merges, ranks, pop, push = self.merges, self.ranks.get, heapq.heappop, heapq.heappush
         while active:
-            rank = heapq.heappop(active)
-            pair, made = self.pair_of[rank]
-            places = where.pop(pair, None)
+            rank = pop(active)
+            places = where.pop(rank, None)
             if places is None:
                 continue
-            a, b = pair >> _SHIFT, pair & ((1 << _SHIFT) - 1)
+            a, b, made = merges[rank]
             places.sort()
             for i, p in enumerate(places):
                 q = after[p]
                 if sym[p] != a or sym[q] != b:
                     continue  # an earlier merge took one of the two
-                n = after[q]
+                o, n = before[p], after[q]
                 sym[p], sym[q] = made, -2
                 after[p], before[n] = n, p
+                x, y = sym[o], sym[n]
                 lower = False
-                for at, x, y in ((before[p], sym[before[p]] if before[p] >= 0 else -1, made), (p, made, sym[n])):
-                    if x >= 0 and y >= 0 and (got := merges.get(key := x << _SHIFT | y)):
-                        if key in where:
-                            where[key].append(at)
-                        else:
-                            where[key] = [at]
-                            heapq.heappush(active, got[0])
-                        lower |= got[0] < rank
+                if x >= 0 and (got := ranks(x << _SHIFT | made)) is not None:
+                    if got in where:
+                        where[got].append(o)
+                    else:
+                        where[got] = [o]
+                        push(active, got)
+                    lower = got < rank
+                if y >= 0 and (got := ranks(made << _SHIFT | y)) is not None:
+                    if got in where:
+                        where[got].append(p)
+                    else:
+                        where[got] = [p]
+                        push(active, got)
+                    lower |= got < rank
                 if lower and i + 1 < len(places):  # a rank below this one comes first
-                    where.setdefault(pair, []).extend(places[i + 1 :])
-                    heapq.heappush(active, rank)
+                    where.setdefault(rank, []).extend(places[i + 1 :])
+                    push(active, rank)
                     break
-        for word, s, e in zip(new, starts, starts[1:], strict=False):
-            self.known[word] = array("i", [x for x in sym[s : e - 1] if x >= 0]).tobytes()
+        done = np.array(sym, np.int32)
+        left = done >= 0
+        ids = done[left].tobytes()
+        bounds = (4 * np.cumsum(left)[ends]).tolist()
+        self.known.update(zip(new, (ids[s:e] for s, e in zip([0, *bounds], bounds, strict=False)), strict=True))
+
+    def index(self, flat: np.ndarray) -> dict[int, list[int]]:
+        """All positions of each pair of neighbours that has a rank, by rank; -1 parts words."""
+        pair = flat[:-1] << _SHIFT | flat[1:]  # negative beside a separator
+        slot = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        at = np.flatnonzero(self.pairs[slot] == pair)
+        rank = self.pair_ranks[slot[at]]
+        order = np.argsort(rank, kind="stable")
+        at, rank = at[order].tolist(), rank[order]
+        starts = np.flatnonzero(np.diff(rank, prepend=-1))
+        bounds = [*starts.tolist(), len(at)]
+        return {r: at[s:e] for r, s, e in zip(rank[starts].tolist(), bounds, bounds[1:], strict=False)}
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, and how many each has."""
