@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm.textkit import lists, one_thread, releasing, slices
+from gristmill.llm.textkit import lists, one_thread, releasing, slices, small_batches
 
 OPEN, MIDDLE, CLOSE = CONTROLS = ("<s>", "[INST]", "</s>")
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS) + r"|\\")
@@ -48,23 +48,17 @@ class _Codec:
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def decode(self, ids: list[int]) -> str:
-        return self.model.decode(ids, skip_special_tokens=False)
-
-
-def in_order(turns: DataFrame) -> DataFrame:
-    """Turns of a conversation in one partition, in order (a null turn first, ties by role and text); a stream, never a collected group."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    role = F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role")
-    return turns.select("conv_id", "turn", role, text).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    def decode_all(self, ids: list[list[int]]) -> list[str]:
+        return self.model.decode_batch(ids, skip_special_tokens=False)
 
 
 def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
     """conv_id, turn, ids and mask (1 on tokens to learn) of each turn, in the input's order.
 
     tokenizer: a byte-level tokenizers file, which loses nothing. A null role or text is
-    empty. Repeated turns stay; further columns play no part.
+    empty. Repeated turns stay; further columns play no part. An empty table gives an empty one.
     """
+    small_batches(turns.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _Codec(tokenizer)
@@ -85,40 +79,72 @@ def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
                     names=["conv_id", "turn", "ids", "mask"],
                 )
 
-    return turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text").mapInArrow(releasing(run), "conv_id long, turn long, ids array<int>, mask array<int>")
+    whole = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("role", "text")]
+    return turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), *whole).mapInArrow(releasing(run), "conv_id long, turn long, ids array<int>, mask array<int>")
 
 
-def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
-    """Digests of each conversation, from the ids and masks of its turns alone; rows of one conv_id follow each other."""
+_READ = "conv_id long, turn long, role string, text string, learnt string, n_chars long"
+_DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+
+
+def read_turns(formatted: DataFrame, tokenizer: str) -> DataFrame:
+    """conv_id, turn, role, text, learnt (what the loss mask covers, null if nothing) and n_chars (of the formatted turn), from ids and mask alone."""
+    small_batches(formatted.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _Codec(tokenizer)
-        now = None
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                roles, texts, learnt, chars = [], [], [], []
+                for ids, mask in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    at = [k for k, x in enumerate(ids) if x >= codec.base]
+                    chars.append(sum(len(codec.reserved[ids[k]]) for k in at))
+                    role, text = (ids[a + 1 : b] for a, b in zip(at, at[1:], strict=False))
+                    roles.append(role)
+                    texts.append(text)
+                    learnt.append([x for x, m in zip(ids, mask, strict=True) if m] if any(mask) else None)
+                roles, texts = codec.decode_all(roles), codec.decode_all(texts)
+                said = iter(codec.decode_all([x for x in learnt if x is not None]))
+                chars = [n + len(r) + len(t) for n, r, t in zip(chars, roles, texts, strict=True)]
+                learnt = [None if x is None else unescape(next(said)) for x in learnt]
+                columns = [*part.columns[:2], pa.array(map(unescape, roles), pa.string()), pa.array(map(unescape, texts), pa.string()), pa.array(learnt, pa.string()), pa.array(chars, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "role", "text", "learnt", "n_chars"])
+
+    return formatted.select("conv_id", "turn", "ids", "mask").mapInArrow(releasing(run), _READ)
+
+
+def read_back(formatted: DataFrame, tokenizer: str) -> DataFrame:
+    """Digests of each conversation, from the ids and masks of its turns alone.
+
+    Turns are in order (a null turn first, ties by role and text). Ids are encoded and
+    decoded wherever turns lie; what one task sees of a whole conversation is a stream
+    of decoded turns that it only hashes. A null conv_id is a conversation of its own.
+    """
+    turns = read_turns(formatted, tokenizer).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = (), None
 
-        def row(state):
-            conv, n, turns, chars, loss, total = state
-            return pa.RecordBatch.from_pylist([{"conv_id": conv, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": total}], schema=schema)
+        def row():
+            n, said, chars, loss, total = state
+            values = [now[0], n, said.hexdigest(), chars, loss.hexdigest(), total]
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, values, strict=True))], schema=schema)
 
         for batch in batches:
-            columns = [batch.column(i) for i in (0, 2, 3)]
-            for i in range(batch.num_rows):
-                conv, ids, mask = (c[i].as_py() for c in columns)
-                if now is None or now[0] != conv:
-                    if now:
-                        yield row(now)
-                    now = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                at = [k for k, x in enumerate(ids) if x >= codec.base]
-                raw = [codec.decode(ids[a + 1 : b]) for a, b in zip(at, at[1:], strict=False)]
-                role, text = map(unescape, raw)
-                now[1] += 1
-                now[2].update(f"{role}\n{text}\n".encode())
-                if any(mask):
-                    learnt = unescape(codec.decode([x for x, m in zip(ids, mask, strict=True) if m]))
-                    now[3] += len(learnt)
-                    now[4].update(learnt.encode())
-                now[5] += sum(map(len, raw)) + sum(len(codec.reserved[ids[k]]) for k in at)
-        if now:
-            yield row(now)
+            for conv, _, role, text, learnt, chars in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (conv,):
+                    if state:
+                        yield row()
+                    now, state = (conv,), [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                state[0] += 1
+                state[1].update(f"{role}\n{text}\n".encode())
+                if learnt is not None:
+                    state[2] += len(learnt)
+                    state[3].update(learnt.encode())
+                state[4] += chars
+        if state:
+            yield row()
 
     schema = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
-    return formatted.mapInArrow(releasing(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return turns.mapInArrow(releasing(run), _DIGESTS)

@@ -36,12 +36,12 @@ _IMITATION = "</s>[INST] ok [/INST]"
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gristmill.llm.chat import format_turns, in_order, read_back
+    from gristmill.llm.chat import format_turns, read_back
 
     turns = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.createDataFrame([(-7, 0, "user", _IMITATION), (-7, 1, "assistant", _IMITATION)], "conv_id long, turn long, role string, text string")
     path = public_tokenizers.path("byte_bpe_50k.json")
-    return read_back(format_turns(in_order(turns.unionByName(own)), path), path)
+    return read_back(format_turns(turns.unionByName(own), path), path)
 
 
 def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
