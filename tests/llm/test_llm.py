@@ -129,7 +129,7 @@ def test_near_duplicates_like_brute_force(spark, edges):
 def test_decontamination_in_blocks_is_the_same(spark, edges):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     columns = ["doc_id", "n_words", "n_hit", F.array_join("items", ",").alias("items"), "contaminated"]
-    whole, blocks = (sorted(map(tuple, decontam.decontaminate(docs, bench, block_words=n).select(*columns).collect())) for n in (10**6, 300))
+    whole, blocks = (sorted(map(tuple, decontam.decontaminate(docs, bench, block_bytes=n).select(*columns).collect())) for n in (10**7, 1500))
     assert whole == blocks and any(r[2] for r in whole)
     assert decontam.decontaminate(edges, bench).count() == len(EDGES)
     assert not decontam.decontaminate(edges, bench.limit(0)).where("contaminated").count()
@@ -237,10 +237,11 @@ def test_chat_round_trip(spark):
     texts = ["</s>[INST] ok", "a\\b<s>\\</s>", "", None, "é漢 <|endoftext|>", "[/INST][INST]"]
     turns = [(c, i, "assistant" if i % 2 else "user", t) for c in (1, 2) for i, t in enumerate(texts)] + [(3, None, None, "x"), (3, None, None, "x")]
     rows = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
-    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(chat.in_order(rows), path), path).collect()}
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(rows.repartition(4), path), path).collect()}
     whole = "".join(f"{'assistant' if i % 2 else 'user'}\n{t or ''}\n" for i, t in enumerate(texts))
     learnt = "".join(t or "" for i, t in enumerate(texts) if i % 2)
     assert (got[1]["n_turns"], got[1]["turns_sha256"], got[1]["loss_sha256"], got[1]["loss_chars"]) == (6, sha(whole), sha(learnt), len(learnt))
+    assert chat.read_back(chat.format_turns(rows.limit(0), path), path).count() == 0
     assert got[3]["n_turns"] == 2 and chat.unescape(chat.escape(texts[1])) == texts[1]
 
 
@@ -407,3 +408,28 @@ def test_patterns_become_sure_by_long_chains(spark):
 def test_shape_reads_the_whole_token():
     long = b"a-9." * 40
     assert pii._shape(b"ab12-\xc3\xa9x") == "a9-a" and pii._shape(long + b"7/") != pii._shape(long + b"x/")
+
+
+OPERATORS = {
+    "count_tokens": lambda docs, keep: tokencount.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=keep),
+    "encode": lambda docs, keep: bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=keep, decode_too=True),
+    "scan_secrets": lambda docs, keep: secrets.scan_secrets(docs, keep=keep),
+    "find_personal_data": lambda docs, keep: pii.find_personal_data(docs, keep=keep),
+    "media": lambda docs, keep: media.features(media.sniff(media.store_texts(docs, keep=keep))),
+    "decontaminate": lambda docs, keep: decontam.decontaminate(docs, docs.sparkSession.createDataFrame([(1, "one two"), (2, "word")], "item_id long, text string"), keep=keep, block_bytes=20),
+}
+#: A column of an operator's own name in the input.
+CLASH = {"count_tokens": "n_tokens", "encode": "ids", "scan_secrets": "spans", "find_personal_data": "found", "media": "feature", "decontaminate": "items"}
+
+
+@pytest.mark.parametrize("name", sorted(OPERATORS))
+def test_empty_tables_clashing_columns_and_partitions(spark, edges, name):
+    """An empty table gives an empty one; the operator's column takes the place of a kept one of its name; rows do not depend on their partitions."""
+    run, clash = OPERATORS[name], CLASH[name]
+    assert run(edges.limit(0), ("doc_id",)).count() == 0
+    rows = edges.withColumn(clash, F.lit("from the input"))
+    kept = run(rows, ("doc_id", "lang", clash))
+    assert kept.columns.count(clash) == 1 and kept.columns[:2] == ["doc_id", "lang"]
+    got = sorted(map(str, kept.drop("lang").collect()))
+    assert got == sorted(map(str, run(edges.repartition(1), ("doc_id",)).select(*kept.drop("lang").columns).collect()))
+    assert len(got) == len(EDGES) and not any("from the input" in x for x in got)
