@@ -14,10 +14,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm.bpe import byte_symbols
 from gristmill.llm.textkit import lists, one_thread, releasing, slices, small_batches
+from gristmill.llm.tokencount import BATCH_BYTES, KEPT_BYTES, batches, pieces, splits_at_spaces
 
 OPEN, MIDDLE, CLOSE = CONTROLS = ("<s>", "[INST]", "</s>")
 _CONTROL = re.compile("|".join(re.escape(c) for c in CONTROLS) + r"|\\")
@@ -34,6 +37,8 @@ def unescape(text: str) -> str:
 
 
 class _Codec:
+    """Ids of texts and texts of ids; ids of pieces between white space are kept, as most occur again."""
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -44,12 +49,35 @@ class _Codec:
         self.model.encode_special_tokens = True  # their strings in a text are ordinary text
         self.base = self.model.get_vocab_size(with_added_tokens=True)
         self.reserved = {self.base + i: c for i, c in enumerate(CONTROLS)}
+        self.cut = pieces if splits_at_spaces(path) else lambda text: [text]
+        self.kept: dict[str, bytes] = {}
+        self.bytes = 0
+        byte_of = {symbol: b for b, symbol in enumerate(byte_symbols())}
+        tokens = [self.model.id_to_token(i) or "" for i in range(self.base)]
+        plain = [bytes(map(byte_of.__getitem__, t)) if byte_of.keys() >= set(t) else t.encode() for t in tokens]
+        self.tokens = [*plain, *(c.encode() for c in CONTROLS)]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes each."""
+        if self.bytes > KEPT_BYTES:
+            self.kept, self.bytes = {}, 0
+        parts = [self.cut(x) if x else [] for x in texts]
+        for batch in batches(list(set().union(*parts) - self.kept.keys()), BATCH_BYTES):
+            for piece, got in zip(batch, self.model.encode_batch_fast(batch, add_special_tokens=False), strict=True):
+                ids = self.kept[piece] = np.array(got.ids, np.int32).tobytes()
+                self.bytes += len(piece) + len(ids) + 150
+        return [b"".join(map(self.kept.__getitem__, x)) for x in parts]
+
+
+_codecs: dict[str, _Codec] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def decode_all(self, ids: list[list[int]]) -> list[str]:
-        return self.model.decode_batch(ids, skip_special_tokens=False)
+def _codec(path: str) -> _Codec:
+    """One for each worker process, which later tasks use again."""
+    if path not in _codecs:
+        _codecs.clear()
+        _codecs[path] = _Codec(path)
+    return _codecs[path]
 
 
 def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
@@ -61,21 +89,21 @@ def format_turns(turns: DataFrame, tokenizer: str) -> DataFrame:
     small_batches(turns.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codec(tokenizer)
-        open_, middle, close = codec.reserved
+        codec = _codec(tokenizer)
+        open_, middle, close = (np.int32(x).tobytes() for x in codec.reserved)
         for batch in batches:
             for part in slices(batch, 3, 1 << 18):
                 roles, texts = part.column(2).to_pylist(), part.column(3).to_pylist()
                 role_ids, text_ids = codec.encode([escape(x) for x in roles]), codec.encode([escape(x) for x in texts])
-                ids = [[open_, *r, middle, *t, close] for r, t in zip(role_ids, text_ids, strict=True)]
-                size = np.array([len(x) for x in ids])
+                ids = [open_ + r + middle + t + close for r, t in zip(role_ids, text_ids, strict=True)]
+                size = np.array([len(x) // 4 for x in ids])
                 step = np.zeros(int(size.sum()) + 1, np.int8)
                 ends = np.cumsum(size) - 1
                 learn = np.array([r == "assistant" for r in roles], np.int8)
-                np.add.at(step, ends - [len(t) for t in text_ids], learn)
+                np.add.at(step, ends - [len(t) // 4 for t in text_ids], learn)
                 np.add.at(step, ends, -learn)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), lists(np.concatenate([np.array(x, np.int32) for x in ids]), size, pa.int32()), lists(np.cumsum(step[:-1]).astype(np.int32), size, pa.int32())],
+                    [part.column(0), part.column(1), lists(np.frombuffer(b"".join(ids), np.int32), size, pa.int32()), lists(np.cumsum(step[:-1]).astype(np.int32), size, pa.int32())],
                     names=["conv_id", "turn", "ids", "mask"],
                 )
 
@@ -92,22 +120,21 @@ def read_turns(formatted: DataFrame, tokenizer: str) -> DataFrame:
     small_batches(formatted.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _Codec(tokenizer)
+        codec = _codec(tokenizer)
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                roles, texts, learnt, chars = [], [], [], []
-                for ids, mask in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    at = [k for k, x in enumerate(ids) if x >= codec.base]
-                    chars.append(sum(len(codec.reserved[ids[k]]) for k in at))
-                    role, text = (ids[a + 1 : b] for a, b in zip(at, at[1:], strict=False))
-                    roles.append(role)
-                    texts.append(text)
-                    learnt.append([x for x, m in zip(ids, mask, strict=True) if m] if any(mask) else None)
-                roles, texts = codec.decode_all(roles), codec.decode_all(texts)
-                said = iter(codec.decode_all([x for x in learnt if x is not None]))
-                chars = [n + len(r) + len(t) for n, r, t in zip(chars, roles, texts, strict=True)]
-                learnt = [None if x is None else unescape(next(said)) for x in learnt]
+                flat, mask = (part.column(i).flatten().to_numpy() for i in (2, 3))
+                ends = np.cumsum(pc.list_value_length(part.column(2)).to_numpy())
+                raw = list(map(codec.tokens.__getitem__, flat.tolist()))
+                control = np.flatnonzero(flat >= codec.base).reshape(-1, 3).tolist()  # three in each turn
+                roles = [b"".join(raw[a + 1 : b]).decode() for a, b, _ in control]
+                texts = [b"".join(raw[b + 1 : c]).decode() for _, b, c in control]
+                marks = [sum(len(raw[k]) for k in at) for at in control]
+                learnt, under = [], np.flatnonzero(mask)
+                for places in np.split(under, np.searchsorted(under, ends[:-1])):
+                    learnt.append(unescape(b"".join(raw[k] for k in places.tolist()).decode()) if len(places) else None)
+                chars = [n + len(r) + len(t) for n, r, t in zip(marks, roles, texts, strict=True)]
                 columns = [*part.columns[:2], pa.array(map(unescape, roles), pa.string()), pa.array(map(unescape, texts), pa.string()), pa.array(learnt, pa.string()), pa.array(chars, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["conv_id", "turn", "role", "text", "learnt", "n_chars"])
 
