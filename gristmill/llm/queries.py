@@ -102,13 +102,40 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_toxicity, op4_chat_format, op5_quality, op6_secrets, op7_ngram_jaccard, op8_personal_data, op9_media, op10_decontamination, pipeline)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.simhash import as_hex, near_duplicates
+
+    return near_duplicates(read_table(spark, sf_dir, "documents")).withColumn("fingerprint", as_hex(F.col("fingerprint")))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.merkle import fold, manifest, row_hash, siblings
+
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    tampered = row_hash([F.col(c) for c in ("doc_id", "source", "lang", "n_chars")] + [F.translate("text", upper, upper.lower())])
+    chosen = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, tampered)
+    done = manifest(read_table(spark, sf_dir, "documents"), also={"tampered": chosen})
+    done = done.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("steps")), 256).alias("proof_sha256"), fold(F.coalesce("tampered", "leaf"), F.col("steps")).alias("folded_root"))
+    return done.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_toxicity, op4_chat_format, op5_quality, op6_secrets, op7_ngram_jaccard, op8_personal_data, op9_media, op10_decontamination, op11_simhash, op13_merkle, pipeline)}
 
 _WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _WORDS10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
 _ESCAPED = r"replace(replace(replace(replace(coalesce({0}, ''), '\', '\\'), '<s>', '<\s>'), '[INST]', '[\INST]'), '</s>', '<\/s>')"
 
+#: crc32 of an ASCII text, by bits.
+_CRC32 = "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}) + 1), lambda i: ascii(({0})[i])::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT for x in range(8)]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
 ORACLE_SQL = {
     "op4_chat_format": rf"""
 WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -145,4 +172,25 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS nam
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN marked USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op13_merkle": f"""
+WITH RECURSIVE leaves AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '-') AS t, leaf, now, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY lang) AS n
+  FROM (SELECT *, {_leaf('text')} AS leaf, CASE WHEN {_CRC32.format('doc_id::VARCHAR')} % 3 = 0 THEN {_leaf(f"translate(text, {_UPPER})")} END AS now FROM documents)
+  WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf)),
+lv AS (SELECT 0 AS lev, t, p, n, leaf AS h, '' AS pre FROM leaves
+  UNION ALL SELECT lev + 1, t, p // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY p)), string_agg(h, '' ORDER BY p) FROM lv WHERE n > 1 GROUP BY lev, t, p // 8, n),
+sub AS MATERIALIZED (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS p, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv AS (SELECT 0 AS lev, p, n, h, '' AS pre FROM sub
+  UNION ALL SELECT lev + 1, p // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY p)), string_agg(h, '' ORDER BY p) FROM tv WHERE n > 1 GROUP BY lev, p // 8, n),
+steps AS MATERIALIZED (
+  SELECT l.t, l.p, lev AS o, pre, (l.p // CAST(power(8, lev - 1) AS BIGINT)) % 8 AS slot FROM leaves l JOIN lv ON lv.t = l.t AND lev > 0 AND lv.p = l.p // CAST(power(8, lev) AS BIGINT)
+  UNION ALL SELECT l.t, l.p, 100 + lev, pre, (sub.p // CAST(power(8, lev - 1) AS BIGINT)) % 8 FROM leaves l JOIN sub ON sub.t = l.t JOIN tv ON lev > 0 AND tv.p = sub.p // CAST(power(8, lev) AS BIGINT)),
+numbered AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY t, p ORDER BY o) AS i FROM steps),
+proof AS (SELECT t, p, string_agg(left(pre, CAST(slot AS INT) * 64) || substr(pre, CAST(slot AS INT) * 64 + 65), '' ORDER BY o) AS s FROM steps GROUP BY t, p),
+folded AS (SELECT t, p, 0::BIGINT AS i, coalesce(now, leaf) AS h FROM leaves
+  UNION ALL SELECT f.t, f.p, s.i, sha256(left(pre, CAST(slot AS INT) * 64) || f.h || substr(pre, CAST(slot AS INT) * 64 + 65)) FROM folded f JOIN numbered s ON s.t = f.t AND s.p = f.p AND s.i = f.i + 1),
+ends AS (SELECT t, p, arg_max(h, i) AS h FROM folded GROUP BY t, p),
+root AS (SELECT h AS root FROM tv WHERE n = 1)
+SELECT l.doc_id, l.leaf, sub.h AS subroot, root, sha256(coalesce(proof.s, '')) AS proof_sha256, ends.h AS folded_root, ends.h = root AS verified
+FROM leaves l JOIN sub ON sub.t = l.t JOIN ends ON ends.t = l.t AND ends.p = l.p LEFT JOIN proof ON proof.t = l.t AND proof.p = l.p, root""",
 }
