@@ -108,6 +108,13 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents")).withColumn("fingerprint", as_hex(F.col("fingerprint")))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gristmill.llm.repair import damage, repair_report
+
+    conversations = read_table(spark, sf_dir, "conversations")
+    return repair_report(damage(conversations), conversations)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gristmill.llm.merkle import fold, manifest, row_hash, siblings
 
@@ -119,7 +126,7 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_toxicity, op4_chat_format, op5_quality, op6_secrets, op7_ngram_jaccard, op8_personal_data, op9_media, op10_decontamination, op11_simhash, op13_merkle, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_toxicity, op4_chat_format, op5_quality, op6_secrets, op7_ngram_jaccard, op8_personal_data, op9_media, op10_decontamination, op11_simhash, op12_conversation_repair, op13_merkle, pipeline)}
 
 _WORDS7 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')"
 _WORDS10 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -136,6 +143,21 @@ def _leaf(text: str) -> str:
     return f"sha256({' || '.join(parts)})"
 
 
+def _choice(state: str) -> str:
+    """The cheapest repair of the rest of a conversation in a state (nothing, s, u, a retained last): costs in nine digits, then the audit, so that the smallest text is it."""
+    add = lambda to, cost, letters: f"lpad(CAST(CAST(left({to}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || {letters} || substr({to}, 10)"
+    found = [add(state, 2, "'D'")]
+    for role in "sua":
+        inserted = 0 if role == "s" else int((state == "u") == (role == "u"))
+        if role == "s" and state != "o":
+            continue
+        fits = f"NOT gone AND c = '{role}'" if role == "s" else "NOT gone"
+        own = f"CASE WHEN c = '{role}' THEN 0 ELSE 1 END"
+        letter = f"'{'I' * inserted}' || CASE WHEN c = '{role}' THEN 'K' ELSE 'R' END"
+        found.append(f"CASE WHEN {fits} THEN {add(role, f'{5 * inserted} + e + {own}', letter)} ELSE '9' END")
+    return f"least({', '.join(found)})"
+
+
 ORACLE_SQL = {
     "op4_chat_format": rf"""
 WITH turns AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
@@ -172,6 +194,33 @@ its AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS nam
 SELECT dw.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM dw LEFT JOIN marked USING (doc_id) LEFT JOIN its USING (doc_id)""",
+    "op12_conversation_repair": rf"""
+WITH RECURSIVE keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+drawn AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format('k')} % 20 AS kind FROM keyed),
+harmed AS MATERIALIZED (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM drawn)),
+placed AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, left(role, 1) AS c,
+    right(rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS z
+  FROM harmed WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text))),
+rows AS MATERIALIZED (SELECT *, CASE WHEN z = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN z NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS f, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS b FROM placed),
+best AS (
+  SELECT conv_id, n AS i, '000000000' AS o, '000000010II' AS s, '000000005I' AS u, '000000000' AS a FROM rows WHERE i = 0
+  UNION ALL
+  SELECT conv_id, i, {_choice('o')}, {_choice('s')}, {_choice('u')}, {_choice('a')}
+  FROM (SELECT r.conv_id, r.i, r.f IN ('blank', 'duplicate') AS gone, CASE r.f WHEN 'truncated' THEN 5 ELSE 0 END AS e, r.c, best.o, best.s, best.u, best.a FROM best JOIN rows r ON r.conv_id IS NOT DISTINCT FROM best.conv_id AND r.i = best.i - 1)),
+audits AS MATERIALIZED (SELECT conv_id, CAST(left(o, 9) AS BIGINT) AS cost, substr(o, 10) AS audit FROM best WHERE i = 0),
+letters AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM audits),
+steps AS (SELECT conv_id, j, substr(audit, j, 1) AS l, length(replace(left(audit, j - 1), 'I', '')) AS i, length(replace(left(audit, j), 'D', '')) AS k, length(replace(audit, 'D', '')) AS m FROM letters),
+lines AS (
+  SELECT s.conv_id, j, CASE WHEN l = 'K' THEN role WHEN (k - m % 2) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE l WHEN 'I' THEN '' ELSE text END AS line
+  FROM steps s LEFT JOIN rows r ON l <> 'I' AND r.conv_id IS NOT DISTINCT FROM s.conv_id AND r.i = s.i WHERE l <> 'D'),
+told AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY j) AS said FROM lines GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (f = 'blank') AS blank, count(*) FILTER (f = 'duplicate') AS duplicate, count(*) FILTER (f = 'truncated') AS truncated,
+    count(*) FILTER (b IS NOT NULL AND b || c NOT IN ('su', 'ua', 'au')) AS illegal FROM rows GROUP BY conv_id)
+SELECT d.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) d LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN audits ON audits.conv_id IS NOT DISTINCT FROM d.conv_id LEFT JOIN told ON told.conv_id IS NOT DISTINCT FROM d.conv_id""",
     "op13_merkle": f"""
 WITH RECURSIVE leaves AS MATERIALIZED (
   SELECT doc_id, coalesce('=' || lang, '-') AS t, leaf, now, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY lang) AS n
