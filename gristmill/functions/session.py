@@ -14,3 +14,9 @@ def checkpoints(spark: SparkSession) -> None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "checkpoints"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the one that the session names, else (tests) its own of this machine."""
+    checkpoints(spark)
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

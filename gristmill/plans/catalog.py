@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions import jsontext, layout, planning
 from gristmill.functions import text as tx
-from gristmill.operators import chunks, curation, evaluation, evidence, retrieval, tasks
+from gristmill.operators import chunks, curation, evaluation, evidence, index, retrieval, tasks
 from gristmill.plans import strategies
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,9 +53,15 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
 
 
+def _bm25(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
+    """BM25 over the stored index of documents, which the first query of a state of the table writes."""
+    stored = index.kept(_items(spark, sf_dir), f"{sf_dir}/documents.parquet", {"text": tx.tokens(F.col("text"))})
+    return index.search(stored, requests, tx.tokens)
+
+
 @query(f"WITH {_BM25} SELECT request, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS rank FROM bm) WHERE rank <= 20")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.bm25(_items(spark, sf_dir), _requests(spark, sf_dir), tx.tokens).select("request", "item", "score", "rank")
+    return _bm25(spark, sf_dir, _requests(spark, sf_dir))
 
 
 _KNN = """SELECT q.vec_id AS request, e.vec_id AS item, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 4) AS score, q.label AS ql, e.label AS el
@@ -99,7 +105,7 @@ SELECT request, item, score, best_rank, n_routes, rank FROM (SELECT *, row_numbe
 
 @query(_FUSED)
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    routes = retrieval.bm25(_items(spark, sf_dir), _requests(spark, sf_dir), tx.tokens).select("request", "item", "rank", F.lit(0).alias("route"))
+    routes = _bm25(spark, sf_dir, _requests(spark, sf_dir)).select("request", "item", "rank", F.lit(0).alias("route"))
     routes = routes.unionByName(_tag_route(spark, sf_dir).select("request", "item", "rank", F.lit(1).alias("route")))
     return retrieval.fuse(routes, 10).select("request", "item", "score", "best_rank", "n_routes", "rank")
 
@@ -136,7 +142,7 @@ def rerank_fused_over_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     half = F.ceil(F.size(words) / 2).cast("int")
     parts = F.array(words, F.slice(words, F.lit(1), half), F.slice(words, half + 1, F.size(words)))
     queries = _requests(spark, sf_dir).select("request", F.posexplode(parts).alias("n", "asked")).where(F.size("asked") > 0)
-    by_query = retrieval.bm25(_items(spark, sf_dir), queries.select(F.struct("request", "n").alias("request"), F.array_join("asked", " ").alias("text")), tx.tokens)
+    by_query = _bm25(spark, sf_dir, queries.select(F.struct("request", "n").alias("request"), F.array_join("asked", " ").alias("text")))
     routes = by_query.select("request.request", F.col("request.n").alias("route"), "rank", "item").unionByName(_tag_route(spark, sf_dir).select("request", F.lit(3).alias("route"), "rank", "item"))
     score = F.round(F.size(F.array_intersect("terms", "asked")) / F.size(F.array_distinct("asked")), 6)
     texts = _items(spark, sf_dir).select("item", words.alias("terms"))
