@@ -18,7 +18,8 @@ scores, looked up in the blocks, give a score that the k-th best reaches at leas
 Terms whose bounds together stay below it cannot lift an item to the top by themselves;
 only the other terms' blocks are opened, and of these not the ones that stay below with
 all that the other terms can add. (3) What can still reach the score is looked up in the
-blocks of the remaining terms. The result is that of scoring everything.
+blocks of the remaining terms, first for the items that lead so far, which raises that score. The
+result is that of scoring everything.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ from gristmill.sources import versions
 #: Items in a block, about, and folders of postings.
 BLOCK, BUCKETS = 128, 16
 #: Postings of a request's rarest terms that the first step takes, for each of the k.
-SEEDS = 8
+SEEDS = 128
+#: Pairs of requests and items that are all scored, as finding out which ones to leave costs more.
+PLAIN_PAIRS = 20_000_000
 #: Segments, beyond which a merge makes one of all.
 SEGMENTS = 8
 
@@ -180,12 +183,15 @@ def build(items: DataFrame, path: str, fields: Mapping[str, Column], about: Mapp
     return Index(spark, path)
 
 
-def kept(items: DataFrame, source: str, fields: Mapping[str, Column]) -> Index:
-    """The index of items read from the files at `source`, in the shared folder; built where there is none of their present size, number and time."""
+def kept(items: DataFrame, source: str, fields: Mapping[str, Column], name: str) -> Index:
+    """The index of items read from the files at `source`, in the shared folder; built where there is none of their present size, number and time.
+
+    name: tells apart indexes of one source by other fields.
+    """
     spark = items.sparkSession
     place, fs = versions.place(spark, source)
     there = fs.getContentSummary(place)
-    state = (source, there.getLength(), there.getFileCount(), fs.getFileStatus(place).getModificationTime(), sorted(fields), BLOCK, BUCKETS)
+    state = (name, source, there.getLength(), there.getFileCount(), fs.getFileStatus(place).getModificationTime(), sorted(fields), BLOCK, BUCKETS)
     path = f"{shared_folder(spark)}/indexes/{hashlib.sha256(repr(state).encode()).hexdigest()[:24]}"
     return Index(spark, path) if versions.latest(spark, path) else build(items, path, fields, {"source": source})
 
@@ -274,51 +280,70 @@ class _Reader:
         return self.index.live(met.select("request", "item", "segment", part.alias("part"))).select("request", "item", "part")
 
 
-def _plan(index: Index, requests: DataFrame, terms, field: str, k: int, digits: int, norms: bool) -> tuple[DataFrame, int, _Reader]:
-    """The requests' terms with least (a score that the k-th best reaches), essential, all bounds and those of the other terms; how many; the blocks."""
+def _asked(index: Index, requests: DataFrame, terms, field: str, norms: bool) -> tuple[DataFrame, int, int, _Reader]:
+    """The rated terms, how many they are, the pairs of requests and items that they make, and the blocks."""
     checkpoints(index.spark)
     rated = _rated(index, requests, terms, field, norms).checkpoint()
-    n = rated.count()
-    reader = _Reader(index, field, rated, n, norms)
+    n, n_pairs = rated.agg(F.count("*"), F.coalesce(F.sum("df"), F.lit(0))).first()
+    return rated, n, n_pairs, _Reader(index, field, rated, n, norms)
+
+
+def _plan(rated: DataFrame, n: int, reader: _Reader, k: int, digits: int) -> DataFrame:
+    """The rated terms with least (a score that the k-th best reaches), essential, the bounds of all the request's terms (most) and of those that are not essential (rest, n_others)."""
     rare = Window.partitionBy("request").orderBy("df", "term")
     before = F.coalesce(F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     seeds = rated.withColumn("_before", before).where(F.col("_before") < SEEDS * k).select("request", "term", "idf")
     found = reader.opened(seeds).groupBy("request", "item").agg(F.sum("part").alias("score"), F.first("length").alias("length"))
     some = top_k(found, k).select("request", "item", "length").join(rated.select("request", "term", "idf"), "request")
     whole = reader.looked_up(some, n * k).groupBy("request", "item").agg(F.sum("part").alias("score"))
-    kth = whole.groupBy("request").agg(F.count("*").alias("_n"), F.min("score").alias("_min")).select("request", F.when(F.col("_n") >= k, F.col("_min") - 1.01 * 10.0**-digits).alias("least"))
-    least = rated.join(kth, "request", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
+    least = rated.join(_kth(whole, k, digits), "request", "left").withColumn("least", F.coalesce("least", F.lit(0.0)))
     weak = Window.partitionBy("request").orderBy("bound", "term")
     ranked = least.withColumn("essential", F.sum("bound").over(weak) >= F.col("least"))
     each = Window.partitionBy("request")
     rest = F.coalesce(F.sum(F.when(~F.col("essential"), F.col("bound"))).over(each), F.lit(0.0))
-    return ranked.withColumns({"most": F.sum("bound").over(each), "rest": rest}).checkpoint(), n, reader
+    n_others = F.sum(F.when(~F.col("essential"), 1).otherwise(0)).over(each)
+    return ranked.withColumns({"most": F.sum("bound").over(each), "rest": rest, "n_others": n_others}).checkpoint()
+
+
+def _kth(whole: DataFrame, k: int, digits: int) -> DataFrame:
+    """request and least: a score that the k-th best item reaches, less than which rounding may still lift to it; k items' whole scores are known."""
+    return whole.groupBy("request").agg(F.count("*").alias("_n"), F.min("score").alias("_min")).select("request", F.when(F.col("_n") >= k, F.col("_min") - 1.01 * 10.0**-digits).alias("least"))
 
 
 def search(index: Index, requests: DataFrame, terms: Callable[[Column], Column], field: str = "text", k: int = DEPTH, digits: int = 6, norms: bool = True) -> DataFrame:
     """request, item, score, rank: what `retrieval.bm25` gives for the items of the index. requests: request, text; each request once.
 
-    A request without a known term gets nothing. No text of an item is read.
+    A request without a known term gets nothing. No text of an item is read. Few pairs
+    (PLAIN_PAIRS) are all scored; beyond, pruning spares most of them. Both give the same.
     """
     if not index.segments:
         return requests.select("request", F.lit(None).cast("long").alias("item"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    plan, n, reader = _plan(index, requests, terms, field, k, digits, norms)
+    rated, n, n_pairs, reader = _asked(index, requests, terms, field, norms)
+    if n_pairs <= PLAIN_PAIRS:
+        scores = reader.opened(rated.select("request", "term", "idf")).groupBy("request", "item").agg(F.round(F.sum("part"), digits).alias("score"))
+        return top_k(scores, k).select("request", "item", "score", "rank")
+    plan = _plan(rated, n, reader, k, digits)
     essential = plan.where("essential").select("request", "term", "idf", "bound", F.col("most").alias("_most"), F.col("least").alias("_least"))
     block = F.col("idf") * _weight(F.col("max_tf"), F.col("min_length"), reader.mean, norms)
     opened = reader.opened(essential, block + F.col("_most") - F.col("bound") >= F.col("_least"))
     found = opened.groupBy("request", "item").agg(F.sum("part").alias("part"), F.first("length").alias("length"))
     limits = plan.select("request", "least", "rest").distinct()
-    hopeful = found.join(_few(limits, n), "request").where(F.col("part") + F.col("rest") >= F.col("least")).select("request", "item", "part", "length").checkpoint()
     others = plan.where(~F.col("essential")).select("request", "term", "idf")
-    wanted = hopeful.join(_few(others, n), "request").select("request", "item", "length", "term", "idf")
-    more = reader.looked_up(wanted, wanted.count())
+    found = found.join(_few(limits, n), "request").where(F.col("part") + F.col("rest") >= F.col("least")).select("request", "item", "part", "length", "rest").checkpoint()
+    # the whole scores of those that lead so far raise what the others must reach
+    leading = top_k(found, k, "part").select("request", "item", "part", "length")
+    asked = lambda rows: rows.join(_few(others, n), "request").select("request", "item", "length", "term", "idf")
+    whole = leading.select("request", "item", "part").unionByName(reader.looked_up(asked(leading), n * k)).groupBy("request", "item").agg(F.sum("part").alias("score"))
+    hopeful = found.join(_kth(whole, k, digits), "request", "left").where(F.col("least").isNull() | (F.col("part") + F.col("rest") >= F.col("least"))).select("request", "item", "part", "length").checkpoint()
+    more = reader.looked_up(asked(hopeful), hopeful.count() * plan.agg(F.max("n_others")).first()[0] if n else 0)
     scores = hopeful.select("request", "item", "part").unionByName(more).groupBy("request", "item").agg(F.round(F.sum("part"), digits).alias("score"))
     return top_k(scores, k).select("request", "item", "score", "rank")
 
 
 def pairs(index: Index, requests: DataFrame, terms: Callable[[Column], Column], field: str = "text", k: int = DEPTH, digits: int = 6) -> DataFrame:
     """request, all_pairs (of the request and items that share a term, once for each), opened_pairs (those in blocks that `search` opens)."""
-    plan, _, reader = _plan(index, requests, terms, field, k, digits, True)
+    rated, n, _, reader = _asked(index, requests, terms, field, True)
+    plan = _plan(rated, n, reader, k, digits)
     block = F.col("idf") * _weight(F.col("max_tf"), F.col("min_length"), reader.mean, True)
     blocks = reader.blocks.join(plan, "term").groupBy("request").agg(F.sum(F.size("items")).alias("all_pairs"), F.sum(F.when(F.col("essential") & (block + F.col("most") - F.col("bound") >= F.col("least")), F.size("items")).otherwise(0)).alias("opened_pairs"))
     return blocks.select("request", "all_pairs", "opened_pairs")

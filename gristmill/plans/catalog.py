@@ -55,7 +55,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _bm25(spark: SparkSession, sf_dir: str, requests: DataFrame) -> DataFrame:
     """BM25 over the stored index of documents, which the first query of a state of the table writes."""
-    stored = index.kept(_items(spark, sf_dir), f"{sf_dir}/documents.parquet", {"text": tx.tokens(F.col("text"))})
+    stored = index.kept(_items(spark, sf_dir), f"{sf_dir}/documents.parquet", {"text": tx.tokens(F.col("text"))}, "tokens")
     return index.search(stored, requests, tx.tokens)
 
 

@@ -9,6 +9,12 @@ from gristmill.functions import text as tx
 from gristmill.operators import index, retrieval
 
 
+@pytest.fixture(autouse=True)
+def pruned(monkeypatch):
+    monkeypatch.setattr(index, "PLAIN_PAIRS", -1)
+    monkeypatch.setattr(index, "SEEDS", 4)
+
+
 def corpus(n, seed=1):
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
@@ -37,8 +43,9 @@ def listed(df):
     return sorted((r["request"], r["rank"], r["item"], r["score"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("k", [1, 7, 20, 3000])
-def test_search_equals_scoring_everything(spark, items, requests, stored, k):
+@pytest.mark.parametrize("k,plain", [(1, -1), (20, -1), (3000, -1), (7, 10**9)])
+def test_search_equals_scoring_everything(spark, items, requests, stored, monkeypatch, k, plain):
+    monkeypatch.setattr(index, "PLAIN_PAIRS", plain)
     assert listed(index.search(stored, requests, tx.tokens, k=k)) == listed(retrieval.bm25(items, requests, tx.tokens, k).select("request", "item", "score", "rank"))
 
 
