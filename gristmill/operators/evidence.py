@@ -56,6 +56,15 @@ def route(passed: Column, reason: Column, retries: Column, budget: Column, cases
     )
 
 
+def decided(passed: bool, reason: str | None, retries: int, budget: int, cases: bool) -> str:
+    """`route` for one draft, where its state is not a column (streams)."""
+    if passed or retries > MAX_RETRIES or reason not in ("evidence_insufficient", "hallucination"):
+        return "training_agent"
+    if reason == "hallucination":
+        return "authoring_subgraph"
+    return "evidence_subgraph" if budget > 0 and cases else "training_agent"
+
+
 def retry_reason(kinds: Column) -> Column:
     """The gravest kind of issue in an array."""
     out = F.lit("")
