@@ -5,17 +5,31 @@ All splitting happens within a row, by Column expressions: no line of a text is
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.functions import layout, tagging
 from gristmill.functions import text as tx
-from gristmill.functions.cleaning import starts_with_unit, stripped
-from gristmill.operators.chunks import is_garbled, requirement_type
-
-# What begins an article, words of kinds, and accidents by the first word that occurs.
-STRICT = r"^\s*((?:\d+\.)+\d+)\s+(.+)$"
-LOOSE = r"^\s*((?:\d+\.){2,}\d+)[\s。．、]*(.+)$"
+from gristmill.functions.cleaning import UNITS, stripped
+from gristmill.functions.session import checkpoints
+from gristmill.functions.text import any_of
+from gristmill.operators.chunks import Rules, body, is_garbled, kept, requirement_type
+from gristmill.operators.curation import first_of_each, rename_collisions
+
+# Units, words of kinds, versions, the standard whose stubs give way, and accidents by the first word that occurs.
+_UNIT = UNITS.removeprefix("^")
+SCHEMA_VERSION, PIPELINE_VERSION = "norm_v1", "norm_chunker_v2"
+STUB_CODE, REPEATABLE = "JGJ-T46-2024", ("table", "figure", "formula")
+STUB_VERBS = ("应", "不得", "必须", "严禁", "宜", "不应")
+FROZEN = ("JGJ-202-2010",)
+#: What begins an article: a number on its own or before its title, which may be on a later line.
+#: Numbers keep all their digits, and only line feeds end lines.
+STRICT = r"(?mdU)^\s*((?:\d++\.)+\d++)\s+(.+)$"
+STRICT_TITLE = rf"(?mdU)^\s*((?:\d++\.)+\d++)\s+(?!\s*{_UNIT})(.+)$"
+LOOSE_TITLE = rf"(?mdU)^\s*((?:\d++\.){{2,}}\d++)[\s。．、]*(?![\s。．、]*{_UNIT})(.+)$"
+_MARK = "\u0001"
 TERM, FORMULA, FIGURE, TABLE = "术语", "公式", "图", "表"
 ACCIDENTS = (
     ("坍塌", "坍塌"),
@@ -35,31 +49,17 @@ MOST_TITLE, MOST_PART = 80, 1200
 def articles(text: Column) -> Column:
     """article_id, title and body of each article of a text, in order; none gives an empty array.
 
-    An article begins with a line of its number, white space and words. Where no line
-    does, numbers of three levels or more count without the white space. Numbers before
-    a unit measure something and begin none. Text before the first article belongs to none.
+    An article begins where a line begins with its number, then white space and words; the
+    number may stand alone, its title is then the next line that is not blank. Where
+    nothing is like that, numbers of three levels or more count without the white space.
+    Numbers before a unit measure something and begin none. Text before the first article
+    belongs to none. The text is matched in whole passes, so work grows with its length.
     """
-    lines = F.split(F.coalesce(text, F.lit("")), r"\n")
-    strict = F.exists(lines, lambda x: x.rlike(STRICT))
-
-    def begins(line: Column) -> Column:
-        found = F.when(strict, line.rlike(STRICT)).otherwise(line.rlike(LOOSE))
-        words = F.when(strict, F.regexp_extract(line, STRICT, 2)).otherwise(F.regexp_extract(line, LOOSE, 2))
-        return found & ~starts_with_unit(words)
-
-    marked = F.transform(lines, lambda x: F.struct(x.alias("line"), begins(x).alias("first")))
-    part = "array<struct<head:string,lines:array<string>>>"
-
-    def add(done: Column, x: Column) -> Column:
-        last = F.element_at(done, -1)
-        more = F.struct(last["head"].alias("head"), F.concat(last["lines"], F.array(x["line"])).alias("lines"))
-        new = F.struct(x["line"].alias("head"), F.array(x["line"]).alias("lines"))
-        longer = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(more))
-        return F.when(x["first"], F.concat(done, F.array(new))).when(F.size(done) == 0, done).otherwise(longer).cast(part)
-
-    parts = F.aggregate(marked, F.array().cast(part), add)
-    pattern = lambda h, i: F.when(strict, F.regexp_extract(h, STRICT, i)).otherwise(F.regexp_extract(h, LOOSE, i))
-    return F.transform(parts, lambda p: F.struct(pattern(p["head"], 1).alias("article_id"), stripped(pattern(p["head"], 2)).substr(1, MOST_TITLE).alias("title"), stripped(F.array_join(p["lines"], "\n")).alias("body")))
+    whole = F.replace(F.coalesce(text, F.lit("")), F.lit(_MARK), F.lit(""))
+    strict = whole.rlike(STRICT)
+    cut = lambda pattern: F.slice(F.split(F.regexp_replace(whole, pattern, f"{_MARK}$0"), _MARK), F.lit(2), F.length(whole) + 1)
+    found = lambda pattern: lambda x: F.struct(F.regexp_extract(x, pattern, 1).alias("article_id"), stripped(F.regexp_extract(x, pattern, 2)).substr(1, MOST_TITLE).alias("title"), stripped(x).alias("body"))
+    return F.when(strict, F.transform(cut(STRICT_TITLE), found(STRICT_TITLE))).otherwise(F.transform(cut(LOOSE_TITLE), found(LOOSE_TITLE)))
 
 
 def article_kind(chapter: Column, article_id: Column, text: Column) -> Column:
@@ -67,8 +67,9 @@ def article_kind(chapter: Column, article_id: Column, text: Column) -> Column:
 
 
 def explanation_kind(item: Column, title: Column, path: Column) -> Column:
-    """By item and title: formula before figure before table; then by the path; else a supplement."""
-    own, whole = F.concat_ws(" ", item, title), F.concat_ws(" ", item, title, path)
+    """By item and title: formula before figure before table; then by the file's and its folder's name too; else a supplement."""
+    near = F.array_join(F.slice(F.reverse(F.split(path, "/")), 1, 2), " ")
+    own, whole = F.concat_ws(" ", item, title), F.concat_ws(" ", item, title, near)
     out = F.when(F.lit(False), "")
     for where in (own, whole):
         for word, kind in ((FORMULA, "formula"), (FIGURE, "figure"), (TABLE, "table")):
@@ -87,59 +88,127 @@ def header_text(name: Column, chapter: Column, item: Column, body: Column) -> Co
     return F.concat_ws("\n", F.concat(F.lit("标准："), F.coalesce(name, F.lit(""))), F.concat(F.lit("章节："), F.coalesce(chapter, F.lit(""))), number, F.concat(F.lit("正文："), body))
 
 
-def _finished(rows: DataFrame, taxonomy: tagging.Taxonomy) -> DataFrame:
-    """Chunk columns of rows with standard_code, standard_name, chapter, kind, item_id, title, article_id, related_article_id and body."""
+#: From the standard's code, the article's number and a text to the text with the recognition errors of single standards put right.
+Repair = Callable[[Column, Column, Column], Column]
+CHUNK = (
+    "schema_version string, doc_type string, chunk_id string, chunk_kind string, standard_name string, standard_code string, year string, source_name string, source_path string, source string, chapter string, chapter_no string, chapter_title string, "
+    "article_id string, page_start int, page_end int, title string, text string, scenario_tags array<string>, hazard_tags array<string>, requirement_type string, asset_path string, related_article_id string, content_hash string, pipeline_version string"
+)
+_INFO = ("standard_code", "standard_name", "chapter", "chapter_no", "chapter_title", "source_path", "year", "asset_path")
+
+
+def _info(docs: DataFrame) -> DataFrame:
+    """docs with the columns that tell where a text is from; an absent year or asset is null."""
+    return docs.withColumns({c: F.lit(None).cast("string") for c in ("year", "asset_path") if c not in docs.columns})
+
+
+def _finished(rows: DataFrame, taxonomy: tagging.Taxonomy, repair: Repair | None) -> DataFrame:
+    """Chunks, and seq (their place in the file), of rows with the columns of _INFO, kind, item_id, title, article_id, related_article_id, body and seq."""
+    if repair:
+        rows = rows.withColumns({c: repair(F.col("standard_code"), F.col("article_id"), F.col(c)) for c in ("title", "body")})
     combined = F.concat_ws(" ", "standard_code", "chapter", "title", "body")
-    rows = rows.withColumn("text", header_text(F.col("standard_name"), F.col("chapter"), F.col("item_id"), F.col("body")))
+    filled = lambda c: F.nullif(F.col(c), F.lit(""))
+    number = F.coalesce(filled("article_id"), filled("title"), filled("item_id"))
+    rows = rows.withColumn("text", header_text(F.col("standard_name"), F.col("chapter"), number, tx.normalize(F.col("body"))))
     rows = rows.withColumn("scenarios", tagging.scenario_tags(combined, taxonomy, F.col("standard_code")))
     rows = rows.withColumn("hazards", tagging.hazard_tags(combined, F.col("scenarios"), taxonomy, F.col("standard_code")))
     tags = tagging.or_fallback(F.col("scenarios"), F.col("hazards"), taxonomy)
-    return rows.select(
-        F.concat_ws("::", F.lit("norm"), "standard_code", "kind", "item_id").alias("chunk_id"), "standard_code", "standard_name", "chapter", F.col("kind").alias("chunk_kind"), "title", "article_id", "related_article_id",
-        tags["scenarios"].alias("scenario_tags"), tags["hazards"].alias("hazard_tags"), requirement_type(F.col("kind"), F.col("chapter"), F.col("body")).alias("requirement_type"),
-        "text", F.sha2("text", 256).alias("content_hash"), "source_path",
-    )
+    item = tx.slug(F.coalesce(filled("item_id"), filled("title"), F.lit("chunk")))
+    made = {
+        "schema_version": F.lit(SCHEMA_VERSION), "doc_type": F.lit("norm"), "chunk_id": F.concat_ws("::", F.lit("norm"), "standard_code", "kind", item), "chunk_kind": F.col("kind"), "source_name": F.col("standard_name"), "source": F.col("standard_name"),
+        "chapter_no": filled("chapter_no"), "chapter_title": filled("chapter_title"), "article_id": filled("article_id"), "page_start": F.lit(None).cast("int"), "page_end": F.lit(None).cast("int"), "scenario_tags": tags["scenarios"], "hazard_tags": tags["hazards"],
+        "requirement_type": requirement_type(F.col("kind"), F.col("chapter"), F.col("body")), "content_hash": F.sha2(F.concat_ws("|", "text", F.coalesce("source_path", F.lit("")), F.lit(SCHEMA_VERSION)), 256), "pipeline_version": F.lit(PIPELINE_VERSION),
+    }
+    names = [c.split(" ")[0] for c in CHUNK.split(", ")]
+    # a generator of one row: filters above read its columns, else each would compute texts and tags anew
+    whole = F.struct(*[made.get(c, F.col(c)).alias(c) for c in names], "seq")
+    return rows.select(F.explode(F.array(whole)).alias("c")).select("c.*")
 
 
-def article_chunks(docs: DataFrame, taxonomy: tagging.Taxonomy | None = None) -> DataFrame:
-    """Chunks of texts: one for each article, or each part of a long one, which -part-N names.
+def _stem() -> Column:
+    return F.regexp_extract("source_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
 
-    docs: standard_code, standard_name, chapter, chapter_no, chapter_title, source_path,
-    text. A text without articles is one chapter. Blank texts and garbled articles give
-    none; repeated rows give repeated chunks.
-    """
-    text = tx.normalize(F.col("text"))
-    title = F.coalesce(F.nullif(F.col("chapter_title"), F.lit("")), F.regexp_extract("source_path", r"([^/]*?)(?:\.[^./]*)?$", 1))
+
+def _article_rows(docs: DataFrame, taxonomy: tagging.Taxonomy | None, repair: Repair | None) -> DataFrame:
+    text = tx.normalize(tx.join_numbers(F.col("text")))
+    title = F.coalesce(F.nullif(F.col("chapter_title"), F.lit("")), _stem())
     number = F.coalesce(F.nullif(F.col("chapter_no"), F.lit("")), F.lit("x"))
-    rows = docs.withColumn("whole", text).where("whole <> ''").withColumn("found", articles(F.col("whole")))
+    rows = _info(docs).withColumn("whole", text).where("whole <> ''").withColumn("found", articles(F.col("whole")))
     chapter = F.array(F.struct(F.concat_ws("-", F.lit("ch"), number, title).alias("article_id"), title.alias("title"), F.col("whole").alias("body")))
-    rows = rows.select("*", F.explode(F.when(F.size("found") > 0, F.col("found")).otherwise(chapter)).alias("a")).where(~is_garbled(F.col("a.body")))
+    rows = rows.select(*_INFO, F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(chapter)).alias("nth", "a")).where(~is_garbled(F.col("a.body")))
     rows = rows.withColumn("parts", tx.packed_paragraphs(F.col("a.body"), MOST_PART))
-    rows = rows.select("*", F.posexplode("parts").alias("at", "body"))
+    rows = rows.select(*_INFO, "nth", "a", "parts", F.posexplode("parts").alias("at", "body"))
     item = F.when(F.size("parts") > 1, F.concat(F.col("a.article_id"), F.lit("-part-"), F.col("at") + 1)).otherwise(F.col("a.article_id"))
+    kind = article_kind(F.col("chapter"), F.col("a.article_id"), F.col("body"))
+    rows = rows.select(*_INFO, kind.alias("kind"), item.alias("item_id"), F.col("a.title").alias("title"), F.col("a.article_id").alias("article_id"), F.lit(None).cast("string").alias("related_article_id"), "body", F.struct("nth", "at").alias("seq"))
+    return _finished(rows, taxonomy or tagging.Taxonomy(), repair)
+
+
+def _explanation_rows(docs: DataFrame, taxonomy: tagging.Taxonomy | None, repair: Repair | None) -> DataFrame:
+    rows = _info(docs).withColumn("whole", tx.normalize(F.col("text"))).where("whole <> ''").withColumn("found", layout.explanations(F.col("whole")))
+    alone = F.array(F.struct(F.lit("").alias("item"), _stem().alias("title"), F.col("whole").alias("block")))
+    rows = rows.select(*_INFO, F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(alone)).alias("nth", "e"))
+    item = F.when(F.col("e.item") != "", F.col("e.item")).otherwise(F.concat(F.lit("item-"), F.col("nth") + 1))
     rows = rows.select(
-        "standard_code", "standard_name", "chapter", "source_path", article_kind(F.col("chapter"), F.col("a.article_id"), F.col("body")).alias("kind"), item.alias("item_id"), F.col("a.title").alias("title"),
-        F.col("a.article_id").alias("article_id"), F.lit(None).cast("string").alias("related_article_id"), "body",
+        *_INFO, explanation_kind(F.col("e.item"), F.col("e.title"), F.col("source_path")).alias("kind"), item.alias("item_id"), F.coalesce(F.nullif(F.col("e.title"), F.lit("")), item).alias("title"),
+        F.lit(None).cast("string").alias("article_id"), related_article(F.concat_ws(" ", "e.title", "e.block")).alias("related_article_id"), F.col("e.block").alias("body"), F.struct("nth", F.lit(0).alias("at")).alias("seq"),
     )
-    return _finished(rows, taxonomy or tagging.Taxonomy())
+    return _finished(rows, taxonomy or tagging.Taxonomy(), repair)
+
+
+def article_chunks(docs: DataFrame, taxonomy: tagging.Taxonomy | None = None, repair: Repair | None = None) -> DataFrame:
+    """Chunks (the columns of CHUNK) of texts: one for each article, or each part of a long one, which -part-N names.
 
+    docs: standard_code, standard_name, chapter, chapter_no, chapter_title, source_path,
+    text, and year and asset_path where there are any. Numbers that extraction broke are
+    mended first. A text without articles is one chapter. Blank texts and garbled articles
+    give none; repeated rows give repeated chunks. A part is indexed under its article's number.
+    """
+    return _article_rows(docs, taxonomy, repair).drop("seq")
 
-def explanation_chunks(docs: DataFrame, taxonomy: tagging.Taxonomy | None = None) -> DataFrame:
+
+def explanation_chunks(docs: DataFrame, taxonomy: tagging.Taxonomy | None = None, repair: Repair | None = None) -> DataFrame:
     """Chunks of explanations of tables, figures and formulas; docs as for article_chunks.
 
     A text without marked explanations is one, named by its file; one without a name of
-    its own is item-N, by its place.
+    its own is item-N, by its place, and indexed under its title.
     """
-    stem = F.regexp_extract("source_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
-    rows = docs.withColumn("whole", tx.normalize(F.col("text"))).where("whole <> ''").withColumn("found", layout.explanations(F.col("whole")))
-    alone = F.array(F.struct(F.lit("").alias("item"), stem.alias("title"), F.col("whole").alias("block")))
-    rows = rows.select("*", F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(alone)).alias("at", "e"))
-    item = F.when(F.col("e.item") != "", F.col("e.item")).otherwise(F.concat(F.lit("item-"), F.col("at") + 1))
-    rows = rows.select(
-        "standard_code", "standard_name", "chapter", "source_path", explanation_kind(F.col("e.item"), F.col("e.title"), F.col("source_path")).alias("kind"), item.alias("item_id"),
-        F.coalesce(F.nullif(F.col("e.title"), F.lit("")), item).alias("title"), F.lit(None).cast("string").alias("article_id"), related_article(F.concat_ws(" ", "e.title", "e.block")).alias("related_article_id"), F.col("e.block").alias("body"),
-    )
-    return _finished(rows, taxonomy or tagging.Taxonomy())
+    return _explanation_rows(docs, taxonomy, repair).drop("seq")
+
+
+def heading_stub() -> Column:
+    """Whether an article of STUB_CODE is hardly more than a heading: short, no demand, no sentence."""
+    whole = body(F.col("text"))
+    plain = F.when(F.startswith(whole, F.col("article_id")), stripped(F.substring(whole, F.length("article_id") + 1, F.length(whole)))).otherwise(whole)
+    short = (F.length(plain) <= 16) & ~any_of(plain, (*STUB_VERBS, "。", "："))
+    return (F.col("standard_code") == STUB_CODE) & ~F.col("chunk_kind").isin(*REPEATABLE) & (F.coalesce("article_id", F.lit("")) != "") & short
+
+
+def norm_chunks(
+    files: DataFrame, taxonomy: tagging.Taxonomy | None = None, rules: Rules | None = None, repair: Repair | None = None, previous: DataFrame | None = None, frozen: Sequence[str] = FROZEN
+) -> DataFrame:
+    """From texts of files to the chunks that are indexed: split, carried over, filtered, without stubs, each content once, ids unique.
+
+    files: what article_chunks reads, and explains (whether a file explains tables and
+    figures; null: no). previous: chunks of an earlier build; those of frozen standards
+    stay where no file gives any. Of equal contents (text, path and version) the first by path
+    and place stays; of equal ids too, but tables, figures and formulas get -dup-N.
+    """
+    explains = F.coalesce("explains", F.lit(False))
+    place = lambda rows: rows.withColumn("seq", F.struct(F.lit(0).alias("late"), F.coalesce("source_path", F.lit("")).alias("path"), F.col("seq.nth").alias("nth"), F.col("seq.at").alias("at"), F.col("chunk_id").alias("id")))
+    checkpoints(files.sparkSession)
+    # written once, as carrying over, stubs and duplicates all read it
+    raw = place(_article_rows(files.where(~explains), taxonomy, repair).unionByName(_explanation_rows(files.where(explains), taxonomy, repair))).checkpoint()
+    if previous is not None:
+        codes = raw.select("standard_code").distinct()
+        old = previous.where(F.col("standard_code").isin(*frozen)).join(codes, "standard_code", "left_anti")
+        raw = raw.unionByName(old.withColumn("seq", F.struct(F.lit(1).alias("late"), F.coalesce("source_path", F.lit("")).alias("path"), F.lit(0).alias("nth"), F.lit(0).alias("at"), F.col("chunk_id").alias("id"))).checkpoint())
+    filtered = kept(raw, rules).withColumn("_stub", heading_stub())
+    full = filtered.where((F.col("standard_code") == STUB_CODE) & ~F.col("_stub") & ~F.col("chunk_kind").isin(*REPEATABLE) & F.col("article_id").isNotNull()).select("chunk_id").distinct()
+    whole = filtered.where("not _stub").unionByName(filtered.where("_stub").join(full, "chunk_id", "left_anti")).drop("_stub")
+    once = first_of_each(whole, "content_hash", "seq")
+    named = rename_collisions(once, "chunk_id", "seq", F.col("chunk_kind").isin(*REPEATABLE))
+    return named.select(*[c.split(" ")[0] for c in CHUNK.split(", ")])
 
 
 def accident_type(title: Column, process: Column) -> Column:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
-from gristmill.operators import chunking, evaluation, evidence, retrieval, tasks
+from gristmill.functions.session import shared_folder
+from gristmill.operators import ann, chunking, evaluation, evidence, index, retrieval, tasks
+from gristmill.plans import benchmark
 from gristmill.plans.catalog import _TOK, _knn, _KNN, _requests, query, table
 
 _HEAD = "'标准：GB 1 2000' || chr(10) || '章节：03 通则' || chr(10) || '编号：' || n || chr(10) || '正文：'"
@@ -202,3 +205,43 @@ def between_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT 'missing' AS side, c_custkey FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL SELECT 'extra', o_custkey FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)""")
 def unmatched_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.unmatched(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), table(spark, sf_dir, "customer"), "c_custkey")
+
+
+def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ann.Lists]:
+    """Vectors, every hundredth of them as a request, and the stored lists of them all."""
+    rows = table(spark, sf_dir, "embeddings")
+    items = rows.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
+    lists = ann.build(items, f"{shared_folder(spark)}/lists/{uuid.uuid4().hex}")
+    return items, items.where("item % 100 = 0").withColumnRenamed("item", "request"), lists
+
+
+@query(f"SELECT request, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS rank FROM ({_KNN})) WHERE rank <= 20")
+def knn_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inverted lists, all of them probed: the exact answer."""
+    _, requests, lists = _lists(spark, sf_dir)
+    return ann.nearest(lists, requests, 20, probes=ann.LISTS, digits=4)
+
+
+@query("SELECT count(*) AS requests, TRUE AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
+def knn_lists_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether inverted lists, as they are probed by default, find nine tenths of what is nearest."""
+    items, requests, lists = _lists(spark, sf_dir)
+    exact = retrieval.nearest(items, requests, 20, digits=4)
+    found = ann.recall(ann.nearest(lists, requests, 20, digits=4), exact)
+    return found.agg(F.count("*").alias("requests"), (F.avg("recall") >= 0.9).alias("recall_reached"))
+
+
+@query(f"SELECT term, count(*) AS df, CAST(max(tf) AS INTEGER) AS max_tf, CAST(min(length) AS INTEGER) AS min_length FROM (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM (SELECT doc_id, {_TOK} AS t FROM documents)) GROUP BY ALL) GROUP BY term")
+def stored_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored index of documents says of its terms."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
+    stored = index.kept(items, f"{sf_dir}/documents.parquet", {"text": tx.tokens(F.col("text"))}, "tokens")
+    return stored.table("terms").select("term", "df", "max_tf", "min_length")
+
+
+@query("""SELECT l_returnflag AS variant, l_linestatus AS theme, CAST(l_linenumber AS INTEGER) AS tier, CAST(GROUPING(l_returnflag, l_linestatus, l_linenumber) AS BIGINT) AS level, count(*) AS n,
+  round(avg(CASE WHEN l_discount > 0.05 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS hit, round(avg(CAST(l_partkey % 10 AS DOUBLE)), 6) AS depth FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus, l_linenumber)""")
+def metrics_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means of two measures by variant, theme and tier in every combination; a line is a run."""
+    scores = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("variant"), F.col("l_linestatus").alias("theme"), F.col("l_linenumber").cast("int").alias("tier"), F.when(F.col("l_discount") > 0.05, 1.0).otherwise(0.0).alias("hit"), (F.col("l_partkey") % 10).cast("double").alias("depth"))
+    return benchmark.breakdown(scores, ["hit", "depth"])

@@ -1,3 +1,6 @@
+import hashlib
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +20,12 @@ def one(spark, value, column, kind="string"):
         ("1.1 甲\n2.5 mm 的导线\n1.2 乙", [("1.1", "甲", "1.1 甲\n2.5 mm 的导线"), ("1.2", "乙", "1.2 乙")]),
         ("1.0.1为了\n1.2也\n1.0.2。应当", [("1.0.1", "为了", "1.0.1为了\n1.2也"), ("1.0.2", "应当", "1.0.2。应当")]),
         ("1.0.1为了\n3.1 严格", [("3.1", "严格", "3.1 严格")]),  # one strict start ends the looser rule
+        ("3.1\n应当检查全部设备\n3.2 其他要求", [("3.1", "应当检查全部设备", "3.1\n应当检查全部设备"), ("3.2", "其他要求", "3.2 其他要求")]),  # a number alone
+        ("3.1\n\n 3.2 总则\n3.3 其他", [("3.1", "3.2 总则", "3.1\n\n 3.2 总则"), ("3.3", "其他", "3.3 其他")]),  # the next line is the title, whatever it is
+        ("3.1 甲\n2.55\nmm 线\n3.2 乙", [("3.1", "甲", "3.1 甲\n2.55\nmm 线"), ("3.2", "乙", "3.2 乙")]),
+        ("1.0.1为\n1.0.12mm线\n1.0.2、应", [("1.0.1", "为", "1.0.1为\n1.0.12mm线"), ("1.0.2", "应", "1.0.2、应")]),
+        ("1.1 a\u2028b\r\n1.2 c", [("1.1", "a\u2028b", "1.1 a\u2028b"), ("1.2", "c", "1.2 c")]),  # line feeds alone end lines
+        ("1.1 \u0001甲", [("1.1", "甲", "1.1 甲")]),
         ("没有条文", []),
         ("2.5 mm 导线", []),
         ("", []),
@@ -51,6 +60,68 @@ def test_article_chunks(spark):
     assert chunking.article_chunks(spark.createDataFrame([], DOC)).count() == 0
 
 
+CASES = [
+    # path, code, text, explains
+    ("GB-1/01_总则.pdf", "GB-1", "1. 0. 1 总则应当遵守\n1.0.\n2 要求必须满足全部条件", False),
+    ("GB-1/02_重复.pdf", "GB-1", "1.0.1 总则应当遵守", False),  # the same words in another file
+    ("GB-1/图表/说明.docx", "GB-1", "表格说明1：表3.1给出了安全网的规格和尺寸要求，见第4.2.1条。", True),
+    ("GB-1/图表/说明2.docx", "GB-1", "表格说明1：表3.1给出了安全网的其他规格和尺寸。", True),
+    ("JGJ-T46-2024/08_a.pdf", "JGJ-T46-2024", "8.1.4 架空线路的边线与在建工程之间应保持安全操作距离", False),
+    ("JGJ-T46-2024/07_b.pdf", "JGJ-T46-2024", "8.1.4 条的有关规定执行情况一览", False),  # a stub with the same number, in an earlier file
+    ("GB-2/x.pdf", "GB-2", "", False),
+]
+
+
+def files(spark, rows=CASES):
+    df = spark.createDataFrame([(p, c, c.replace("-", " "), "章", "", "", t, e, None, "2024") for p, c, t, e in rows], "source_path string, standard_code string, standard_name string, chapter string, chapter_no string, chapter_title string, text string, explains boolean, asset_path string, year string")
+    return df.repartition(3)
+
+
+def test_numbers_that_extraction_broke_and_what_is_indexed(spark):
+    got = {(r["source_path"], r["article_id"]): r for r in chunking.article_chunks(files(spark).where("not explains")).collect()}
+    assert got["GB-1/01_总则.pdf", "1.0.1"]["text"] == "标准：GB 1\n章节：章\n编号：1.0.1\n正文：1.0.1 总则应当遵守" and ("GB-1/01_总则.pdf", "1.0.2") in got
+    a, b = got["GB-1/01_总则.pdf", "1.0.1"], got["GB-1/02_重复.pdf", "1.0.1"]
+    assert a["text"] == b["text"] and a["content_hash"] != b["content_hash"]
+    assert a["content_hash"] == hashlib.sha256(f"{a['text']}|GB-1/01_总则.pdf|norm_v1".encode()).hexdigest()
+    assert (a["schema_version"], a["doc_type"], a["year"], a["chapter_no"], a["page_start"], a["pipeline_version"]) == ("norm_v1", "norm", "2024", None, None, "norm_chunker_v2")
+    assert ", ".join(f"{n} {t}" for n, t in chunking.article_chunks(files(spark)).dtypes) == chunking.CHUNK
+    parts = chunking.article_chunks(files(spark, [("p.pdf", "C", "3.2 多\n" + "\n".join("应当检查" * 50 for _ in range(9)), False)])).collect()
+    assert len(parts) > 1 and all("编号：3.2\n" in r["text"] and "-part-" in r["chunk_id"] for r in parts)
+    odd = chunking.explanation_chunks(files(spark, [("图集/说明 一.docx", "C", "一段没有标记的说明文字", True), ("深/图/下/说明.docx", "C", "一段没有标记的说明文字", True)])).collect()
+    assert sorted((r["chunk_kind"], r["chunk_id"], r["title"]) for r in odd) == [("figure", "norm::C::figure::item-1", "说明 一"), ("supplement", "norm::C::supplement::item-1", "说明")]
+    assert all("编号：" + r["title"] in r["text"] for r in odd)
+    fixed = chunking.article_chunks(files(spark, [("p.pdf", "C", "3.2 铟网应当检查", False)]), repair=lambda code, article, text: F.when((code == "C") & (article == "3.2"), F.replace(text, F.lit("铟"), F.lit("钢"))).otherwise(text)).first()
+    assert fixed["title"] == "钢网应当检查" and "正文：3.2 钢网" in fixed["text"]
+
+
+def test_norm_chunks_in_one_plan(spark):
+    old = chunking.article_chunks(files(spark, [("JGJ-202-2010/1.pdf", "JGJ-202-2010", "5.1.1 旧的条文应当保留下来", False), ("GB-9/1.pdf", "GB-9", "5.1.1 旧的条文应当保留下来", False)]))
+    done = chunking.norm_chunks(files(spark, CASES + CASES[:1]), previous=old)
+    got = sorted((r["chunk_id"], r["source_path"]) for r in done.collect())
+    assert got == [
+        ("norm::GB-1::article::1.0.1", "GB-1/01_总则.pdf"),
+        ("norm::GB-1::article::1.0.2", "GB-1/01_总则.pdf"),
+        ("norm::GB-1::table::表3.1", "GB-1/图表/说明.docx"),
+        ("norm::GB-1::table::表3.1-dup-2", "GB-1/图表/说明2.docx"),
+        ("norm::JGJ-202-2010::article::5.1.1", "JGJ-202-2010/1.pdf"),
+        ("norm::JGJ-T46-2024::article::8.1.4", "JGJ-T46-2024/08_a.pdf"),
+    ]
+    fresh = chunking.norm_chunks(files(spark, [("JGJ-202-2010/2.pdf", "JGJ-202-2010", "6.1.1 新的条文应当代替旧的", False)]), previous=old)
+    assert [r["article_id"] for r in fresh.collect()] == ["6.1.1"]
+    assert chunking.norm_chunks(files(spark, CASES[:1]).limit(0)).collect() == []
+
+
+def test_long_texts_are_split_in_linear_time(spark):
+    took = []
+    for n in (2000, 16000):
+        rows = files(spark, [("p.pdf", "C", "\n".join(f"{i}.{i}.1 应当检查第{i}项" if i % 3 == 0 else f"续行{i}" for i in range(1, n)), False)]).coalesce(1).cache()
+        rows.count()
+        began = time.time()
+        assert rows.select(F.size(chunking.articles(F.col("text")))).first()[0] == (n - 1) // 3
+        took.append(time.time() - began)
+    assert took[1] < 8 * max(took[0], 0.4)
+
+
 def test_explanation_chunks(spark):
     rows = [
         ("GB-1", "GB 1", "c", "", "", "GB-1/表.pdf", "前言 表格说明1：本表3.1给出了安全网的规格和尺寸，见第4.2.1条。其余从略。\n【图2.1】图中给出了各部分的名称以及全部的尺寸标注。"),
