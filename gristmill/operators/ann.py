@@ -152,6 +152,20 @@ def nearest(index: Lists, requests: DataFrame, k: int = DEPTH, num_candidates: i
     return top_k(found, k).select("request", "item", "score", "rank")
 
 
+def probes_for(index: Lists, k: int = DEPTH, target: float = 0.95, sample: int = 100, seed: int = 11) -> int:
+    """How many lists a request must probe so that `target` of the nearest k are found, measured on `sample` stored vectors against all lists; PROBES at least."""
+    checkpoints(index.spark)
+    some = index.rows.orderBy(F.xxhash64("item", F.lit(seed)), "item").limit(sample).select(F.col("item").alias("request"), "vector").dropDuplicates(["request"]).checkpoint()
+    exact = nearest(index, some, k, probes=max(1, len(index.centers))).select("request", "item")
+    rows = exact.join(index.rows.select("item", "list"), "item").join(some, "request").select("vector", "list").collect()  # sample times k
+    if not rows:
+        return PROBES
+    near = _unit(np.array([r["vector"] for r in rows], np.float64)) @ index.centers.T
+    own = near[np.arange(len(rows)), [r["list"] for r in rows]]
+    places = np.sort((near > own[:, None]).sum(axis=1))  # lists that are nearer than the one with the neighbour
+    return max(PROBES, int(places[int(np.ceil(target * len(places))) - 1]) + 1)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """request, and the share of the exact list's items that were found; both: request, item."""
     hit = exact.select("request", "item").join(found.select("request", "item", F.lit(1).alias("hit")), ["request", "item"], "left")

@@ -41,6 +41,7 @@ def test_all_lists_are_exact_and_few_have_recall(vectors, lists, monkeypatch):
     assert listed(ann.nearest(lists, asked, 10, probes=40)) == listed(exact.select("request", "item", "score", "rank"))
     found = ann.nearest(lists, asked, 10, num_candidates=50, probes=4)
     assert ann.recall(found, exact).agg(F.avg("recall")).first()[0] >= 0.9
+    assert 1 <= ann.probes_for(lists, 10, 0.5, sample=30) <= ann.probes_for(lists, 10, 1.0, sample=30) <= 40
     assert found.groupBy("request").count().agg(F.min("count"), F.count("*")).first()[:] == (10, 60)
 
 
