@@ -12,7 +12,7 @@ from gristmill.functions import text as tx
 from gristmill.functions.session import shared_folder
 from gristmill.operators import ann, chunking, evaluation, evidence, index, retrieval, tasks
 from gristmill.plans import benchmark
-from gristmill.plans.catalog import _TOK, _knn, _KNN, _requests, query, table
+from gristmill.plans.catalog import _TOK, _knn, _KNN, _requests, ORACLE_SQL, query, table
 
 _HEAD = "'标准：GB 1 2000' || chr(10) || '章节：03 通则' || chr(10) || '编号：' || n || chr(10) || '正文：'"
 
@@ -231,12 +231,22 @@ def knn_lists_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.agg(F.count("*").alias("requests"), (F.avg("recall") >= 0.9).alias("recall_reached"))
 
 
+def _stored(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The stored index of documents, which the first query of a state of the table writes."""
+    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
+    return index.kept(items, f"{sf_dir}/documents.parquet", {"text": tx.tokens(F.col("text"))}, "tokens")
+
+
 @query(f"SELECT term, count(*) AS df, CAST(max(tf) AS INTEGER) AS max_tf, CAST(min(length) AS INTEGER) AS min_length FROM (SELECT doc_id, term, count(*) AS tf, any_value(length) AS length FROM (SELECT doc_id, len(t) AS length, unnest(t) AS term FROM (SELECT doc_id, {_TOK} AS t FROM documents)) GROUP BY ALL) GROUP BY term")
 def stored_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stored index of documents says of its terms."""
-    items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), "text")
-    stored = index.kept(items, f"{sf_dir}/documents.parquet", {"text": tx.tokens(F.col("text"))}, "tokens")
-    return stored.table("terms").select("term", "df", "max_tf", "min_length")
+    return _stored(spark, sf_dir).table("terms").select("term", "df", "max_tf", "min_length")
+
+
+@query(ORACLE_SQL["bm25_topk"])
+def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What bm25_topk gives, from the stored index: no text of a document is read once it is there."""
+    return index.search(_stored(spark, sf_dir), _requests(spark, sf_dir), tx.tokens)
 
 
 @query("""SELECT l_returnflag AS variant, l_linestatus AS theme, CAST(l_linenumber AS INTEGER) AS tier, CAST(GROUPING(l_returnflag, l_linestatus, l_linenumber) AS BIGINT) AS level, count(*) AS n,
