@@ -36,25 +36,29 @@ def postings(items: DataFrame, terms: Column) -> DataFrame:
     return words.select("item", F.size("terms").alias("length"), F.explode("terms").alias("term")).groupBy("item", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
 
 
-def bm25_scores(items: DataFrame, requests: DataFrame, terms, digits: int = 6) -> DataFrame:
+def bm25_scores(items: DataFrame, requests: DataFrame, terms, digits: int = 6, within: str | None = None) -> DataFrame:
     """request, item and BM25 score of all items that share a term with a request; items: item, text; requests: request, text.
 
+    within: a column of both; a request meets only items with an equal value, while df and
+    lengths stay those of all items.
+
     Terms that no request has go first; the others are dealt by item, once. That order
     serves the counts of postings and, as long as the requests' terms are few enough to be
     broadcast, the sums of scores; beyond, postings and terms are joined by a shuffle.
     """
-    lengths = items.select("item", terms(F.col("text")).alias("terms"))
+    own = [within] if within else []
+    lengths = items.select("item", *own, terms(F.col("text")).alias("terms"))
     stats = lengths.agg(F.count("*").alias("items"), F.avg(F.size("terms")).alias("mean"))
-    asked = requests.select("request", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    words = lengths.select("item", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    spread = words.repartition("item").groupBy("item", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    asked = requests.select("request", *own, F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    words = lengths.select("item", *own, F.size("terms").alias("length"), F.explode("terms").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    spread = words.repartition("item").groupBy("item", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"), *[F.first(c).alias(c) for c in own])
     found = spread.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log1p((F.col("items") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    rarity = asked.join(found, "term").crossJoin(F.broadcast(stats)).select("request", "term", idf.alias("idf"), "mean")  # stats is one row
+    rarity = asked.join(found, "term").crossJoin(F.broadcast(stats)).select("request", *own, "term", idf.alias("idf"), "mean")  # stats is one row
     if asked.count() <= BROADCAST_TERMS:
         rarity = F.broadcast(rarity)
-    return spread.join(rarity, "term").select("request", "item", (F.col("idf") * weight).alias("weight")).groupBy("request", "item").agg(F.round(F.sum("weight"), digits).alias("score"))
+    return spread.join(rarity, ["term", *own]).select("request", "item", (F.col("idf") * weight).alias("weight")).groupBy("request", "item").agg(F.round(F.sum("weight"), digits).alias("score"))
 
 
 def bm25(items: DataFrame, requests: DataFrame, terms, k: int = DEPTH, digits: int = 6) -> DataFrame:

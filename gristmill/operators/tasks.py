@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gristmill.functions.cleaning import clause, stripped
 from gristmill.functions.session import checkpoints
+from gristmill.operators import retrieval
 
 # Words of demands, lengths of clauses, codes and articles in free text.
 DEMANDS = "必须|严禁|禁止|不得|不应|应当|应|宜"
@@ -54,15 +55,13 @@ def verified_refs(texts: DataFrame, library: DataFrame, key: str = "id", text: s
     return texts.select(key).join(refs, key, "left").withColumn("refs", F.coalesce("refs", F.array().cast("array<string>")))
 
 
-def proxy_articles(requests: DataFrame, items: DataFrame, bm25: Callable[..., DataFrame], terms: Callable[[Column], Column], k: int = 2) -> DataFrame:
+def proxy_articles(requests: DataFrame, items: DataFrame, terms: Callable[[Column], Column], k: int = 2) -> DataFrame:
     """The k best articles within the code that a request names: request, item, score, rank.
 
     requests: request, code, text; items: item, code, text. The statistics are those of all
-    items; a term of a request meets the postings of its own code alone, as both are part
-    of the term.
+    items: df of a term counts it in every code, as a filter leaves them alone.
     """
-    own = lambda rows, name: rows.select(name, F.array_join(F.transform(terms(F.col("text")), lambda t: F.concat(F.coalesce("code", F.lit("")), F.lit("\u0001"), t)), "\u0002").alias("text"))
-    return bm25(own(items, "item"), own(requests, "request"), lambda c: F.filter(F.split(c, "\u0002"), lambda t: t != ""), k)
+    return retrieval.top_k(retrieval.bm25_scores(items, requests, terms, within="code"), k)
 
 
 def running_ids(rows: DataFrame, group: str, order: str, out: str = "nth", parts: int = 64) -> DataFrame:

@@ -74,14 +74,14 @@ def verified_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH d AS MATERIALIZED (SELECT doc_id AS item, source AS code, {_TOK} AS t FROM documents), st AS (SELECT count(*) AS items, avg(len(t)) AS mean FROM d),
 tf AS MATERIALIZED (SELECT item, code, term, count(*) AS tf, any_value(n) AS n FROM (SELECT item, code, len(t) AS n, unnest(t) AS term FROM d) GROUP BY item, code, term),
 q AS (SELECT DISTINCT request, code, unnest(t) AS term FROM (SELECT item_id AS request, 'src' || CAST(item_id % 20 AS VARCHAR) AS code, {_TOK} AS t FROM benchmark)),
-df AS (SELECT code, term, count(*) AS df FROM tf GROUP BY code, term),
-s AS (SELECT request, item, round(sum(ln(1 + (items - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean))), 6) AS score FROM q JOIN tf USING (code, term) JOIN df USING (code, term), st GROUP BY request, item)
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+s AS (SELECT request, item, round(sum(ln(1 + (items - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean))), 6) AS score FROM q JOIN tf USING (code, term) JOIN df USING (term), st GROUP BY request, item)
 SELECT request, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS rank FROM s) WHERE rank <= 2""")
 def proxy_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two best documents of the source that a request is about."""
     items = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item"), F.col("source").alias("code"), "text")
     requests = _requests(spark, sf_dir).withColumn("code", F.concat(F.lit("src"), F.col("request") % 20))
-    return tasks.proxy_articles(requests, items, retrieval.bm25, tx.tokens).select("request", "item", "score", "rank")
+    return tasks.proxy_articles(requests, items, tx.tokens).select("request", "item", "score", "rank")
 
 
 @query(f"""WITH r AS (SELECT item_id AS request, text FROM benchmark UNION ALL SELECT -1, 'en' UNION ALL SELECT -2, 'src3'),

@@ -195,6 +195,13 @@ def test_verified_refs(spark):
     assert got == {1: ["JGJ-80-2016:3.0.5", "JGJ-T46-2024:8.1.1"], 2: ["JGJ-T46-2024:8.1.1"], 3: [], 4: []}
 
 
+def test_proxy_articles_by_the_df_of_all_items(spark):
+    """In the code itself `beta` is as rare as `alpha`; over all items `alpha` is rarer, so it decides."""
+    items = spark.createDataFrame([(1, "A", "beta x"), (2, "A", "alpha x"), (3, "B", "beta"), (4, "B", "beta"), (5, "B", "beta y"), (6, None, "alpha")], "item long, code string, text string")
+    asked = spark.createDataFrame([(1, "A", "alpha beta"), (2, "B", "alpha"), (3, None, "alpha")], "request long, code string, text string")
+    assert [tuple(r)[:2] for r in tasks.proxy_articles(asked, items, lambda c: F.split(c, " ")).select("request", "item", "rank").orderBy("request", "rank").collect()] == [(1, 2), (1, 1)]
+
+
 def test_skipped_report(spark):
     rows = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", "no refs")], "id int, theme string, why string")
     got = {(r["what"], r["name"]): (r["n"], r["ids"]) for r in tasks.skipped_report(rows, F.col("why")).collect()}
