@@ -111,9 +111,9 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     classes = known.groupBy("fingerprint").agg(F.min("id").alias("first"))
     several = known.groupBy("id").agg(F.min("fingerprint").alias("x"), F.max("fingerprint").alias("z")).where("x < z").drop("z")
     same_id = known.join(several, "id").where("fingerprint > x").select("x", F.col("fingerprint").alias("y"))
-    # dealt out again, as many a partition of classes is small until it emits 65 rows for each
+    # dealt out again, not by the same key: a partition of classes is small until it emits 65 rows for each
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = connected_components(colliding_pairs(classes.select("fingerprint").repartition(parts, "fingerprint")).unionByName(same_id))
+    found = connected_components(colliding_pairs(classes.select("fingerprint").repartition(parts)).unionByName(same_id))
     placed = classes.join(found.select(F.col("id").alias("fingerprint"), "component"), "fingerprint", "left").withColumn("component", F.coalesce("component", "fingerprint"))
     smallest = placed.groupBy("component").agg(F.min("first").alias("component_id"))
     labels = placed.join(smallest, "component").select("fingerprint", "component_id").checkpoint()
