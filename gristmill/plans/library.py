@@ -207,7 +207,7 @@ def unmatched_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.unmatched(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), table(spark, sf_dir, "customer"), "c_custkey")
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ann.Lists]:
+def _inverted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ann.Lists]:
     """Vectors, every hundredth of them as a request, and the stored lists of them all."""
     rows = table(spark, sf_dir, "embeddings")
     items = rows.select(F.col("vec_id").alias("item"), F.col("embedding").alias("vector"))
@@ -218,14 +218,14 @@ def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, ann.
 @query(f"SELECT request, item, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS rank FROM ({_KNN})) WHERE rank <= 20")
 def knn_all_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inverted lists, all of them probed: the exact answer."""
-    _, requests, lists = _lists(spark, sf_dir)
+    _, requests, lists = _inverted(spark, sf_dir)
     return ann.nearest(lists, requests, 20, probes=ann.LISTS, digits=4)
 
 
 @query("SELECT count(*) AS requests, TRUE AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
 def knn_lists_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether inverted lists, probed as far as a sample shows to be needed, find nine tenths of what is nearest."""
-    items, requests, lists = _lists(spark, sf_dir)
+    items, requests, lists = _inverted(spark, sf_dir)
     exact = retrieval.nearest(items, requests, 20, digits=4)
     found = ann.recall(ann.nearest(lists, requests, 20, probes=ann.probes_for(lists, 20), digits=4), exact)
     return found.agg(F.count("*").alias("requests"), (F.avg("recall") >= 0.9).alias("recall_reached"))
