@@ -1,9 +1,11 @@
 """Secret scans with a linear-chain conditional random field.
 
 Tokens are tagged as outside, begin or inside of a secret. Scores of a tag come from
-the token's shape, the shapes and the words beside it, and features of the whole file;
-transitions join neighbouring tags. The field is fitted to what fixed patterns find in
-a bounded sample and decoded by Viterbi in every whole text. Where "outside" leads by
+the token's shape, fine and coarse, the shapes and the words beside it, and features of
+the whole file; transitions join neighbouring tags. The field is fitted to what fixed
+patterns find in a bounded sample, with windows that it tags wrongly joining the fit in
+turns, and a fourth of the sample sets what each span must lead by. It is decoded by
+Viterbi in every whole text. Where "outside" leads by
 more than transitions, and a following "inside" that would turn to "begin", can make up
 for, it holds on every best path, so the search falls apart there; the stretches between
 are walked side by side.
@@ -27,9 +29,14 @@ from gristmill.llm.textkit import SPACED, Lexed, lex, map_texts, releasing, slic
 KINDS = ("assign", "access", "hex", "crf")
 #: Texts that the fit uses (half with pattern matches) and bytes of them at most.
 SAMPLE_DOCS, SAMPLE_BYTES = 800, 16 << 20
-_WORDS = 1 << 12
-_SHAPES = 1 << 11
-_FILES = 8
+#: Words count that stand beside so many secrets of the sample; all others are one.
+WORD_SUPPORT = 3
+#: Turns in which wrongly tagged windows join the fit.
+FIT_TURNS = 4
+#: In the part of the sample held out: base spans that the lead may not lose, and the share of spans that must be base ones; and the leads tried.
+RECALL, PRECISION = 0.95, 0.9
+LEADS = (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0, 5.0, 6.0, 7.0, 8.0)
+_SHAPES, _COARSE, _FILES = 1 << 11, 1 << 8, 8
 #: A text with none of these, in lower or upper case, is not drawn as one with a likely secret.
 _HINTS = ("password", "passwd", "secret", "token", "api_key", "apikey", "akia")
 
@@ -69,29 +76,43 @@ def file_features(lx: Lexed, shape: np.ndarray) -> np.ndarray:
     return out
 
 
-def indices(lx: Lexed) -> list[np.ndarray]:
-    """For each token, its place in each score table: shape, the shapes and words before and after, file."""
-    shape, doc = shapes(lx), lx.doc()
-    word = (lx.hash & np.uint64(_WORDS - 1)).astype(np.int64)
+def _coarse(shape: np.ndarray) -> np.ndarray:
+    """A shape without case or lesser signs: whether it has letters, digits, an assignment or quotes, mostly digits, and its length."""
+    letters = (shape & 3 > 0).astype(np.int64)
+    return letters | (shape >> 2 & 7) << 1 | (shape >> 7 & 15) << 4
+
+
+def _beside(values: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
+    """The values of the tokens before and after, 0 at a text's ends."""
     first, last = np.ones(len(doc), bool), np.ones(len(doc), bool)
     first[1:] = doc[1:] != doc[:-1]
     last[:-1] = first[1:]
-    beside = []
-    for values in (shape, word):
-        beside.append(np.where(first, 0, np.roll(values, 1)))
-        beside.append(np.where(last, 0, np.roll(values, -1)))
-    return [shape, *beside, file_features(lx, shape)[doc]]
+    return [np.where(first, 0, np.roll(values, 1)), np.where(last, 0, np.roll(values, -1))]
 
 
-_SIZES = (_SHAPES, _SHAPES, _SHAPES, _WORDS, _WORDS, _FILES)
+def indices(lx: Lexed, words: np.ndarray) -> list[np.ndarray]:
+    """For each token, its place in each score table: shape, coarse shape, the shapes and words before and after, file.
+
+    `words` are the sorted hashes of those that count, numbered from 1; others are 0.
+    """
+    shape, doc = shapes(lx), lx.doc()
+    at = np.searchsorted(words, lx.hash)
+    known = at < len(words)
+    known[known] = words[at[known]] == lx.hash[known]
+    return [shape, _coarse(shape), *_beside(shape, doc), *_beside(np.where(known, at + 1, 0), doc), file_features(lx, shape)[doc]]
 
 
 @dataclass
 class Field:
-    """Scores of begin and inside against outside, and of transitions (from, to) over the tags outside, begin, inside."""
+    """Scores of begin and inside against outside, and of transitions (from, to) over the tags outside, begin, inside.
+
+    `words` are the hashes that count, `lead` what a span must be better by than none.
+    """
 
     tables: list[np.ndarray]
     moves: np.ndarray
+    words: np.ndarray
+    lead: float = 0.0
 
     def scores(self, index: list[np.ndarray]) -> np.ndarray:
         return sum(t[i] for t, i in zip(self.tables, index, strict=True))
@@ -117,42 +138,111 @@ def _windows(lx: Lexed, size: int) -> np.ndarray:
     return np.where(at < np.repeat(lx.first[1:], n)[:, None], at, -1)
 
 
-def fit(sample: pa.Array, steps: int = 120, window: int = 12, decay: float = 2e-3) -> Field:
-    """Gradient ascent on the likelihood of windows: all around a match and one in eight of the rest, chosen by position."""
-    rows, gold = [[] for _ in _SIZES], []
+def _words(parts: list[tuple[Lexed, np.ndarray]]) -> np.ndarray:
+    """Sorted hashes of the words that stand before or after WORD_SUPPORT secrets or more."""
+    near = []
+    for lx, gold in parts:
+        doc = lx.doc()
+        for value in _beside(np.arange(len(gold)) + 1, doc):
+            own = value[(gold > 0) & (value > 0)] - 1
+            near.append(lx.hash[own])
+    words, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *near]), return_counts=True)
+    return words[n >= WORD_SUPPORT]
+
+
+def _untaught(words: np.ndarray) -> Field:
+    """Before any evidence, a token is outside."""
+    sizes = (_SHAPES, _COARSE, _SHAPES, _SHAPES, len(words) + 1, len(words) + 1, _FILES)
+    field = Field([np.zeros((n, 2)) for n in sizes], np.zeros((3, 3)), words)
+    field.tables[0] -= 4.0
+    field.moves[0, 2] = -30.0  # inside never follows outside
+    return field
+
+
+def _spans(tags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First tokens and ends (exclusive) of tagged stretches."""
+    at = np.flatnonzero(tags == 1)
+    stop = at + 1
+    while (more := (stop < len(tags)) & (tags[np.minimum(stop, len(tags) - 1)] == 2)).any():
+        stop = stop + more
+    return at, stop
+
+
+def _lead(field: Field, held: list[tuple[Lexed, np.ndarray]]) -> float:
+    """The most of LEADS that still finds RECALL of the base spans found without, in texts held out; infinity if less than PRECISION of what it finds touch one.
+
+    So what is added is about as sure as nearly all of what the patterns confirm.
+    """
+    best, most = np.inf, 0
+    for lead in LEADS:
+        field.lead = lead
+        right = found = 0
+        for lx, gold in held:
+            at, stop = _spans(tag(field, lx))
+            sure = np.concatenate(([0], np.cumsum(gold > 0)))
+            found, right = found + len(at), right + int((sure[stop] > sure[at]).sum())
+        most = max(most, right)
+        if right < RECALL * most:
+            break
+        if right >= PRECISION * found:
+            best = lead
+    return best
+
+
+def fit(sample: pa.Array, steps: int = 120, window: int = 12, decay: float = 0.3) -> Field:
+    """Gradient ascent on the likelihood of windows: all around a match, one in eight of the rest by position, and those tagged wrongly so far.
+
+    Weights are drawn to what they were before any evidence, so that what is seen once
+    or twice decides nothing. Every fourth text is held out and sets the lead.
+    """
+    parts = []
     for part in slices(pa.RecordBatch.from_arrays([sample], names=["text"]), 0):
-        lx, texts = lex(part.column(0), SPACED), texts_of(part.column(0))
-        at = _windows(lx, window)
-        if not len(at):
-            continue
-        tags = np.where(at < 0, 0, _silver(lx, texts)[at])
-        use = tags.any(1) | (np.arange(len(at)) % 8 == 0)
-        for r, x in zip(rows, indices(lx), strict=True):
-            r.append(np.where(at[use] < 0, -1, x[at[use]]))
-        gold.append(tags[use])
-    field = Field([np.zeros((s, 2)) for s in _SIZES], np.zeros((3, 3)))
-    field.tables[0] -= 4.0  # before any evidence, a token is outside
-    if not any(g.any() for g in gold):
+        for keep in (np.arange(len(part)) % 4 != 3, np.arange(len(part)) % 4 == 3):
+            column = part.column(0).filter(pa.array(keep))
+            lx = lex(column, SPACED)
+            parts.append((lx, _silver(lx, texts_of(column))))
+    taught, held = parts[::2], parts[1::2]
+    field = _untaught(_words(taught))
+    if not any(gold.any() for _, gold in taught):
         return field
-    index, tags = [np.concatenate(r) for r in rows], np.concatenate(gold)
-    past = index[0] < 0  # behind a text's end all is outside
+    prior = [x.copy() for x in field.tables]
+    windows = [_windows(lx, window) for lx, _ in taught]
+    golds = [np.where(at < 0, 0, gold[at]) for at, (_, gold) in zip(windows, taught, strict=True) if len(at)]
+    places = [np.where(at < 0, -1, x[at]) if len(at) else None for at, (lx, _) in zip(windows, taught, strict=True) for x in indices(lx, field.words)]
+    n = len(field.tables)
+    places = [np.concatenate([p for p in places[i::n] if p is not None]) for i in range(n)]
+    gold = np.concatenate(golds)
+    use = gold.any(1) | (np.arange(len(gold)) % 8 == 0)
+    for turn in range(FIT_TURNS):
+        _ascend(field, prior, [p[use] for p in places], gold[use], steps // 2 if turn else steps, decay)
+        tags = [np.where(at < 0, 0, tag(field, lx)[at]) for at, (lx, _) in zip(windows, taught, strict=True) if len(at)]
+        wrong = ((np.concatenate(tags) > 0) != (gold > 0)).any(1) & ~use
+        if not wrong.any():
+            break
+        use |= wrong
+    field.lead = _lead(field, held)
+    return field
+
+
+def _ascend(field: Field, prior: list[np.ndarray], index: list[np.ndarray], tags: np.ndarray, steps: int, decay: float) -> None:
+    """Steps of the fit on windows of tokens' places and tags; -1 is behind a text's end, where all is outside."""
+    past = index[0] < 0
     index, known = [np.maximum(i, 0) for i in index], ~past[..., None]
     right = np.eye(3)[tags]
     steps_right = np.bincount((3 * tags[:, :-1] + tags[:, 1:]).ravel(), minlength=9).reshape(3, 3)
     memory = [np.zeros_like(x) for x in (*field.tables, field.moves)]
     for _ in range(steps):
         unary = np.concatenate((np.zeros((*tags.shape, 1)), np.where(known, field.scores(index), -30.0)), 2)
-        unary[:, 0, 2] = field.moves[0, 2] = -30.0  # inside never follows outside
+        unary[:, 0, 2] = field.moves[0, 2] = -30.0
         single, double = _marginals(unary, field.moves)
         error = np.where(known, single - right, 0)[..., 1:]
-        grads = [np.stack([np.bincount(i.ravel(), weights=error[..., k].ravel(), minlength=len(t)) for k in (0, 1)], 1) + decay * t for t, i in zip(field.tables, index, strict=True)]
+        grads = [np.stack([np.bincount(i.ravel(), weights=error[..., k].ravel(), minlength=len(t)) for k in (0, 1)], 1) + decay * (t - b) for t, b, i in zip(field.tables, prior, index, strict=True)]
         grads.append(double - steps_right)
         for x, g, m in zip((*field.tables, field.moves), grads, memory, strict=True):
             m += g * g
             x -= 0.3 * g / np.sqrt(m + 1e-8)
         np.clip(field.moves, -8, 8, out=field.moves)
     field.moves[0, 2] = -30.0
-    return field
 
 
 def _marginals(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,10 +292,10 @@ def _losses(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tag(field: Field, lx: Lexed) -> np.ndarray:
-    """Tags of all tokens."""
-    if not len(lx.starts):
-        return np.zeros(0, np.int64)
-    return tagged(field.scores(indices(lx)), field.moves, lx.doc())
+    """Tags of all tokens; a span pays the field's lead where it begins."""
+    if not len(lx.starts) or np.isinf(field.lead):
+        return np.zeros(len(lx.starts), np.int64)
+    return tagged(field.scores(indices(lx, field.words)) - [field.lead, 0.0], field.moves, lx.doc())
 
 
 def tagged(scores: np.ndarray, moves: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -262,7 +352,8 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
     """`keep` columns with found (kind, begin, end; code points), n_assign, n_access, n_hex, base_sha256 and spans.
 
     Base spans are those of the fixed patterns. The field adds spans of kind "crf" where
-    it tags a stretch of tokens that no base span touches. Null and empty texts have
+    it tags a stretch of tokens that no base span touches and that leads by what the fit
+    found needed; if nothing is enough, it adds none. Null and empty texts have
     none. Each row gives a row; further columns play no part.
     """
     field = fit(_sample(docs, text, sample_docs, sample_bytes))
@@ -275,10 +366,7 @@ def scan_secrets(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] =
         def kernel(column: pa.Array):
             lx, texts = lex(column, SPACED), texts_of(column)
             tags = tag(field, lx)
-            at = np.flatnonzero(tags == 1)
-            stop = at + 1
-            while (more := (stop < len(tags)) & (tags[np.minimum(stop, len(tags) - 1)] == 2)).any():
-                stop = stop + more
+            at, stop = _spans(tags)
             owner = np.searchsorted(lx.first, at, "right") - 1
             extra: list[list] = [[] for _ in texts]
             for d, a, b in zip(owner.tolist(), at.tolist(), stop.tolist(), strict=True):
