@@ -54,3 +54,46 @@ def test_lead_adds_nothing_that_held_out_texts_deny():
     field.tables[0][:] = 90.0  # and no lead tried is enough
     field.lead = secrets._lead(field, [(lx, secrets.np.zeros(6, int))])
     assert field.lead == float("inf") and not secrets.tag(field, lx).any()
+
+
+def test_graph_finds_planted_identifiers(spark):
+    """Values that no fixed pattern matches, in contexts that seeds have taught; other numbers are left."""
+    rng = random.Random(8)
+    number = lambda n: "".join(rng.choice(string.digits) for _ in range(n))
+    seeds = {
+        "reach me at {} today": lambda: f"+1 ({number(3)}) 555-{number(4)}",
+        "my mail is {} thanks": lambda: f"u{number(4)}@mail.example.com",
+        "from host {} port": lambda: f"10.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}",
+    }
+    unseen = {
+        "reach me at {} today": lambda: f"({number(3)}) 555-{number(4)}",
+        "my mail is {} thanks": lambda: f"u{number(4)}@intranet",
+        "from host {} port": lambda: f"10.{rng.randint(300, 999)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}",
+    }
+    others = ["version {} of it", "since {} they", "page {} says"]
+    rows, planted = [], {}
+    for i in range(360):
+        a, b = prose(rng, rng.randint(3, 30)), prose(rng, rng.randint(3, 30))
+        t = list(seeds)[i % 3]
+        if i % 12 < 9:
+            rows.append((i, f"{a} {t.format(seeds[t]())} {b}"))
+        elif i % 72 < 12:
+            v = unseen[t]()
+            line = f"{a} {t.format(v)} {b}"
+            planted[i] = (line.index(v), line.index(v) + len(v))
+            rows.append((i, line))
+        else:
+            rows.append((i, f"{a} {rng.choice(others).format(number(rng.randint(1, 6)))} {b}"))
+    found = set()
+    for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        found |= {(r["doc_id"], f["begin"], f["end"]) for f in r["found"] if f["kind"] == "found"}
+    want = {(i, *span) for i, span in planted.items()}
+    assert len(found & want) >= 0.9 * len(want) and len(found & want) >= 0.9 * len(found)
+
+
+def test_numbers_in_groups_are_one_value():
+    texts = ["x +1 (555) 000-1111 2222 y", "n 12 34, 56", None, "", "_ 7\n8", "u@x (826) 555-1 .9."]
+    _, context = pii._contexts(pii.pa.array(texts))
+    assert [(d, kind, value) for d, kind, value, *_ in context] == [
+        (0, "phone", "+1 (555) 000-1111 2222"), (1, "", "12 34"), (1, "", "56"), (4, "", "7"), (4, "", "8"), (5, "", "u@x"), (5, "", "(826) 555-1 .9")
+    ]
