@@ -42,9 +42,14 @@ def ir_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
+def finite(value: str) -> Column:
+    """Whether a number is neither null, NaN nor infinite."""
+    return F.abs(F.col(value).cast("double")) < F.lit(float("inf"))  # NaN is above infinity
+
+
 def summary(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """n, mean, sd (0 for one row), median and quartiles of each group."""
-    v = F.col(value)
+    """n, mean, sd (0 for one row), median and quartiles of each group; NaN and infinite values are left out."""
+    v = F.when(finite(value), F.col(value))
     return rows.groupBy(group).agg(
         F.count(v).alias("n"),
         F.round(F.avg(v), 6).alias("mean"),
@@ -259,7 +264,7 @@ def between_datasets(rows: DataFrame, order: str = "dataset") -> DataFrame:
 
 def summary_with_interval(rows: DataFrame, group: str, value: str, draws: int = 10_000) -> DataFrame:
     """summary with the ends of the bootstrap's 95 % interval of the mean; a null group is one of its own."""
-    ends = bootstrap(rows, group, value, draws).select(F.col(group).alias("\u0001g"), F.round("low", 6).alias("ci95_low"), F.round("high", 6).alias("ci95_high"))
+    ends = bootstrap(rows.where(finite(value)), group, value, draws).select(F.col(group).alias("\u0001g"), F.round("low", 6).alias("ci95_low"), F.round("high", 6).alias("ci95_high"))
     sums = summary(rows, group, value)
     return sums.join(ends, sums[group].eqNullSafe(F.col("\u0001g")), "left").drop("\u0001g")
 

@@ -208,13 +208,19 @@ MODES = ("bm25", "vector", "tag", "rrf_hybrid")
 FAMILIES = {"hazard_tags": 2.0, "scenario_tags": 1.0}
 
 
+def given_order(queries: DataFrame) -> list[str]:
+    """Columns that put a request's queries in order: ordinal, where there is one, and the text."""
+    return [*(["ordinal"] if "ordinal" in queries.columns else []), "text"]
+
+
 def retrieve(
     items: DataFrame, requests: DataFrame, queries: DataFrame, terms, mode: str = "rrf_hybrid", k: int = 5, score: Column | None = None, words: dict[str, float] | None = None, keywords: dict[str, float] | None = None
 ) -> DataFrame:
     """request, item, rank: the k best items of each request by one route or by all.
 
     items: item, the fields of a chunk, the arrays of FAMILIES, vector; requests: request
-    and the arrays; queries: request, text, vector. Blank queries are dropped; each other
+    and the arrays; queries: request, text, vector, and ordinal where their order counts (earlier
+    lists win ties; by text without it). Blank queries are dropped; each other
     one is a ranked list of its own in the word and vector routes, and a request without any gets nothing.
     All lists are fused; ties go by shared tags of each family. With `score` (over the
     items' columns and asked, a query's text), the fused pool is reranked by the best query.
@@ -222,7 +228,7 @@ def retrieve(
     if mode not in MODES:
         raise ValueError(f"no mode {mode!r}; there are {', '.join(MODES)}")
     clean = queries.withColumn("text", F.trim("text")).where("text <> ''")
-    named = clean.withColumn("request", F.struct("request", F.row_number().over(Window.partitionBy("request").orderBy("text")).alias("query")))
+    named = clean.withColumn("request", F.struct("request", F.row_number().over(Window.partitionBy("request").orderBy(*given_order(clean))).alias("query")))
     asking = requests.join(clean.select("request").distinct(), "request", "left_semi")
     lists = []
     if mode in ("bm25", "rrf_hybrid"):

@@ -13,11 +13,11 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gristmill.functions.session import checkpoints
-from gristmill.functions.text import tokens
+from gristmill.functions.text import bigrams
 from gristmill.operators import evidence, retrieval
 
 MAX_RETRIES = 2
@@ -33,7 +33,9 @@ class EngineConfig:
     query_rewrite: bool = True
     deterministic_ground: bool = True
     arbitration: bool = True
-    #: From requests to request, text (and vector): further wordings of a request; rewriting is the model's part.
+    #: Terms of a text, for the word routes.
+    terms: Callable[[Column], Column] = bigrams
+    #: From requests to request, text (and vector, ordinal): further wordings of a request; rewriting is the model's part.
     rewrite: Callable[[DataFrame], DataFrame] | None = None
 
 
@@ -75,15 +77,15 @@ def _as(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("request", F.lit(kind).alias("kind"), "item", "rank", F.lit(None).cast("array<string>").alias("linked"))
 
 
-def _words(items: DataFrame, requests: DataFrame, k: int) -> DataFrame:
-    return retrieval.bm25(items.select("item", "text"), requests.select("request", "text"), tokens, k)
+def _words(items: DataFrame, requests: DataFrame, config: EngineConfig, k: int) -> DataFrame:
+    return retrieval.bm25(items.select("item", "text"), requests.select("request", "text"), config.terms, k)
 
 
 def _wordings(requests: DataFrame, more: DataFrame | None) -> DataFrame:
-    """request, wording, text and vector (null without one): the request itself is wording 0, the others are numbered by their text."""
+    """request, wording, text and vector (null without one): the request itself is wording 0, the others are numbered by their ordinal, or by their text where they have none."""
     shape = lambda df, n: df.select("request", n.alias("wording"), "text", (F.col("vector") if "vector" in df.columns else F.lit(None)).cast("array<double>").alias("vector"))
     out = shape(requests, F.lit(0))
-    return out if more is None else out.unionByName(shape(more, F.row_number().over(Window.partitionBy("request").orderBy("text"))))
+    return out if more is None else out.unionByName(shape(more, F.row_number().over(Window.partitionBy("request").orderBy(*retrieval.given_order(more)))))
 
 
 def hybrid(items: DataFrame, requests: DataFrame, config: EngineConfig, more: DataFrame | None = None) -> DataFrame:
@@ -93,7 +95,7 @@ def hybrid(items: DataFrame, requests: DataFrame, config: EngineConfig, more: Da
     The vector route takes the items and wordings that have a vector.
     """
     asked = _wordings(requests, more).withColumn("request", F.struct("request", "wording"))
-    lists = [_words(items, asked, retrieval.DEPTH)]
+    lists = [_words(items, asked, config, retrieval.DEPTH)]
     if "vector" in items.columns:
         lists.append(retrieval.nearest(items.where("vector is not null"), asked.where("vector is not null"), retrieval.DEPTH))
     route = lambda n, wording: F.struct(F.lit(n).alias("kind"), wording.alias("wording")).alias("route")
@@ -110,12 +112,12 @@ def _none(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: Engin
 
 @strategy("norm_only")
 def _norm_only(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: EngineConfig) -> DataFrame:
-    return _as(_words(norms, requests, config.top_k), "norm")
+    return _as(_words(norms, requests, config, config.top_k), "norm")
 
 
 @strategy("naive_dual")
 def _naive_dual(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: EngineConfig) -> DataFrame:
-    return _as(_words(norms, requests, config.top_k), "norm").unionByName(_as(_words(cases, requests, config.top_k), "case"))
+    return _as(_words(norms, requests, config, config.top_k), "norm").unionByName(_as(_words(cases, requests, config, config.top_k), "case"))
 
 
 @strategy("optimized")

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import jsontext, layout
-from gristmill.operators import chunks
+from gristmill.functions.text import tokens
+from gristmill.operators import chunks, evaluation, retrieval
 from gristmill.plans import strategies
 
 COLUMNS = ("chunk_id", "standard_code", "chunk_kind", "article_id", "chapter_no", "chapter", "title", "text", "source_path", "asset_path", "related_article_id")
@@ -133,6 +134,36 @@ def test_hybrid_has_a_vector_route_and_a_list_for_each_wording(spark):
     assert got(items, requests.drop("vector"), more)[:2] == [99, 1]
 
 
+def test_strategies_read_han_text(spark):
+    requests = spark.createDataFrame([(1, "脚手架检查", ["x"])], "request long, text string, tags array<string>")
+    norms = spark.createDataFrame([(10, "脚手架搭设应当检查", ["y"], 10), (11, "临边作业", ["y"], 11)], "item long, text string, tags array<string>, ref long")
+    cases = spark.createDataFrame([(20, "某工地脚手架坍塌", ["z"], [11])], "item long, text string, tags array<string>, refs array<long>")
+    found = lambda name, **c: [(r["kind"], r["item"]) for r in strategies.chosen(name)(requests, norms, cases, strategies.EngineConfig(**c)).collect()]
+    assert found("norm_only") == [("norm", 10)] and sorted(found("naive_dual")) == [("case", 20), ("norm", 10)]
+    assert found("norm_only", terms=tokens) == []
+
+
+def test_wordings_keep_the_order_given(spark):
+    items = spark.createDataFrame([(1, "alpha", ["n"]), (2, "beta", ["n"])], "item long, text string, tags array<string>")
+    requests = spark.createDataFrame([(1, "q", ["x"])], "request long, text string, tags array<string>")
+    more = spark.createDataFrame([(1, "beta", 0), (1, "alpha", 1)], "request long, text string, ordinal int")
+    got = lambda m: [r["item"] for r in strategies.hybrid(items, requests, strategies.EngineConfig(), m).orderBy("rank").collect()]
+    assert got(more) == [2, 1] and got(more.drop("ordinal")) == [1, 2]
+    fields = {"words": {"text": 4.0}, "keywords": {}}
+    asked = lambda m: [r["item"] for r in retrieval.retrieve(items, requests, m, tokens, "bm25", **fields).orderBy("rank").collect()]
+    items = items.withColumns({f: F.array().cast("array<string>") for f in retrieval.FAMILIES})
+    requests = requests.withColumns({f: F.array().cast("array<string>") for f in retrieval.FAMILIES})
+    assert asked(more) == [2, 1] and asked(more.drop("ordinal")) == [1, 2]
+
+
+def test_summary_leaves_out_what_is_not_finite(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", float("nan")), ("a", float("inf")), ("a", None), ("b", float("nan"))], "g string, v double")
+    a, b = evaluation.summary(rows, "g", "v").orderBy("g").collect()
+    assert (a["n"], a["mean"], a["sd"], a["median"], a["q1"], a["q3"]) == (2, 2.0, 1.414214, 2.0, 1.5, 2.5) and (b["n"], b["mean"], b["median"]) == (0, None, None)
+    ends = {r["g"]: (r["ci95_low"], r["ci95_high"]) for r in evaluation.summary_with_interval(rows, "g", "v", 500).collect()}
+    assert ends["b"] == (None, None) and 1.0 <= ends["a"][0] <= ends["a"][1] <= 3.0
+
+
 def test_every_ablation_acts(spark):
     requests = spark.createDataFrame([(r, "scaffold", ["x"]) for r in (1, 2)], "request long, text string, tags array<string>")
     norms = spark.createDataFrame([(10, "scaffold rules", ["x"], 10), (11, "unrelated words", ["y"], 11), (12, "net", ["y"], 12)], "item long, text string, tags array<string>, ref long")
