@@ -27,8 +27,14 @@ class Counters:
         self._seen[stage] = Observation(stage)
         return rows.observe(self._seen[stage], F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in measures.items()])
 
-    def snapshot(self) -> dict[str, dict | None]:
-        """What each stage has counted, in the order they were watched; None for one that has not run whole."""
+    def snapshot(self, wait: float = 2.0) -> dict[str, dict | None]:
+        """What each stage has counted, in the order they were watched; None for one that has not run whole.
+
+        Counts arrive shortly after the action that fills them, so this waits up to `wait` seconds for missing ones.
+        """
+        until = time.time() + wait
+        while time.time() < until and not all(o._jo.future().isCompleted() for o in self._seen.values()):
+            time.sleep(0.02)
         return {name: dict(o.get) if o._jo.future().isCompleted() else None for name, o in self._seen.items()}
 
     def attach(self, metadata: Mapping) -> dict:
