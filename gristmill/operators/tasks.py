@@ -61,7 +61,7 @@ def proxy_articles(requests: DataFrame, items: DataFrame, terms: Callable[[Colum
     requests: request, code, text; items: item, code, text. The statistics are those of all
     items: df of a term counts it in every code, as a filter leaves them alone.
     """
-    return retrieval.top_k(retrieval.bm25_scores(items, requests, terms, within="code"), k)
+    return retrieval.bm25(items, requests, terms, k, within="code")
 
 
 def running_ids(rows: DataFrame, group: str, order: str, out: str = "nth", parts: int = 64) -> DataFrame:

@@ -122,8 +122,8 @@ def retrieval_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     lang = F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]), (F.col("request") % 4 + 1).cast("int"))
     requests = _requests(spark, sf_dir).select("request", F.array(lang).alias("scenario_tags"), F.array(F.concat(F.lit("src"), F.col("request") % 20)).alias("hazard_tags"))
     queries = _requests(spark, sf_dir).join(vectors, F.col("vec_id") == 3 * F.col("request"), "left").drop("vec_id")
-    runs = [retrieval.retrieve(items, requests, queries, tx.tokens, m, words={"text": 4.0}, keywords={}).select(F.lit(m).alias("mode"), "request", "item", "rank") for m in retrieval.MODES]
-    return reduce(DataFrame.unionByName, runs)
+    runs = retrieval.retrieve_all(items, requests, queries, tx.tokens, words={"text": 4.0}, keywords={})
+    return reduce(DataFrame.unionByName, (found.select(F.lit(m).alias("mode"), "request", "item", "rank") for m, found in runs.items()))
 
 
 @query("""SELECT DISTINCT l_orderkey AS request, p_partkey AS item FROM lineitem JOIN part ON p_partkey % 20 = l_partkey % 20 AND p_size = l_linenumber WHERE l_linenumber % 3 <> 0""")
