@@ -63,3 +63,23 @@ def test_best_keeps_k_of_each_request_with_ties_by_item():
         got = sorted(zip(best.rows().column(0).to_pylist(), (-best.rows().column(2).to_numpy()).tolist(), best.rows().column(1).to_pylist()))
         rows = [(r, -score[r, i], names[i].as_py()) for r, i in itertools.product(range(6), range(300)) if score[r, i] > -np.inf]
         assert got == sorted(x for r in range(6) for x in sorted(y for y in rows if y[0] == r)[:9])
+
+
+def test_refs_leave_the_join_without_a_shuffle_of_pairs(spark):
+    refs = spark.createDataFrame([(1, "A:1"), (1, "A:1"), (1, "A: 2"), (2, "B:1"), (2, "《A》:1"), (3, "A:2"), (None, "A:1")], "request long, ref string")
+    chunks = spark.createDataFrame([(10, "A", "1"), (10, "A", "2"), (11, "A", "1"), (11, "A", "1"), (12, "B", "1"), (13, None, "1")], "item long, standard_code string, article_id string")
+    found = retrieval.by_refs(refs, chunks)
+    assert sorted(map(str, found.collect())) == sorted(map(str, spark.createDataFrame([(1, 10), (1, 11), (2, 12), (3, 10), (None, 10), (None, 11)], "request long, item long").collect()))
+    single = found._jdf.queryExecution().optimizedPlan().toString().split("+- Aggregate [request")[0]
+    assert single.lstrip().startswith("Union") and "Aggregate [request" not in single.split("\n")[1]
+
+
+def test_terms_are_counted_where_texts_lie(spark, texts):
+    from gristmill.operators import index
+
+    one = texts.where("item <> 700")
+    found = index.spread(one, {"text": tx.tokens(F.col("text")), "whole": F.array("text")})
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    words = one.select("item", F.explode(F.array(F.struct(F.lit("text").alias("field"), tx.tokens(F.col("text")).alias("t")), F.struct(F.lit("whole").alias("field"), F.array("text").alias("t")))).alias("f")).select("item", "f.field", F.size("f.t").alias("length"), F.explode("f.t").alias("term"))
+    plain = words.where("term is not null").groupBy("item", "field", "term").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
