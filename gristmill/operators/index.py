@@ -26,18 +26,23 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gristmill.functions.session import checkpoints, shared_folder
+from gristmill.functions.session import checkpoints, shared_folder, small_batches
 from gristmill.operators.retrieval import B, BROADCAST_TERMS, DEPTH, K1, KEYWORD_FIELDS, WORD_FIELDS, top_k
 from gristmill.sources import versions
 
 #: Items in a block, about, and folders of postings.
 BLOCK, BUCKETS = 128, 16
+#: Postings that one task puts into blocks, about.
+PART_ROWS = 500_000
 #: Postings of a request's rarest terms that the first step takes, for each of the k.
 SEEDS = 128
 #: Pairs of requests and items that are all scored, as finding out which ones to leave costs more.
@@ -114,11 +119,22 @@ class Index:
 def spread(items: DataFrame, fields: Mapping[str, Column]) -> DataFrame:
     """item, field, term, tf and length (the item's terms in that field); items: item, unique, and what `fields`, arrays of terms, read.
 
-    Texts are dealt by item, which takes less than dealing their terms.
+    An item's terms are counted where its text lies; a task holds those of one Arrow batch.
     """
+    small_batches(items.sparkSession)
     arrays = F.array(*[F.struct(F.lit(name).alias("field"), terms.alias("terms")) for name, terms in fields.items()])
-    rows = items.repartition("item").select("item", F.explode(arrays).alias("f")).select("item", "f.field", F.size("f.terms").alias("length"), F.explode("f.terms").alias("term"))
-    return rows.where("term is not null").groupBy("item", "field", "term").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
+    rows = items.select("item", F.explode(arrays).alias("f")).select("item", "f.field", "f.terms")
+
+    def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int32)
+            words = batch.column(2).flatten().dictionary_encode()
+            n, number = max(1, len(words.dictionary)), pc.fill_null(words.indices, -1).to_numpy(zero_copy_only=False)
+            key, tf = np.unique((np.repeat(np.arange(len(lengths), dtype=np.int64), lengths) * n + number)[number >= 0], return_counts=True)
+            row = pa.array(key // n)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), words.dictionary.take(pa.array(key % n)), pa.array(tf.astype(np.int32)), pa.array(lengths[key // n])], names=["item", "field", "term", "tf", "length"])
+
+    return rows.mapInArrow(count, f"item {items.schema['item'].dataType.simpleString()}, field string, term string, tf int, length int")
 
 
 def _write_segment(spark: SparkSession, path: str, forward: DataFrame, items: DataFrame, dead: DataFrame | None = None, minus: DataFrame | None = None) -> dict:
@@ -135,7 +151,9 @@ def _write_segment(spark: SparkSession, path: str, forward: DataFrame, items: Da
     (items.select("item").limit(0) if dead is None else dead).write.parquet(f"{folder}/dead")
     rows = read("forward")
     terms = rows.groupBy("field", "term").agg(F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("length").alias("min_length")).withColumn("gone", F.lit(0).cast("long"))
-    lengths = {r["field"]: r["n"] for r in rows.groupBy("field").agg(F.sum("tf").alias("n")).collect()}  # a row for each field
+    sums = rows.groupBy("field").agg(F.sum("tf").alias("n"), F.count("*").alias("rows")).collect()  # a row for each field
+    lengths = {r["field"]: r["n"] for r in sums}
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), sum(r["rows"] for r in sums) // PART_ROWS)
     n_dead = 0
     if dead is not None:
         n_dead = read("dead").count()
@@ -149,7 +167,7 @@ def _write_segment(spark: SparkSession, path: str, forward: DataFrame, items: Da
     keyed = placed.select(_bucket(F.col("field"), F.col("term")).alias("bucket"), "field", "term", _block(F.col("item"), F.col("length"), F.col("slots")).alias("block"), "item", "tf", "length")
     key = ["bucket", "field", "term", "block"]
     entries = F.array_sort(F.collect_list(F.struct("item", "tf", "length")))  # a block's
-    blocks = keyed.repartitionByRange(*key).groupBy(*key).agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), entries.alias("e"))
+    blocks = keyed.repartitionByRange(parts, *key).groupBy(*key).agg(F.max("tf").alias("max_tf"), F.min("length").alias("min_length"), entries.alias("e"))
     flat = [F.col(f"e.{c}").alias(f"{c}s") for c in ("item", "tf", "length")]
     blocks.select(*key, "max_tf", "min_length", *flat).sortWithinPartitions(*key).write.partitionBy("bucket").parquet(f"{folder}/postings")
     return {"id": name, "item": item, "items": read("items").count() - n_dead, "lengths": lengths, "dead": n_dead}
