@@ -37,12 +37,16 @@ def ungrounded(cited: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFr
 def hydrate(selected: DataFrame, evidence: DataFrame) -> DataFrame:
     """Evidence rows of the selected ids in their order, each once; a request that selected none gets all.
 
-    selected: request, ids (array); evidence: request, chunk_id, pos.
+    selected: request, once, ids (array); evidence: request, chunk_id, pos. A request's
+    evidence is together as an array; requests are all that meets in the join.
     """
-    picked = selected.select("request", F.posexplode(F.array_distinct("ids")).alias("at", "chunk_id"))
-    chosen = picked.join(evidence.drop("pos"), ["request", "chunk_id"]).withColumnRenamed("at", "pos")
-    empty = selected.where(F.coalesce(F.size("ids"), F.lit(0)) <= 0).select("request")
-    return chosen.unionByName(evidence.join(empty, "request", "left_semi").select(*chosen.columns))
+    rest = [c for c in evidence.columns if c not in ("request", "chunk_id", "pos")]
+    shown = evidence.groupBy("request").agg(F.collect_list(F.struct("chunk_id", "pos", *rest)).alias("_e"))
+    ids = F.array_distinct("ids")
+    met = selected.select("request", F.when(F.size("ids") > 0, ids).alias("_ids")).join(shown, "request").select("request", "_ids", F.explode("_e").alias("_e"))
+    place = F.when(F.col("_ids").isNull(), F.col("_e.pos")).otherwise((F.array_position("_ids", F.col("_e.chunk_id")) - 1).cast(evidence.schema["pos"].dataType))
+    out = met.where(F.col("_ids").isNull() | F.array_contains("_ids", F.col("_e.chunk_id")))
+    return out.select("request", "_e.chunk_id", place.alias("pos"), *[F.col(f"_e.`{c}`") for c in rest])
 
 
 def route(passed: Column, reason: Column, retries: Column, budget: Column, cases: Column) -> Column:

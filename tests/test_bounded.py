@@ -83,3 +83,14 @@ def test_terms_are_counted_where_texts_lie(spark, texts):
     words = one.select("item", F.explode(F.array(F.struct(F.lit("text").alias("field"), tx.tokens(F.col("text")).alias("t")), F.struct(F.lit("whole").alias("field"), F.array("text").alias("t")))).alias("f")).select("item", "f.field", F.size("f.t").alias("length"), F.explode("f.t").alias("term"))
     plain = words.where("term is not null").groupBy("item", "field", "term").agg(F.count("*").cast("int").alias("tf"), F.first("length").alias("length"))
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_hydration_joins_requests_alone(spark):
+    from gristmill.operators import evidence
+
+    shown = spark.createDataFrame([(1, "a", 1, "x"), (1, "b", 2, "y"), (1, "b", 3, "z"), (2, "a", 1, "x"), (3, "c", 5, "w"), (4, "a", 1, "x")], "request long, chunk_id string, pos int, note string")
+    chosen = spark.createDataFrame([(1, ["b", "q", "b"]), (2, []), (3, None), (5, ["a"])], "request long, ids array<string>")
+    found = evidence.hydrate(chosen, shown)
+    assert sorted(map(tuple, found.select("request", "chunk_id", "pos", "note").collect())) == [(1, "b", 0, "y"), (1, "b", 0, "z"), (2, "a", 1, "x"), (3, "c", 5, "w")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Generate posexplode" not in plan
