@@ -22,9 +22,9 @@ def link_merge(refs: DataFrame, chunks: DataFrame, retrieved: DataFrame) -> Data
     """Chunks that cases cite and retrieval did not bring, with the sorted cases that cite them, beside the retrieved ones.
 
     refs: request, case_id, ref; chunks: chunk_id, ref; retrieved: request, chunk_id.
-    Retrieved chunks gain no provenance.
+    Retrieved chunks gain no provenance. Repeated references fall together with the cases' sets.
     """
-    linked = refs.dropDuplicates(["request", "case_id", "ref"]).join(chunks, "ref").join(retrieved, ["request", "chunk_id"], "left_anti")
+    linked = refs.join(chunks, "ref").join(retrieved, ["request", "chunk_id"], "left_anti")
     linked = linked.groupBy("request", "chunk_id").agg(F.array_sort(F.collect_set("case_id")).alias("linked_from"))
     return retrieved.select("request", "chunk_id").withColumn("linked_from", F.lit(None).cast(linked.schema["linked_from"].dataType)).unionByName(linked)
 
