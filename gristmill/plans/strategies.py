@@ -10,7 +10,7 @@ caller gives: they take and return DataFrames, so that they run on executors.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +37,8 @@ class EngineConfig:
     terms: Callable[[Column], Column] = bigrams
     #: From requests to request, text (and vector, ordinal): further wordings of a request; rewriting is the model's part.
     rewrite: Callable[[DataFrame], DataFrame] | None = None
+    #: Lists that several runs over the same requests and libraries share, by what they depend on; each is made once, in the checkpoint folder.
+    made: dict[tuple, DataFrame] | None = field(default=None, compare=False)
 
 
 #: What each ablation switches off.
@@ -77,6 +79,15 @@ def _as(rows: DataFrame, kind: str) -> DataFrame:
     return rows.select("request", F.lit(kind).alias("kind"), "item", "rank", F.lit(None).cast("array<string>").alias("linked"))
 
 
+def _once(config: EngineConfig, name: str, kind: str, rewritten: bool, make: Callable[[], DataFrame]) -> DataFrame:
+    if config.made is None:
+        return make()
+    key = (name, kind, rewritten)
+    if key not in config.made:
+        config.made[key] = make().checkpoint()
+    return config.made[key]
+
+
 def _words(items: DataFrame, requests: DataFrame, config: EngineConfig, k: int) -> DataFrame:
     return retrieval.bm25(items.select("item", "text"), requests.select("request", "text"), config.terms, k)
 
@@ -112,28 +123,30 @@ def _none(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: Engin
 
 @strategy("norm_only")
 def _norm_only(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: EngineConfig) -> DataFrame:
-    return _as(_words(norms, requests, config, config.top_k), "norm")
+    return _as(_once(config, "words", "norm", False, lambda: _words(norms, requests, config, config.top_k)), "norm")
 
 
 @strategy("naive_dual")
 def _naive_dual(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: EngineConfig) -> DataFrame:
-    return _as(_words(norms, requests, config, config.top_k), "norm").unionByName(_as(_words(cases, requests, config, config.top_k), "case"))
+    words = lambda items, kind: _as(_once(config, "words", kind, False, lambda: _words(items, requests, config, config.top_k)), kind)
+    return words(norms, "norm").unionByName(words(cases, "case"))
 
 
 @strategy("optimized")
 def _optimized(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: EngineConfig) -> DataFrame:
-    return _as(hybrid(norms, requests, config), "norm").unionByName(_as(hybrid(cases, requests, config), "case"))
+    found = lambda items, kind: _as(_once(config, "hybrid", kind, False, lambda: hybrid(items, requests, config)), kind)
+    return found(norms, "norm").unionByName(found(cases, "case"))
 
 
 @strategy("proposed")
 def _proposed(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: EngineConfig) -> DataFrame:
     """Both libraries by all wordings; norms that retrieved cases refer to come along with the cases that do."""
     more = config.rewrite(requests) if config.rewrite and config.query_rewrite else None
-    near = hybrid(norms, requests, config, more)
+    near = _once(config, "hybrid", "norm", more is not None, lambda: hybrid(norms, requests, config, more))
     found = _as(near, "norm")
     if not config.case_evidence:
         return found
-    told = hybrid(cases, requests, config, more)
+    told = _once(config, "hybrid", "case", more is not None, lambda: hybrid(cases, requests, config, more))
     found = found.unionByName(_as(told, "case"))
     if not config.case_norm_linker:
         return found
@@ -144,7 +157,9 @@ def _proposed(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: E
 
 
 def benchmark(requests: DataFrame, norms: DataFrame, cases: DataFrame, config: EngineConfig, names: list[str] | None = None) -> DataFrame:
-    """Evidence of every strategy, with its name as variant."""
+    """Evidence of every strategy, with its name as variant; lists that strategies share are made once."""
+    checkpoints(requests.sparkSession)
+    config = replace(config, made={})
     runs = [chosen(n)(requests, norms, cases, config).withColumn("variant", F.lit(n)) for n in names or list(STRATEGIES)]
     return reduce(DataFrame.unionByName, runs)
 
@@ -153,16 +168,17 @@ def ablation_study(requests: DataFrame, norms: DataFrame, cases: DataFrame, conf
     """Evidence of the full strategy under each ablation, with its name as ablation.
 
     Ablations that act on drafts alone (see ablated_drafts) share the evidence of the full strategy, which is retrieved once.
-    With keep, each retrieval goes to the checkpoint folder before the next one is planned.
+    With keep, each retrieval goes to the checkpoint folder before the next one is planned, and lists that ablations share are made once.
     """
     alike: dict[EngineConfig, list[str]] = {}
     for n in names or list(ABLATIONS):
         alike.setdefault(replace(ablated(replace(config, tag_weights=None), n), deterministic_ground=True, arbitration=True), []).append(n)
     if keep:
         checkpoints(requests.sparkSession)
+        config = replace(config, made={})
     runs = []
     for c, ns in alike.items():
-        found = STRATEGIES["proposed"](requests, norms, cases, replace(c, tag_weights=config.tag_weights))
+        found = STRATEGIES["proposed"](requests, norms, cases, replace(c, tag_weights=config.tag_weights, made=config.made))
         runs.append((found.checkpoint() if keep else found).withColumn("ablation", F.explode(F.array(*map(F.lit, ns)))))
     return reduce(DataFrame.unionByName, runs)
 
