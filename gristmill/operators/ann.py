@@ -15,18 +15,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions.session import checkpoints
-from gristmill.operators.retrieval import DEPTH, top_k
+from gristmill.operators.retrieval import DEPTH, TILE, _Best, top_k
 from gristmill.sources import versions
 
 #: Vectors that centroids are fitted on, and centroids, at most.
 SAMPLE, LISTS = 20_000, 1024
 #: Vectors of a list in one block, and requests that meet it at once.
 BLOCK, REQUESTS = 8192, 2048
+#: Bytes of vectors that a task sends on at once.
+SENT = 4 << 20
 #: Lists that a request probes at least.
 PROBES = 8
 
@@ -103,6 +104,31 @@ class Lists:
         return int(self.sizes.sum())
 
 
+def _probed(batch: pa.RecordBatch, centers: np.ndarray, sizes: np.ndarray, least: int, probes: int) -> Iterator[pa.RecordBatch]:
+    """request, vector and list of the lists that requests probe; a request's vector goes to each of its lists, so no more than SENT bytes of them are made at once."""
+    step, sent = max(1, TILE // max(1, len(centers))), max(1, SENT // (8 * max(1, centers.shape[-1])))
+    for cut in (batch.slice(i, step) for i in range(0, batch.num_rows if len(centers) else 0, step)):
+        order = np.argsort(-(_unit(_matrix(cut.column(1))) @ centers.T), axis=1, kind="stable")
+        held = np.cumsum(sizes[order], axis=1)
+        take = (held - sizes[order] < least) | (np.arange(order.shape[1]) < probes)
+        which, at = np.nonzero(take & (sizes[order] > 0))
+        own = order[which, at].astype(np.int32)
+        for i in range(0, len(which), sent):
+            some = pa.array(which[i : i + sent])
+            yield pa.RecordBatch.from_arrays([cut.column(0).take(some), cut.column(1).take(some), pa.array(own[i : i + sent])], names=["request", "vector", "list"])
+
+
+def _compared(items: pa.Table, asked: pa.Table, k: int, digits: int) -> pa.Table:
+    """request, item and score of the k best items of each request, scored in tiles."""
+    names, x = items.column("item").combine_chunks(), _unit(_matrix(items.column("vector")))
+    wanted, best = _unit(_matrix(asked.column("vector"))), _Best(asked.num_rows, k, names.type)
+    step = max(1, TILE // max(1, len(wanted)))
+    for i in range(0, len(x) if len(wanted) else 0, step):
+        best.meet(np.round(wanted @ x[i : i + step].T, digits), names.slice(i, step))
+    rows = best.rows()
+    return pa.table({"request": asked.column("request").take(rows.column(0)), "item": rows.column(1), "score": rows.column(2)})
+
+
 def nearest(index: Lists, requests: DataFrame, k: int = DEPTH, num_candidates: int | None = None, probes: int = PROBES, digits: int = 6) -> DataFrame:
     """request, item, score (cosine), rank: the best k of the probed lists.
 
@@ -116,14 +142,8 @@ def nearest(index: Lists, requests: DataFrame, k: int = DEPTH, num_candidates: i
     shared = spark.sparkContext.broadcast((index.centers, index.sizes))  # LISTS rows at most
 
     def probe(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centers, sizes = shared.value
         for batch in batches:
-            if batch.num_rows and len(centers):
-                order = np.argsort(-(_unit(_matrix(batch.column(1))) @ centers.T), axis=1, kind="stable")
-                held = np.cumsum(sizes[order], axis=1)
-                take = (held - sizes[order] < least) | (np.arange(order.shape[1]) < probes)
-                which, at = np.nonzero(take & (sizes[order] > 0))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), batch.column(1).take(pa.array(which)), pa.array(order[which, at].astype(np.int32))], names=["request", "vector", "list"])
+            yield from _probed(batch, *shared.value, least, probes)
 
     asked = requests.where("vector is not null").select("request", F.col("vector").cast("array<double>").alias("vector"))
     probed = asked.mapInArrow(probe, f"request {kinds['request']}, vector array<double>, list int").checkpoint()
@@ -136,16 +156,7 @@ def nearest(index: Lists, requests: DataFrame, k: int = DEPTH, num_candidates: i
     wanted = probed.join(F.broadcast(deals), "list").select("list", F.explode(F.expr("sequence(0, of_rows - 1)")).alias("a"), F.expr("cast(pmod(xxhash64(request), of_requests) as int)").alias("b"), "request", "vector")
 
     def best(items: pa.Table, asked: pa.Table) -> pa.Table:
-        names, x = items.column("item"), items.column("vector")
-        if not items.num_rows or not asked.num_rows:
-            return pa.table({"request": asked.column("request").slice(0, 0), "item": names.slice(0, 0), "score": pa.array([], pa.float64())})
-        score = np.round(_unit(_matrix(asked.column("vector"))) @ _unit(_matrix(x)).T, digits)
-        rank = np.empty(len(names), np.int64)
-        rank[pa.compute.sort_indices(names).to_numpy()] = np.arange(len(names))
-        order = np.lexsort((np.broadcast_to(rank, score.shape), -score), axis=1)[:, :k]
-        m = order.shape[1]
-        who = asked.column("request").take(pa.array(np.repeat(np.arange(asked.num_rows), m)))
-        return pa.table({"request": who, "item": names.take(pa.array(order.ravel())), "score": np.take_along_axis(score, order, 1).ravel()})
+        return _compared(items, asked, k, digits)
 
     key = ["list", "a", "b"]
     found = rows.groupBy(*key).cogroup(wanted.groupBy(*key)).applyInArrow(best, f"request {kinds['request']}, item {kinds['item']}, score double")

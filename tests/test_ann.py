@@ -1,8 +1,10 @@
 """Tests of inverted lists of vectors and of the embedder and reranker surface."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
 from pyspark.sql import functions as F
@@ -45,6 +47,26 @@ def test_all_lists_are_exact_and_few_have_recall(vectors, lists, monkeypatch):
     assert found.groupBy("request").count().agg(F.min("count"), F.count("*")).first()[:] == (10, 60)
 
 
+def test_a_task_holds_tiles_not_all_requests_by_lists():
+    rng = np.random.default_rng(4)
+    centers, asked, items = rng.normal(size=(300, 16)), rng.normal(size=(2000, 16)), rng.normal(size=(6000, 16))
+    table = lambda name, x: pa.table({name: np.arange(len(x)), "vector": x.tolist()})
+    (batch,) = table("request", asked).to_batches()
+    sent, own = list(ann._probed(batch, centers, np.full(300, 20), 10**9, 1)), []
+    assert sum(b.num_rows for b in sent) == 2000 * 300 and max(b.num_rows for b in sent) * 16 * 8 <= ann.SENT  # one batch of 77 MB before
+    for b in sent:
+        own += zip(b.column(0).to_pylist(), b.column(2).to_pylist())
+    assert len(set(own)) == 2000 * 300
+    tracemalloc.start()
+    got = ann._compared(table("item", items), table("request", asked), 7, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2000 * 6000 * 8  # one matrix of scores, of which there were four
+    score = np.round(ann._unit(asked) @ ann._unit(items).T, 4)
+    wanted = np.lexsort((np.broadcast_to(np.arange(6000), score.shape), -score), axis=1)[:, :7]
+    assert got.column("item").to_pylist() == wanted.ravel().tolist() and got.column("request").to_pylist() == np.repeat(np.arange(2000), 7).tolist()
+
+
 def test_named_items_and_nothing(spark, vectors, tmp_path):
     named = vectors.limit(50).withColumn("item", F.concat(F.lit("n"), F.col("item"))).unionByName(spark.createDataFrame([("x", None), (None, [1.0] * 16)], "item string, vector array<double>"))
     stored = ann.build(named, str(tmp_path / "a"))
