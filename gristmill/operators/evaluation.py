@@ -24,16 +24,31 @@ def share(part: Column, whole: Column) -> Column:
 
 def ir_metrics(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     """request, recall, hit, mrr and ndcg at k. ranked: request, rank, item; relevant: request, item (those without relevant items score 0)."""
-    size = relevant.distinct().groupBy("request").agg(F.count("*").alias("size"))
-    hits = ranked.join(relevant.distinct(), ["request", "item"])
-    near = F.col("rank") <= k
-    per = hits.groupBy("request").agg(
-        F.sum(near.cast("int")).alias("found"), F.min("rank").alias("first"), F.sum(F.when(near, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg")
+    pairs = relevant.select("request", "item").distinct()
+    met = ranked.join(pairs.withColumn("met", F.lit(True)), ["request", "item"], "left")
+    return _ir_scores(met, pairs.groupBy("request").agg(F.count("*").alias("size")), k)
+
+
+def ir_metrics_by_class(ranked: DataFrame, requests: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    """What ir_metrics gives where the items of a request's class are relevant; requests: request, class; items: item, class, one class each (null: none).
+
+    Only ranked items meet classes, and sizes are those of classes: no pair of a request and a relevant item is made.
+    """
+    held, asked = items.select("item", "class").distinct(), requests.select("request", F.col("class").alias("own")).distinct()
+    met = ranked.join(held, "item", "left").join(asked, "request", "left").withColumn("met", F.col("class") == F.col("own"))
+    sizes = held.where("class is not null").groupBy(F.col("class").alias("own")).agg(F.count("*").alias("size"))
+    return _ir_scores(met, asked.join(sizes, "own").select("request", "size"), k)
+
+
+def _ir_scores(met: DataFrame, size: DataFrame, k: int) -> DataFrame:
+    """met: request, rank and met (true where the item is relevant); size: request and how many items are relevant to it."""
+    hit, near = F.coalesce("met", F.lit(False)), F.col("rank") <= k
+    per = met.groupBy("request").agg(
+        F.sum((hit & near).cast("int")).alias("found"), F.min(F.when(hit, F.col("rank"))).alias("first"), F.sum(F.when(hit & near, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("dcg")
     )
     ideal = F.aggregate(F.sequence(F.lit(1), F.least("size", F.lit(k)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
-    out = ranked.select("request").distinct().join(size, "request", "left").join(per, "request", "left")
-    found = F.coalesce("found", F.lit(0))
-    return out.select(
+    found = F.col("found")
+    return per.join(size, "request", "left").select(
         "request",
         F.round(share(found, F.col("size")), 6).alias("recall"),
         F.when(found > 0, 1.0).otherwise(0.0).alias("hit"),

@@ -94,3 +94,22 @@ def test_hydration_joins_requests_alone(spark):
     assert sorted(map(tuple, found.select("request", "chunk_id", "pos", "note").collect())) == [(1, "b", 0, "y"), (1, "b", 0, "z"), (2, "a", 1, "x"), (3, "c", 5, "w")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join ") == 1 and "Generate posexplode" not in plan
+
+
+def test_metrics_by_class_make_no_pairs_of_requests_and_relevant_items(spark):
+    from gristmill.operators import evaluation
+
+    rng = np.random.default_rng(8)
+    items = [(i, int(rng.integers(0, 4)) if i % 9 else None) for i in range(300)]
+    requests = [(r, c) for r, c in items if r % 10 == 0] + [(990, 77), (991, None)]
+    ranked = [(r, n + 1, int(x)) for r, _ in requests for n, x in enumerate(rng.permutation(310)[:12])] + [(992, 1, 5)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    lists, asked, held = frame(ranked, "request long, rank int, item long"), frame(requests, "request long, class int"), frame(items + items[:5], "item long, class int")
+    relevant = asked.join(held, "class").select("request", "item")
+    got = evaluation.ir_metrics_by_class(lists, asked, held, 10)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, evaluation.ir_metrics(lists, relevant, 10).collect()))
+    assert {r["request"]: r[1:] for r in got.collect()}[992] == (0.0, 0.0, 0.0, 0.0)
+    # the ranked lists, which are dear to make, are read once
+    for metrics in (got, evaluation.ir_metrics(lists, relevant, 10)):
+        plan = metrics._jdf.queryExecution().optimizedPlan().toString()
+        assert sum("rank#" in line for line in plan.split("\n") if "LogicalRDD" in line or "LocalRelation" in line) == 1
