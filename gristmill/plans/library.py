@@ -173,9 +173,9 @@ def variant_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH r AS (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, item) AS rank FROM ({_KNN}) QUALIFY rank <= 20), h AS (SELECT request, min(CASE WHEN ql = el THEN rank END) AS first, max(CASE WHEN ql = el THEN 1.0 ELSE 0.0 END)::DOUBLE AS hit FROM r GROUP BY request)
 SELECT count(*) AS evaluated, round(avg(hit), 4) AS hit, round(avg(round(coalesce(1 / first, 0), 6)), 4) AS mrr FROM h""")
 def ir_metric_means(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    relevant = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("request"), "label").join(rows.withColumnRenamed("vec_id", "item"), "label").select("request", "item")
-    return evaluation.ir_means(evaluation.ir_metrics(_knn(spark, sf_dir), relevant, 20), ["hit", "mrr"])
+    items = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("item"), F.col("label").alias("class"))
+    requests = items.where("item % 100 = 0").withColumnRenamed("item", "request")
+    return evaluation.ir_means(evaluation.ir_metrics_by_class(_knn(spark, sf_dir), requests, items, 20), ["hit", "mrr"])
 
 
 _RUNS = "v AS MATERIALIZED (SELECT l_returnflag AS dataset, CASE WHEN l_linestatus = 'F' THEN 'proposed' ELSE 'optimized' END AS grp, l_suppkey AS task, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY ALL)"

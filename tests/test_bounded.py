@@ -113,3 +113,12 @@ def test_metrics_by_class_make_no_pairs_of_requests_and_relevant_items(spark):
     for metrics in (got, evaluation.ir_metrics(lists, relevant, 10)):
         plan = metrics._jdf.queryExecution().optimizedPlan().toString()
         assert sum("rank#" in line for line in plan.split("\n") if "LogicalRDD" in line or "LocalRelation" in line) == 1
+
+
+def test_means_of_metrics_read_ranked_lists_once_and_make_no_pairs(spark):
+    from gristmill.plans import library
+
+    plan = library.ir_metric_means(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    joins = [line for line in plan.split("\n") if "Join" in line]
+    assert joins and not any("Inner, (label#" in line for line in joins)
