@@ -125,6 +125,11 @@ def _finished(rows: DataFrame, taxonomy: tagging.Taxonomy, repair: Repair | None
     return rows.select(F.explode(F.array(whole)).alias("c")).select("c.*")
 
 
+def _made(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """withColumn by a generator of one row: filters above, also those that Spark infers for arrays that are exploded, read the column and neither compute it anew nor move below an exchange."""
+    return rows.select("*", F.explode(F.array(F.struct(value.alias("v")))).alias("_made")).select(*rows.columns, F.col("_made.v").alias(name))
+
+
 def _stem() -> Column:
     return F.regexp_extract("source_path", r"([^/]*?)(?:\.[^./]*)?$", 1)
 
@@ -133,10 +138,10 @@ def _article_rows(docs: DataFrame, taxonomy: tagging.Taxonomy | None, repair: Re
     text = tx.normalize(tx.join_numbers(F.col("text")))
     title = F.coalesce(F.nullif(F.col("chapter_title"), F.lit("")), _stem())
     number = F.coalesce(F.nullif(F.col("chapter_no"), F.lit("")), F.lit("x"))
-    rows = _info(docs).withColumn("whole", text).where("whole <> ''").withColumn("found", articles(F.col("whole")))
+    rows = _made(_made(_info(docs), "whole", text).where("whole <> ''"), "found", articles(F.col("whole")))
     chapter = F.array(F.struct(F.concat_ws("-", F.lit("ch"), number, title).alias("article_id"), title.alias("title"), F.col("whole").alias("body")))
     rows = rows.select(*_INFO, F.posexplode(F.when(F.size("found") > 0, F.col("found")).otherwise(chapter)).alias("nth", "a")).where(~is_garbled(F.col("a.body")))
-    rows = rows.withColumn("parts", tx.packed_paragraphs(F.col("a.body"), MOST_PART))
+    rows = _made(rows, "parts", tx.packed_paragraphs(F.col("a.body"), MOST_PART))
     rows = rows.select(*_INFO, "nth", "a", "parts", F.posexplode("parts").alias("at", "body"))
     item = F.when(F.size("parts") > 1, F.concat(F.col("a.article_id"), F.lit("-part-"), F.col("at") + 1)).otherwise(F.col("a.article_id"))
     kind = article_kind(F.col("chapter"), F.col("a.article_id"), F.col("body"))

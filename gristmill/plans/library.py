@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.functions import text as tx
-from gristmill.functions.session import shared_folder
+from gristmill.functions.session import TASK_TEXTS, dealt, shared_folder
 from gristmill.operators import ann, chunking, evaluation, evidence, index, retrieval, tasks
 from gristmill.plans import benchmark
 from gristmill.plans.catalog import _TOK, _knn, _KNN, _requests, ORACLE_SQL, query, table
@@ -26,7 +26,9 @@ def article_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.concat(F.lit("1."), (F.col("p_partkey") % 9 + 1).cast("string"))
     lines = (F.lit("前言"), F.concat(n, F.lit(".1 必须"), "p_name"), F.concat(F.lit("续 "), "p_type"), F.concat(F.lit("2.5 mm "), "p_brand"), F.concat(n, F.lit(".2 检查"), "p_name"))
     fixed = {"standard_code": "GB-1-2000", "standard_name": "GB 1 2000", "chapter": "03 通则", "chapter_no": "03", "chapter_title": "通则"}
-    docs = table(spark, sf_dir, "part").select(*[F.lit(v).alias(k) for k, v in fixed.items()], F.col("p_partkey").cast("string").alias("source_path"), F.concat_ws("\n", *lines).alias("text"))
+    # a file's few bytes hold many parts, so tasks by its size would be too few for the texts made of them
+    parts = dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_brand"), "p_partkey", TASK_TEXTS)
+    docs = parts.select(*[F.lit(v).alias(k) for k, v in fixed.items()], F.col("p_partkey").cast("string").alias("source_path"), F.concat_ws("\n", *lines).alias("text"))
     return chunking.article_chunks(docs).select("source_path", "chunk_id", "title", "requirement_type", F.md5("text").alias("digest"))
 
 

@@ -122,3 +122,11 @@ def test_means_of_metrics_read_ranked_lists_once_and_make_no_pairs(spark):
     assert plan.count("MapInArrow") == 1
     joins = [line for line in plan.split("\n") if "Join" in line]
     assert joins and not any("Inner, (label#" in line for line in joins)
+
+
+def test_parts_of_one_file_are_split_by_several_tasks(spark):
+    from gristmill.plans import library
+
+    chunks = library.article_chunks(spark, "/root/testdata/sf0.01")
+    rows = [r["n"] for r in chunks.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert len(rows) == 4 and sum(rows) == 4000 and max(rows) < 1500  # one task had all of them before
