@@ -14,6 +14,8 @@ from gristmill.operators import ann, chunking, evaluation, evidence, index, retr
 from gristmill.plans import benchmark
 from gristmill.plans.catalog import _TOK, _knn, _KNN, _requests, ORACLE_SQL, query, table
 
+#: References that name one article at most, about, and meet its items in one task.
+PART_ROWS = 2_000_000
 _HEAD = "'标准：GB 1 2000' || chr(10) || '章节：03 通则' || chr(10) || '编号：' || n || chr(10) || '正文：'"
 
 
@@ -132,8 +134,9 @@ def retrieval_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def articles_by_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = lambda c: F.concat(F.lit("C-"), (F.col(c) % 20).cast("string"))
     ref = F.when(F.col("l_linenumber") % 3 == 0, "《law》:1").otherwise(F.concat(code("l_partkey"), F.lit(": "), "l_linenumber"))
-    refs = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("request"), ref.alias("ref"))
-    return retrieval.by_refs(refs, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), code("p_partkey").alias("standard_code"), F.col("p_size").cast("string").alias("article_id")))
+    lines = table(spark, sf_dir, "lineitem")
+    items = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("item"), code("p_partkey").alias("standard_code"), F.col("p_size").cast("string").alias("article_id"))
+    return retrieval.by_refs(lines.select(F.col("l_orderkey").alias("request"), ref.alias("ref")), items, 1 + lines.count() // PART_ROWS)
 
 
 def _lists(spark: SparkSession, sf_dir: str, **which: tuple[str, str]) -> DataFrame:

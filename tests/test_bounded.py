@@ -130,3 +130,25 @@ def test_parts_of_one_file_are_split_by_several_tasks(spark):
     chunks = library.article_chunks(spark, "/root/testdata/sf0.01")
     rows = [r["n"] for r in chunks.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
     assert len(rows) == 4 and sum(rows) == 4000 and max(rows) < 1500  # one task had all of them before
+
+
+def test_refs_met_in_tiles_equal_the_plain_join(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE_SIDES", (2, 3))
+    monkeypatch.setattr(retrieval, "PART_TASKS", 2)
+    refs = spark.createDataFrame([(r, f"{'ABC'[r % 3]}:{a}") for r in range(40) for a in (1, 2, r % 5)] + [(None, "A:1"), (None, "A: 1"), (7, "《A》:1"), (8, "A"), (9, None), (9, "Z:1")], "request long, ref string")
+    chunks = spark.createDataFrame([(i, "ABCD"[i % 4], str(i % 3)) for i in range(50)] + [(3, "A", "1"), (3, "A", "2"), (3, "B", "1"), (None, "A", "1"), (90, None, "1"), (91, "A", None)], "item long, standard_code string, article_id string")
+    wanted = sorted(map(str, retrieval.by_refs(refs, chunks).collect()))
+    assert len(wanted) == len(set(wanted)) and any("item=None" in w for w in wanted) and any("request=None" in w for w in wanted)
+    for parts in (1, 3):
+        assert sorted(map(str, retrieval.by_refs(refs, chunks, parts).collect())) == wanted
+    assert sorted(map(str, retrieval.by_refs(refs, chunks.withColumn("item", F.col("item").cast("string")), 3).collect())) == sorted(map(str, retrieval.by_refs(refs, chunks.withColumn("item", F.col("item").cast("string"))).collect()))
+    assert retrieval.by_refs(refs.limit(0), chunks, 2).count() == 0 == retrieval.by_refs(refs, chunks.limit(0), 2).count()
+
+
+def test_pairs_of_references_take_little_space_in_files(spark, tmp_path):
+    from gristmill.plans import library
+
+    library.articles_by_refs(spark, "/root/testdata/sf0.1").write.parquet(str(tmp_path / "out"))
+    rows = spark.read.parquet(str(tmp_path / "out")).count()
+    size = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert rows == 8_240_968 and size < 0.8 * rows, size / rows
